@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.ngram_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from lodestone.llm.token_counts import count_tokens
