@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 16_000_000
 WORD = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 _AUTOMATON: dict = {}
 
@@ -113,7 +114,7 @@ def find_contamination(
                         items.update(ids)
                     hit = np.cumsum(depth)[:words] > 0
                     n_hit = int(hit.sum())
-                    at = [m.span() for m in word.finditer(texts[n].as_py())]
+                    at = [m.span() for m in word.finditer(texts[n].as_py().translate(_LOWER))]
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                     spans = [{"start": at[i][0], "end": at[j - 1][1]} for i, j in zip(edge[::2], edge[1::2], strict=True)]
                 names = sorted(map(str, items))
