@@ -78,15 +78,16 @@ class _Shared:
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id_col, n_words, n_hit, n_items, items array<long>, spans array<struct<start,end>>, items_sha256, contaminated).
+    """(id_col, keep columns, n_words, n_hit, n_items, items array<long>, spans array<struct<start,end>>, items_sha256, contaminated).
 
     A text is contaminated if it has hit words and `share` times their number is at least the number of words.
     spans: stretches of hit words as code points of the original text, end exclusive.
     """
     shared = [_Shared(docs.sparkSession, b) for b in _blocks(benchmark, item_col, item_text_col, window)]
-    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(k).alias(f"_{n}") for n, k in enumerate(keep)])
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in (id_col, *keep))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -124,12 +125,12 @@ def find_contamination(
                 out["spans"].append(spans)
                 out["sha"].append(hashlib.sha256(",".join(names).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(map(len, out["items"]), pa.int64()), pa.array(out["items"], pa.list_(pa.string())),
+                [batch.column(0), *batch.columns[2:], pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(map(len, out["items"]), pa.int64()), pa.array(out["items"], pa.list_(pa.string())),
                  pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out["sha"], pa.string()),
                  pa.array([h > 0 and share * h >= w for h, w in zip(out["n_hit"], out["n_words"], strict=True)], pa.bool_())],
-                [id_col, "n_words", "n_hit", "n_items", "items", "spans", "items_sha256", "contaminated"],
+                [id_col, *keep, "n_words", "n_hit", "n_items", "items", "spans", "items_sha256", "contaminated"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(
-        scan, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, items_sha256 string, contaminated boolean"
+    return rows.mapInArrow(
+        scan, f"{kinds}, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, items_sha256 string, contaminated boolean"
     )
