@@ -1,6 +1,6 @@
 """Language identification by words first, backing off to shorter and shorter character n-grams for unseen words.
 
-Learning counts every word of every labelled text per language. The model keeps the `MOST_WORDS` most frequent words
+Learning counts every word of every labelled text per language. The model keeps at most the `MOST_WORDS` most frequent words
 and the `MOST_GRAMS` most frequent n-grams of each length (documented sizes of the model; the counts themselves cover
 all rows), with smoothed log frequencies per language. A known word adds its own log frequencies; an unseen word those
 of the longest n-grams of it that the model knows, on average. The best sum wins, ties go to the first name.
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import commonest
+
 MOST_WORDS, MOST_GRAMS, LENGTHS, SMOOTH = 100_000, 20_000, (5, 4, 3, 2, 1), 0.5
 #: Unseen words whose backed-off scores a worker remembers.
 REMEMBERED = 500_000
@@ -56,39 +58,48 @@ def word_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 class Model:
     """Log frequencies per language of words and n-grams; small enough to send to every worker."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
-        self.langs, self.words, self.grams = langs, words, grams
+    def __init__(self, langs: list[str], words: dict[str, int], word_logs: np.ndarray, grams: dict[int, tuple[dict[str, int], np.ndarray]]):
+        self.langs, self.words, self.word_logs, self.grams = langs, words, word_logs, grams
 
     def backed_off(self, word: str) -> np.ndarray:
         padded = f" {word} "
         for n in LENGTHS:
-            table = self.grams.get(n, {})
+            table, logs = self.grams[n]
             known = [table[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in table]
             if known:
-                return np.mean(known, axis=0)
+                return logs[known].mean(0)
         return np.zeros(len(self.langs), np.float32)
 
 
 class _Scores(dict):
+    """Row numbers of words in a table of scores; unseen words get theirs when they first come up."""
+
     def __init__(self, model: Model):
         super().__init__(model.words)
         self.model = model
+        self.logs = np.concatenate([model.word_logs, np.zeros((REMEMBERED, len(model.langs)), np.float32)])
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        self.logs[at] = self.model.backed_off(word)
+        return at
 
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > len(self.model.words) + REMEMBERED:
+    def total(self, words: list[str]) -> np.ndarray:
+        if len(self) + len(words) > len(self.logs):
             self.clear()
             self.update(self.model.words)
-        self[word] = self.model.backed_off(word)
-        return self[word]
+        if len(self) + len(words) > len(self.logs):  # one text with more words than are remembered
+            return sum(self.total(words[i : i + REMEMBERED // 2]) for i in range(0, len(words), REMEMBERED // 2))
+        return self.logs[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
 
 
-def _table(counts: DataFrame, key: str, most: int, totals: dict[str, int], langs: list[str]) -> dict[str, np.ndarray]:
-    """The `most` commonest keys with log frequencies; commoner first, then by key."""
+def _table(counts: DataFrame, key: str, most: int, totals: dict[str, int], langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """The commonest keys, at most `most`, with the row of their log frequencies."""
     per = counts.groupBy(key).agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{k}") for k, x in enumerate(langs)])
-    top = per.orderBy(F.desc("n"), key).limit(most).toPandas()
-    floor = np.array([totals[x] + SMOOTH * max(1, len(top)) for x in langs])
-    logs = np.log((top[[f"l{k}" for k in range(len(langs))]].to_numpy(np.float64) + SMOOTH) / floor).astype(np.float32)
-    return dict(zip(top[key], logs, strict=True))
+    top = commonest(per, most).toArrow()
+    floor = np.array([totals[x] + SMOOTH * max(1, top.num_rows) for x in langs])
+    logs = np.log((np.stack([top[f"l{k}"].to_numpy() for k in range(len(langs))], 1) + SMOOTH) / floor).astype(np.float32)
+    return {k: n for n, k in enumerate(top[key].to_pylist())}, logs
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -96,8 +107,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
-        return Model([], {}, {})
-    words = _table(counts, "word", MOST_WORDS, totals, langs)
+        return Model([], {}, np.zeros((0, 0), np.float32), {})
+    words, word_logs = _table(counts, "word", MOST_WORDS, totals, langs)
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     grams = {}
     for n in LENGTHS:
@@ -106,7 +117,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         of = {r["lang"]: r["n"] for r in counts.where(F.length("word") + 2 >= n).groupBy("lang").agg(F.sum(F.col("n") * (F.length("word") + 3 - n)).alias("n")).collect()}
         grams[n] = _table(summed, "gram", MOST_GRAMS, {x: of.get(x, 0) for x in langs}, langs)
     counts.unpersist()
-    return Model(langs, words, grams)
+    return Model(langs, words, word_logs, grams)
 
 
 _MODELS: dict = {}
@@ -131,9 +142,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
                     best.append("und")
                     share.append(0.0)
                     continue
-                total = np.zeros(len(langs))
-                for w, n in Counter(words).items():
-                    total += scores[w] * n
+                total = scores.total(words)
                 k = int(np.argmax(total))
                 best.append(langs[k])
                 share.append(float(1 / np.exp(total - total[k]).sum()))

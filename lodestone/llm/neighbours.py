@@ -18,15 +18,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable
 
 #: Neighbours kept for a node, tables and rows of the buckets to start from, members of one local join, rounds of it.
 NEIGHBOURS, TABLES, BUCKET, JOINED, ROUNDS = 40, 8, 500, 10, 2
-#: Nodes a query keeps in its beam, nodes it expands in a round, rounds at most, neighbours (own and reverse) of a searched node.
-BEAM, EXPAND, HOPS, DEGREE = 200, 50, 10, 60
+#: Nodes a query keeps in its beam, nodes it expands in a round, rounds, neighbours (own and reverse) of a searched node.
+BEAM, EXPAND, HOPS, DEGREE = 200, 80, 5, 60
 #: Queries that meet one node's neighbours in one row.
 TOGETHER = 500
 _FLUSH = 400_000
@@ -74,8 +74,8 @@ def _best(key: np.ndarray, other: np.ndarray, sim: np.ndarray, flag: np.ndarray,
     return key[keep], other[keep], sim[keep], flag[keep]
 
 
-def _nodes(vectors: DataFrame, id_col: str, vec_col: str, top: int, wanted: Column) -> DataFrame:
-    """(node, half, vec, ids, asked): each different vector once, with its smallest ids and its ids that are queries."""
+def _nodes(vectors: DataFrame, id_col: str, vec_col: str, top: int, wanted: Column) -> tuple[DataFrame, DataFrame]:
+    """(node, half, vec, ids) of each different vector, with its smallest ids; (node, asking) of ids that are queries."""
     v = F.col("v")
     fine = F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), wanted.alias("ask")).where(fine)
@@ -143,20 +143,23 @@ def _start(nodes: DataFrame, count: int) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "node long, others binary, sims binary")
 
 
-def _merge(found: DataFrame, graph: DataFrame | None) -> DataFrame:
-    """The graph with what was found; entries that it did not have are fresh."""
-    rows = found.select("node", "others", "sims", F.lit(False).alias("known"))
-    if graph is not None:
-        rows = rows.union(graph.select("node", "others", "sims", F.lit(True).alias("known")))
+def _merge(found: DataFrame, graph: DataFrame) -> DataFrame:
+    """The graph (node, half, others, sims, fresh) with what was found; entries that it did not have are fresh."""
+    rows = found.select("node", F.lit(None).cast("binary").alias("half"), "others", "sims", F.lit(False).alias("known")).union(graph.select("node", "half", "others", "sims", F.lit(True).alias("known")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _batches_of(batches, "node", 10_000):
             n = [len(x) // 8 for x in t["others"].to_pylist()]
-            key, known = np.repeat(t["node"].to_numpy(), n), np.repeat(t["known"].to_numpy(), n).astype(np.int8)
+            node = t["node"].to_numpy()
+            key, known = np.repeat(node, n), np.repeat(t["known"].to_numpy(), n).astype(np.int8)
             key, other, sim, known = _best(key, _flat(t["others"], "<i8"), _flat(t["sims"], "<f4"), known, NEIGHBOURS)
-            yield _lists(key, {"o": other, "s": sim, "f": 1 - known}, ["node", "others", "sims", "fresh"])
+            own = [(k, h) for k, h in zip(node.tolist(), t["half"].to_pylist(), strict=True) if h is not None]
+            keys = np.array([k for k, _ in own], np.int64)
+            low, high = np.searchsorted(key, keys), np.searchsorted(key, keys, "right")
+            pack = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(low, high, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([h for _, h in own], pa.binary()), pack(other), pack(sim), pack(1 - known)], ["node", "half", "others", "sims", "fresh"])
 
-    return durable(rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, others binary, sims binary, fresh binary"))
+    return durable(rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, half binary, others binary, sims binary, fresh binary"))
 
 
 def _capped(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], cap: int, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +186,12 @@ def _edges(graph: DataFrame, forward: int, reverse: int) -> DataFrame:
             yield from _capped(iter([(node, other, fresh)]), forward, ["mid", "member", "fresh"])
             yield from _capped(iter([(other, node, fresh)]), reverse, ["mid", "member", "fresh"])
 
-    return graph.mapInArrow(run, "mid long, member long, fresh boolean")
+    return graph.select("node", "others", "fresh").mapInArrow(run, "mid long, member long, fresh boolean")
 
 
-def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
+def _descend(graph: DataFrame) -> DataFrame:
     """One round of NN-descent: members of a node's neighbourhood are compared with each other."""
-    worst = graph.select(F.col("node").alias("member"), "sims")
-    near = nodes.select(F.col("node").alias("member"), "half").join(worst, "member")
+    near = graph.select(F.col("node").alias("member"), "half", "sims")
     joined = _edges(graph, JOINED, JOINED).join(near, "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,16 +228,17 @@ def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
 
 
 def neighbour_graph(nodes: DataFrame, count: int) -> DataFrame:
-    """(node, others, sims, fresh): packed neighbours of each node, nearest first."""
-    graph = _merge(_start(nodes, count), None)
+    """(node, half, others, sims, fresh): packed neighbours of each node, nearest first."""
+    nothing = F.lit(b"")
+    graph = _merge(_start(nodes, count), nodes.select("node", "half", nothing.alias("others"), nothing.alias("sims")))
     for _ in range(ROUNDS if count > 3 * BUCKET else 0):
-        graph = _descend(nodes, graph)
+        graph = _descend(graph)
     return graph
 
 
-def _searched(nodes: DataFrame, graph: DataFrame) -> DataFrame:
+def _searched(graph: DataFrame) -> DataFrame:
     """(node, near, halves): ids and half-precision vectors of the nodes that a search may go on to from a node."""
-    pairs = _edges(graph.select("node", "others", F.col("fresh")), NEIGHBOURS, DEGREE // 2).select("mid", "member").join(nodes.select(F.col("node").alias("member"), "half"), "member")
+    pairs = _edges(graph, NEIGHBOURS, DEGREE // 2).select("mid", "member").join(graph.select(F.col("node").alias("member"), "half"), "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _batches_of(batches, "mid", 20_000):
@@ -340,54 +343,55 @@ def _visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def nearest(vectors: DataFrame, wanted: Column, top: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id_col, score): of each wanted row the `top` nearest other rows found, nearest first."""
     nodes, asked = _nodes(vectors, id_col, vec_col, top, wanted)
-    count = nodes.count()
-    graph = neighbour_graph(nodes, count)
-    n_asked = asked.select("node").distinct().count()
+    graph = neighbour_graph(nodes, nodes.count())
+    own = asked.select("node").distinct()
+    salts = max(1, own.count() // TOGETHER)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    searched = _searched(nodes, graph).repartition(parts, "node").persist()
-
-    own = asked.select("node").distinct().join(nodes.select("node", "half"), "node")
-    first = own.join(graph.select("node", "others", "sims"), "node", "left")
+    searched = _searched(graph).repartition(parts, "node").persist()
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sims, done = [], [], []
             for node, half, others, near in zip(*(b.column(k).to_pylist() for k in ("node", "half", "others", "sims")), strict=True):
                 x = np.frombuffer(half, "<f2").astype(np.float32)
-                ids.append(np.array([node], "<i8").tobytes() + (others or b""))
-                sims.append(np.array([x @ x], "<f4").tobytes() + (near or b""))
-                done.append(b"\x01" + b"\x00" * (len(others or b"") // 8))
+                ids.append(np.array([node], "<i8").tobytes() + others)
+                sims.append(np.array([x @ x], "<f4").tobytes() + near)
+                done.append(b"\x01" + b"\x00" * (len(others) // 8))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("half"), *(pa.array(v, pa.binary()) for v in (ids, sims, done))], ["q", "half", "ids", "sims", "done"])
 
     kinds = "q long, half binary, ids binary, sims binary, done binary"
-    beams = _beams(first.mapInArrow(begin, kinds))
-    salts = max(1, n_asked // TOGETHER)
+    beams = _beams(own.join(graph.select("node", "half", "others", "sims"), "node").mapInArrow(begin, kinds))
     for _ in range(HOPS):
-        frontier = _unpack(beams, _next, "node long, q long, half binary, bound float")
+        # Dealt by node once: the queries at a node are gathered and meet its neighbours where they are.
+        frontier = _unpack(beams, _next, "node long, q long, half binary, bound float").repartition(parts, "node")
         asks = frontier.groupBy("node", F.pmod(F.xxhash64("q"), F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("q", "half", "bound")).alias("asks"))
         met = asks.join(searched, "node").select("near", "halves", "asks").mapInArrow(_visit, kinds)
         beams = _beams(met.union(_unpack(beams, _expanded, kinds)))
-        if not _unpack(beams, _next, "node long, q long, half binary, bound float").take(1):
-            break
     searched.unpersist()
 
     def last(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(q, n) for q, ids in zip(b.column("q").to_pylist(), b.column("ids").to_pylist(), strict=True) for n in np.frombuffer(ids, "<i8")[: 2 * top + 20].tolist()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["q", "node"])
 
-    pairs = _unpack(beams, last, "q long, node long").join(nodes.select("node", "vec", "ids"), "node").join(nodes.select(F.col("node").alias("q"), F.col("vec").alias("qvec")), "q")
+    pairs = _unpack(beams, last, "q long, node long").join(nodes.select("node", "vec", "ids"), "node").select("q", "node", "vec", "ids")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<f8").reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1)) for k in ("vec", "qvec"))
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("ids"), pa.array(np.einsum("nd,nd->n", x, y))], ["node", "ids", "score"])
-
-    scored = pairs.select("q", "ids", "vec", "qvec").mapInArrow(score, "node long, ids array<long>, score double")
-    # A query sees at most top + 1 ids of each of the few nodes in its beam.
-    near = scored.withColumn("near_id", F.explode("ids")).select("node", "near_id", "score")
-    order = Window.partitionBy("node").orderBy(F.desc("score"), "near_id")
-    # One more than asked for: a query is not among its own neighbours, but may be among its node's.
-    short = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1)
-    out = asked.join(short, "node").where(F.col("asking") != F.col("near_id"))
-    rank = F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "near_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= top).select(F.col("asking").alias("query_id"), "rank", F.col("near_id").alias(id_col), "score")
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The top + 1 nearest ids of each query node: its own vector is the row with its own node."""
+        for t in _batches_of(batches, "q", 5_000):
+            q, node = t["q"].to_numpy(), t["node"].to_numpy()
+            x = _flat(t["vec"], "<f8").reshape(len(q), -1)
+            ids = t["ids"].to_pylist()
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(q)) + 1, [len(q)]])
+            out = []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                score = x[a:b] @ x[a + int(np.flatnonzero(node[a:b] == q[a])[0])]
+                near = sorted((-s, i) for s, own in zip(score.tolist(), ids[a:b], strict=True) for i in own)[: top + 1]
+                out.append([{"id": i, "score": -s} for s, i in near])
+            kind = pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(q[edge[:-1]]), pa.array(out, kind)], ["node", "near"])
+
+    ranked = pairs.repartition("q").sortWithinPartitions("q").mapInArrow(rank, "node long, near array<struct<id:long,score:double>>")
+    # A query is not among its own neighbours, but its node's other ids are.
+    mine = asked.join(ranked, "node").select("asking", F.slice(F.filter("near", lambda x: x["id"] != F.col("asking")), 1, top).alias("near"))
+    out = mine.select("asking", F.posexplode("near").alias("pos", "x"))
+    return out.select(F.col("asking").alias("query_id"), (F.col("pos") + 1).alias("rank"), F.col("x.id").alias(id_col), F.col("x.score").alias("score"))

@@ -1,19 +1,20 @@
 """N-gram Jaccard self-join: sets of word n-grams in prefix trees, traversed with shared partial overlaps.
 
 Two texts link when the Jaccard similarity of their n-gram sets reaches a threshold (an exact ratio). The join runs in
-four steps, none of which makes pairs of rows:
-
-1. Every text becomes a set of 64-bit n-gram hashes; texts with equal sets (128-bit fingerprints) form a class. N-grams
-   that occur often are counted and come last in the global order (at most `MOST_COMMON` of them are sent to the tasks:
-   the order only has to be the same everywhere, so what is left out costs time, never links).
-2. Linked sets share an n-gram among the first n - ceil(t n) + 1 of that order. Those prefixes are dealt by n-gram;
-   sets with a common prefix n-gram and lengths that can fit are chained. The chains' connected components are
-   candidate clusters: every link lies inside one. A cluster too large for a task is put through the same step again,
-   in an order by exact counts within the cluster, which parts sets that only share common passages.
-3. Each cluster's sets are dealt, in blocks of bounded size if need be, as pairs of blocks. A task puts one block in a
+five steps, none of which makes pairs of rows:
+
+1. Every text becomes a set of 64-bit n-gram hashes; texts with equal sets (128-bit fingerprints) form a class.
+2. Of a set that links, at least l = n / SPARE of the first n - ceil(t n) + l + 1 n-grams in hash order are also among
+   the first ones of each set that it links with (one more than l, as lengths and so l may differ by rounding). Those prefixes are dealt by n-gram, and a set stays only if so many of
+   its n-grams meet another set of fitting length. Most sets have too few n-grams in common with anything and go here.
+3. The sets that stay are put in a global order with common n-grams last (at most `MOST_COMMON` of them are sent to the
+   tasks: the order only has to be the same everywhere, so what is left out costs time, never links). Linked sets share
+   an n-gram among the first n - ceil(t n) + 1 of it; sets with a common one and fitting lengths are chained, and the
+   chains' connected components are candidate clusters: every link lies inside one.
+4. Each cluster's sets are dealt, in blocks of bounded size if need be, as pairs of blocks. A task puts one block in a
    compressed prefix tree and traverses it with all sets of the other block at once; the overlap with a path is
    worked out once for all sets below it, and a subtree is left when what remains of lengths cannot reach the threshold.
-4. Links are counted per class where they are found, and only a spanning forest of them is kept; connected components
+5. Links are counted per class where they are found, and only a spanning forest of them is kept; connected components
    of the forests give the component ids.
 
 Words are runs of non-space characters of the text in lower case (A-Z). Fewer words than n: the whole sequence is one
@@ -31,17 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, durable, forest
+from lodestone.llm.common import commonest, components, durable, forest
 
-#: N-grams sent to the tasks to come last in the order (16 bytes each).
-MOST_COMMON = 250_000
-#: N-grams in one block of a cluster, and in the prefixes a task gathers before it hands them on.
-BLOCK, FLUSH = 1_000_000, 4_000_000
+#: N-grams sent to the tasks to come last in the order (16 bytes each), and how often a stretch of sets must have one.
+MOST_COMMON, OFTEN = 250_000, 2
+#: A set stays if one in SPARE of its n-grams, of a prefix longer by as many, meets another set.
+SPARE = 12
+#: N-grams in one block of a cluster, and entries that a task gathers before it hands them on.
+BLOCK, FLUSH = 100_000, 1_000_000
 BUCKETS = 4096
-#: Sets of a stretch of FLUSH n-grams that share an n-gram before it is counted as common.
-OFTEN = 3
-#: Classes from which a cluster is parted again by exact counts.
-LARGE = 64
 
 _BASE = np.uint64(6364136223846793005)
 _BACK = np.uint64(pow(6364136223846793005, -1, 2**64))
@@ -85,8 +84,8 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(x - 2**64 if x >= 2**63 else x for x in (a, b))
 
 
-def _prefix(n: int, num: int, den: int) -> int:
-    return n - -(-n * num // den) + 1
+def _prefix(n: int, num: int, den: int, more: int = 1) -> int:
+    return min(n, n + n * -num // den + more)
 
 
 class _Order:
@@ -109,37 +108,12 @@ class _Order:
 
 
 def _describe(n: int):
-    """Rows (id, size, f1, f2) of texts, and (null, count, n-gram, null) of n-grams that a stretch of different sets repeats."""
+    """Rows (id, size, f1, f2) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        seen: set = set()
-
-        def common() -> pa.RecordBatch:
-            grams, counts = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
-            grams, counts = grams[counts >= OFTEN], counts[counts >= OFTEN]
-            nulls = pa.nulls(len(grams), pa.int64())
-            held.clear()
-            seen.clear()
-            return pa.RecordBatch.from_arrays([nulls, pa.array(counts.astype(np.int64)), pa.array(grams.view(np.int64)), nulls, pa.array(np.zeros(len(grams), bool))], ["id", "size", "f1", "f2", "doc"])
-
-        total = 0
         for batch in batches:
-            sizes, prints = [], []
-            for text in batch.column(1):
-                s = ngram_set(text.as_py(), n)
-                sizes.append(len(s))
-                prints.append(_fingerprint(s))
-                if len(s) and prints[-1] not in seen:
-                    seen.add(prints[-1])
-                    held.append(s)
-                    total += len(s)
-            f1, f2 = (pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), f1, f2, pa.array(np.ones(len(sizes), bool))], ["id", "size", "f1", "f2", "doc"])
-            if total >= FLUSH:
-                yield common()
-                total = 0
-        yield common()
+            told = [(len(s), *_fingerprint(s)) for s in (ngram_set(text.as_py(), n) for text in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([t[k] for t in told], pa.int64()) for k in range(3))], ["id", "size", "f1", "f2"])
 
     return run
 
@@ -156,96 +130,172 @@ def _chain(gram: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray
     return gram, node, low, np.maximum(reach, high), tied
 
 
-def _prefixes(n: int, num: int, den: int, order, buckets: int):
-    """Blocks of prefix entries by bucket of the n-gram; entries of one n-gram within a stretch are first chained and merged."""
+class _Gathered:
+    """Prefix entries of a stretch of different sets, handed on as blocks by bucket of the n-gram.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = order.value
-        grams, nodes, sizes = [], [], []
-        seen: set = set()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not grams:
-                return
-            size = np.repeat(np.array(sizes, np.int64), [len(g) for g in grams])
-            node = np.repeat(np.array(nodes, np.int64), [len(g) for g in grams])
-            gram, node, low, reach, tied = _chain(np.concatenate(grams), node, size, size, num, den)
-            heads = np.flatnonzero(~tied)
-            owner = node[heads][np.cumsum(~tied) - 1]
-            a, b = forest(owner[tied], node[tied])
-            last = np.concatenate([heads[1:], [len(gram)]]) - 1
-            gram, node, low, reach = gram[heads], node[heads], low[heads], reach[last]
-            bucket = (gram >> np.uint64(40)) % np.uint64(buckets)
-            at = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[at])) + 1
-            parts = np.split(at, cuts)
-            pack = lambda x, kind: pa.array([x[p].astype(kind).tobytes() for p in parts], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pack(gram, "<u8"), pack(node, "<i8"), pack(low, "<u4"), pack(reach, "<u4")], ["bucket", "grams", "nodes", "low", "high"])
-            if len(a):
-                one = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), one(a, "<i8"), one(b, "<i8"), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "grams", "nodes", "low", "high"])
-            grams.clear()
-            nodes.clear()
-            sizes.clear()
-            seen.clear()
-
-        total = 0
-        for batch in batches:
-            for text in batch.column(1):
-                s = ngram_set(text.as_py(), n)
-                if not len(s):
-                    continue
-                node, _ = _fingerprint(s)
-                if node in seen:
-                    continue
-                seen.add(node)
-                grams.append(rank.first(s, _prefix(len(s), num, den)))
-                nodes.append(node)
-                sizes.append(len(s))
-                total += len(grams[-1])
-            if total >= FLUSH // 4:
-                yield from flush()
-                total = 0
-        yield from flush()
+    Entries of one n-gram in a stretch are chained first, and only the ends of chains are handed on: however common an
+    n-gram is, a stretch sends few entries of it.
+    """
 
-    return run
+    NAMES = ("bucket", "grams", "nodes", "low", "more", "lone")
+    KINDS = "bucket int, grams binary, nodes binary, low binary, more binary, lone binary"
+
+    def __init__(self, num: int, den: int, buckets: int):
+        self.num, self.den, self.buckets = num, den, buckets
+        self.clear()
+
+    def clear(self):
+        self.grams, self.nodes, self.sizes, self.seen, self.total = [], [], [], set(), 0
+
+    def add(self, node: int, size: int, grams: np.ndarray):
+        if node not in self.seen:
+            self.seen.add(node)
+            self.grams.append(grams)
+            self.nodes.append(node)
+            self.sizes.append(size)
+            self.total += len(grams)
+
+    def flush(self, counting: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of bucket -1 hold what the stretch knows by itself: counts of entries that met one, or ties of nodes."""
+        if not self.grams:
+            return
+        each = [len(g) for g in self.grams]
+        size, node = np.repeat(np.array(self.sizes, np.int64), each), np.repeat(np.array(self.nodes, np.int64), each)
+        gram, node, low, reach, tied = _chain(np.concatenate(self.grams), node, size, size, self.num, self.den)
+        heads = np.flatnonzero(~tied)
+        last = np.concatenate([heads[1:], [len(gram)]]) - 1
+        lone = heads == last
+        if counting:
+            met = np.ones(len(gram), bool)
+            met[heads[lone]] = False
+            own, counts = np.unique(node[met], return_counts=True)
+        else:
+            own, counts = forest(node[heads][np.cumsum(~tied) - 1][tied], node[tied])
+        gram, node, low, reach = gram[heads], node[heads], low[heads], reach[last]
+        bucket = (gram >> np.uint64(40)) % np.uint64(self.buckets)
+        parts = np.split(at := np.argsort(bucket, kind="stable"), np.flatnonzero(np.diff(bucket[at])) + 1)
+        pack = lambda x, kind: pa.array([x[p].astype(kind).tobytes() for p in parts], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pack(gram, "<u8"), pack(node, "<i8"), pack(low, "<u4"), pack(reach - low, "<u4"), pack(lone, "<i1")], self.NAMES)
+        if len(own):
+            one = lambda x: pa.array([x.astype("<i8").tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), one(own), one(counts), *[pa.array([b""], pa.binary())] * 3], self.NAMES)
+        self.clear()
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition(F.when(F.col("bucket") < 0, F.xxhash64("grams")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[tuple]:
+    """Chained entries of each bucket: (node, tied, lone); of a row of bucket -1: (first array, second array, None)."""
+
+    def joined(rows: list[dict]):
+        read = lambda key, kind: np.concatenate([np.frombuffer(x[key], kind) for x in rows])
+        low = read("low", "<u4").astype(np.int64)
+        index = np.arange(len(low))
+        _, index, _, _, tied = _chain(read("grams", "<u8"), index, low, low + read("more", "<u4"), num, den)
+        return read("nodes", "<i8")[index], tied, read("lone", "<i1")[index].astype(bool)
+
+    held, bucket = [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] < 0:
+                yield np.frombuffer(row["grams"], "<i8"), np.frombuffer(row["nodes"], "<i8"), None
+                continue
+            if held and row["bucket"] != bucket:
+                yield joined(held)
+                held = []
+            bucket = row["bucket"]
+            held.append(row)
+    if held:
+        yield joined(held)
 
 
-def _ties(num: int, den: int):
-    """Links (a, b) between sets that chain over a common prefix n-gram, from all blocks of the buckets of a partition."""
+def _meetings(texts: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(node, met): how many n-grams of a set's longer prefix meet those of a set of fitting length."""
 
-    def join(blocks: list[dict]) -> pa.RecordBatch:
-        read = lambda key, kind: np.concatenate([np.frombuffer(x[key], kind) for x in blocks])
-        low, high = read("low", "<u4").astype(np.int64), read("high", "<u4").astype(np.int64)
-        _, node, _, _, tied = _chain(read("grams", "<u8"), read("nodes", "<i8"), low, high, num, den)
-        heads = np.flatnonzero(~tied)
-        a, b = forest(node[heads][np.cumsum(~tied) - 1][tied], node[tied])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Gathered(num, den, buckets)
+        for batch in batches:
+            for text in batch.column(0):
+                if len(s := ngram_set(text.as_py(), n)):
+                    held.add(_fingerprint(s)[0], len(s), s[: _prefix(len(s), num, den, max(1, len(s) // SPARE) + 1)])
+            if held.total >= FLUSH:
+                yield from held.flush(counting=True)
+        yield from held.flush(counting=True)
+
+    def added(nodes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+        own, at = np.unique(np.concatenate(nodes), return_inverse=True)
+        return own, np.bincount(at, np.concatenate(counts), len(own)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the buckets of a partition know of each node, packed by ranges of nodes."""
+        nodes, counts, held = [], [], 0
+        for node, tied, lone in _buckets(batches, num, den):
+            if lone is None:
+                nodes.append(node)
+                counts.append(tied)
+            else:
+                nodes.append(node[lone & (tied | np.concatenate([tied[1:], [False]]))])
+                counts.append(np.ones(len(nodes[-1]), np.int64))
+            held += len(nodes[-1])
+            if held >= FLUSH:
+                yield from packed(*added(nodes, counts))
+                nodes, counts, held = [], [], 0
+        if nodes:
+            yield from packed(*added(nodes, counts))
+
+    def packed(own: np.ndarray, met: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = (own.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets // 4)
+        runs = np.split(at := np.argsort(part, kind="stable"), np.flatnonzero(np.diff(part[at])) + 1) if len(own) else []
+        pack = lambda x: pa.array([x[r].astype("<i8").tobytes() for r in runs], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[r[0]]) for r in runs], pa.int32()), pack(own), pack(met)], ["part", "nodes", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of each range of nodes; a range is small, as there are several for each shuffle partition."""
+        held, part = [], None
+
+        def flush() -> pa.RecordBatch:
+            own, met = added([np.frombuffer(r["nodes"], "<i8") for r in held], [np.frombuffer(r["counts"], "<i8") for r in held])
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(met)], ["node", "met"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bucket = [], None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["bucket"] < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[k], "<i8")) for k in ("grams", "nodes")], ["a", "b"])
-                    continue
-                if held and row["bucket"] != bucket:
-                    yield join(held)
+                if held and row["part"] != part:
+                    yield flush()
                     held = []
-                bucket = row["bucket"]
+                part = row["part"]
                 held.append(row)
         if held:
-            yield join(held)
+            yield flush()
+
+    blocks = texts.select("text").mapInArrow(gather, _Gathered.KINDS)
+    parts = _dealt(blocks).mapInArrow(count, "part int, nodes binary, counts binary")
+    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(total, "node long, met long")
 
-    return run
 
+def _clusters(sets: DataFrame, num: int, den: int, order, buckets: int) -> DataFrame:
+    """(node, component) of sets (key, size, grams) whose prefixes meet; nodes are keys."""
 
-def _clusters(texts: DataFrame, n: int, num: int, den: int, order, buckets: int) -> DataFrame:
-    """(node, component) of texts (id, text) whose prefixes meet; a node is the first half of a set's fingerprint."""
-    blocks = texts.select("id", "text").mapInArrow(_prefixes(n, num, den, order, buckets), "bucket int, grams binary, nodes binary, low binary, high binary")
-    inside = F.when(F.col("bucket") < 0, F.xxhash64("grams")).otherwise(F.col("bucket"))
-    ties = blocks.repartition(inside).sortWithinPartitions("bucket").mapInArrow(_ties(num, den), "a long, b long")
-    return components(ties)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rank = _Gathered(num, den, buckets), order.value
+        for batch in batches:
+            for key, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(grams, "<u8")
+                held.add(key, len(s), rank.first(s, _prefix(len(s), num, den)))
+            if held.total >= FLUSH:
+                yield from held.flush(counting=False)
+        yield from held.flush(counting=False)
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, tied, lone in _buckets(batches, num, den):
+            if lone is None:
+                a, b = node, tied
+            else:
+                a, b = forest(node[np.flatnonzero(~tied)][np.cumsum(~tied) - 1][tied], node[tied])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return components(_dealt(sets.select("key", "grams").mapInArrow(gather, _Gathered.KINDS)).mapInArrow(tie, "a long, b long"))
 
 
 def trie_links(tree: list[np.ndarray], asked: list[np.ndarray], tree_sizes: np.ndarray, asked_sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -368,21 +418,28 @@ def _sets(n: int, names: list[str], kinds: list[str]):
     return run, ", ".join([f"{k} {t}" for k, t in zip(names, kinds, strict=True)] + ["grams binary"])
 
 
-def _exact_order(texts: DataFrame, n: int) -> DataFrame:
-    """(gram, n): counts of n-grams that several of the texts have."""
+def _common_last(sets: DataFrame):
+    """A broadcast order of n-grams: those that stretches of the sets repeat come last, by their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(ngram_set(t.as_py(), n) for t in batch.column(0))]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "n"])
+        held, total = [], 0
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+        def flush() -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            held.clear()
+            keep = counts >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["gram", "n"])
 
+        for batch in batches:
+            held.extend(np.frombuffer(g, "<u8") for g in batch.column(0).to_pylist())
+            total = sum(map(len, held))
+            if total >= 4 * FLUSH:
+                yield flush()
+        yield flush()
 
-def _send(spark, counted: DataFrame):
-    """The commonest n-grams, at most MOST_COMMON, as a broadcast order."""
-    top = counted.orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toPandas()
-    return spark.sparkContext.broadcast(_Order(top["gram"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)))
+    counted = sets.select("grams").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    top = commonest(counted, MOST_COMMON).toArrow()
+    return sets.sparkSession.sparkContext.broadcast(_Order(top["gram"].to_numpy().view(np.uint64), top["n"].to_numpy()))
 
 
 def similar_documents(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,33 +452,24 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     num, den = threshold
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    told = durable(texts.mapInArrow(_describe(n), "id long, size long, f1 long, f2 long, doc boolean"))
-    order = _send(spark, told.where("not doc").groupBy(F.col("f1").alias("gram")).agg(F.sum("size").alias("n")))
-    rows = told.where("doc")
+    rows = durable(texts.mapInArrow(_describe(n), "id long, size long, f1 long, f2 long"))
     # A class is named by its smallest id; null ids take no part in naming.
     classes = rows.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = durable(classes.withColumn("key", F.monotonically_increasing_id()))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(BUCKETS, 4 * parts)
-
-    found = _clusters(texts, n, num, den, order, buckets)
-    member = classes.join(found.withColumnRenamed("node", "f1"), "f1")
-    sized = member.groupBy("component").agg(F.count("*").alias("many"))
-    member = durable(member.join(sized.where("many > 1"), "component"))
-    reps = member.where(F.col("rep").isNotNull())
-
-    large = texts.join(reps.where(F.col("many") >= LARGE).select(F.col("rep").alias("id")), "id", "left_semi")
-    finer_order = _send(spark, _exact_order(large, n))
-    finer = _clusters(large, n, num, den, finer_order, buckets)
-    again = reps.join(finer.select(F.col("node").alias("f1"), F.col("component").alias("fine")), "f1", "left")
-    parted = again.where((F.col("many") < LARGE) | F.col("fine").isNotNull()).withColumn("cluster", F.when(F.col("many") < LARGE, F.col("component")).otherwise(F.col("fine")))
-    weights = parted.groupBy("cluster").agg(F.sum("size").alias("grams"), F.count("*").alias("many_now")).where("many_now > 1")
-    parted = durable(parted.join(weights, "cluster").withColumn("blocks", F.ceil(F.col("grams") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).cast("int")))
-
-    read, kinds = _sets(n, ["key", "f1", "f2", "copies", "cluster", "blocks", "block"], ["long", "long", "long", "long", "long", "int", "int"])
-    sets = texts.withColumnRenamed("id", "rep").join(parted.select("key", "rep", "f1", "f2", "copies", "cluster", "blocks", "block"), "rep").mapInArrow(read, kinds)
+    buckets = max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    met = _meetings(texts, n, num, den, buckets).withColumnRenamed("node", "f1")
+    enough = F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("size") / SPARE))
+    stay = classes.where(F.col("rep").isNotNull()).join(met, "f1").where(enough).select("rep", "key", "f1", "f2", "size", "copies")
+    read, kinds = _sets(n, ["key", "f1", "f2", "size", "copies"], ["long"] * 5)
+    sets = durable(texts.withColumnRenamed("id", "rep").join(stay, "rep").mapInArrow(read, kinds))
+
+    found = _clusters(sets, num, den, _common_last(sets), buckets).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    member = found.join(classes.select("key", "f1", "f2", "size"), "key")
+    weights = member.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    placed = member.join(weights, "cluster").select("key", "cluster", "blocks", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = sets.withColumn("o", other).withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o")).drop("o", "blocks")
+    pairs = sets.join(placed, "key").withColumn("o", other).withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o")).select("key", "f1", "f2", "copies", "grams", "cluster", "block", "x", "y")
     checked = durable(pairs.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_verify(num, den), "key long, links long, other long"))
 
     linked = checked.groupBy("key").agg(F.sum("links").alias("links"))

@@ -1,4 +1,4 @@
 """All registered queries of the library."""
 
-from lodestone.plans import etl_queries, retrieval_queries, scalar_queries, template_queries  # noqa: F401
+from lodestone.plans import case_queries, etl_queries, retrieval_queries, scalar_queries, template_queries  # noqa: F401
 from lodestone.plans.registry import QUERIES, SQL  # noqa: F401

@@ -58,10 +58,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "block", "large", "often"), [(1, 10**6, 64, 3), (2, 300, 4, 2), (3, 2000, 2, 1)])
-def test_against_brute_force(spark, monkeypatch, seed, block, large, often):
+@pytest.mark.parametrize(("seed", "block", "often", "spare"), [(1, 10**6, 2, 12), (2, 300, 3, 8), (3, 2000, 1, 4)])
+def test_against_brute_force(spark, monkeypatch, seed, block, often, spare):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
-    monkeypatch.setattr(ngram_join, "LARGE", large)
+    monkeypatch.setattr(ngram_join, "SPARE", spare)
     monkeypatch.setattr(ngram_join, "OFTEN", often)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, component int, size int")
