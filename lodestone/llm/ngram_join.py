@@ -10,7 +10,10 @@ five steps, none of which makes pairs of rows:
 3. The sets that stay are put in a global order with common n-grams last (at most `MOST_COMMON` of them are sent to the
    tasks: the order only has to be the same everywhere, so what is left out costs time, never links). Linked sets share
    an n-gram among the first n - ceil(t n) + 1 of it; sets with a common one and fitting lengths are chained, and the
-   chains' connected components are candidate clusters: every link lies inside one.
+   chains' connected components are candidate clusters: every link lies inside one. Clusters too large for one block
+   are chained anew by runs of n-grams that stand next to each other in the order: with x and y n-grams and an overlap o
+   two sets share at least (2k - 1) o - (k - 1) (x + y + 1) runs of k, so that sets which have only single n-grams in
+   common by chance, as long texts do, come apart without losing a link.
 4. Each cluster's sets are dealt, in blocks of bounded size if need be, as pairs of blocks. A task puts one block in a
    compressed prefix tree and traverses it with all sets of the other block at once; the overlap with a path is
    worked out once for all sets below it, and a subtree is left when what remains of lengths cannot reach the threshold.
@@ -25,7 +28,8 @@ other. Empty tables: no rows. Other columns are ignored. Links count rows, the r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -274,15 +278,48 @@ def _meetings(texts: DataFrame, n: int, num: int, den: int, buckets: int) -> Dat
     return parts.repartition("part").sortWithinPartitions("part").mapInArrow(total, "node long, met long")
 
 
-def _clusters(sets: DataFrame, num: int, den: int, order, buckets: int) -> DataFrame:
-    """(node, component) of sets (key, size, grams) whose prefixes meet; nodes are keys."""
+def _first_grams(num: int, den: int, order) -> Callable[[np.ndarray, int], np.ndarray]:
+    return lambda s, _: order.value.first(s, _prefix(len(s), num, den))
+
+
+def _first_runs(num: int, den: int, order) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Signatures of sets of one cluster: runs of k n-grams in the order, as many of the first ones as a link needs.
+
+    k is the greatest for which linked sets of a length must share runs. Sets too short for that (and those that such
+    sets may link with) give single n-grams.
+    """
+    k = next(k for k in count(1) if (2 * k + 1) * num <= k * (num + den))
+    gain = (2 * k - 1) * num - (k - 1) * (num + den)
+
+    def shared(x: int) -> int:
+        return -(-(x - x * -num // den) * gain // (num + den)) - (k - 1)
+
+    least = next(x for x in count(1) if shared(x) >= 1)
+
+    def signatures(s: np.ndarray, cluster: int) -> np.ndarray:
+        x, line, out = len(s), order.value.first(s, len(s)), []
+        if x >= least:
+            m = x - k + 1
+            runs = line[:m]
+            for i in range(1, k):
+                runs = mixed(runs * _BASE + line[i : m + i])
+            out.append(runs[: m - shared(x) + 1])
+        if x * num < least * den:
+            out.append(line[: _prefix(x, num, den)])
+        return mixed(np.concatenate(out) ^ mixed(np.array([cluster], np.int64).view(np.uint64)))
+
+    return signatures
+
+
+def _clusters(sets: DataFrame, num: int, den: int, signatures: Callable[[np.ndarray, int], np.ndarray], buckets: int) -> DataFrame:
+    """(node, component) of sets (key, grams, cluster) that have a signature in common; nodes are keys."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rank = _Gathered(num, den, buckets), order.value
+        held = _Gathered(num, den, buckets)
         for batch in batches:
-            for key, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, grams, cluster in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = np.frombuffer(grams, "<u8")
-                held.add(key, len(s), rank.first(s, _prefix(len(s), num, den)))
+                held.add(key, len(s), signatures(s, cluster))
             if held.total >= FLUSH:
                 yield from held.flush(counting=False)
         yield from held.flush(counting=False)
@@ -295,7 +332,7 @@ def _clusters(sets: DataFrame, num: int, den: int, order, buckets: int) -> DataF
                 a, b = forest(node[np.flatnonzero(~tied)][np.cumsum(~tied) - 1][tied], node[tied])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return components(_dealt(sets.select("key", "grams").mapInArrow(gather, _Gathered.KINDS)).mapInArrow(tie, "a long, b long"))
+    return components(_dealt(sets.select("key", "grams", "cluster").mapInArrow(gather, _Gathered.KINDS)).mapInArrow(tie, "a long, b long"))
 
 
 def trie_links(tree: list[np.ndarray], asked: list[np.ndarray], tree_sizes: np.ndarray, asked_sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -464,10 +501,19 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     read, kinds = _sets(n, ["key", "f1", "f2", "size", "copies"], ["long"] * 5)
     sets = durable(texts.withColumnRenamed("id", "rep").join(stay, "rep").mapInArrow(read, kinds))
 
-    found = _clusters(sets, num, den, _common_last(sets), buckets).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
-    member = found.join(classes.select("key", "f1", "f2", "size"), "key")
-    weights = member.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
-    placed = member.join(weights, "cluster").select("key", "cluster", "blocks", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).cast("int").alias("block"))
+    order = _common_last(sets)
+
+    def weighed(found: DataFrame) -> DataFrame:
+        """(key, f1, f2, cluster, blocks)."""
+        member = found.select(F.col("node").alias("key"), F.col("component").alias("cluster")).join(classes.select("key", "f1", "f2", "size"), "key")
+        weights = member.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+        return durable(member.join(weights, "cluster").select("key", "f1", "f2", "cluster", "blocks"))
+
+    coarse = weighed(_clusters(sets.withColumn("cluster", F.lit(0).cast("long")), num, den, _first_grams(num, den, order), buckets))
+    large = sets.join(coarse.where("blocks > 1").select("key", "cluster"), "key")
+    fine = weighed(_clusters(large, num, den, _first_runs(num, den, order), buckets))
+    member = coarse.where("blocks = 1").union(fine)
+    placed = member.select("key", "cluster", "blocks", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = sets.join(placed, "key").withColumn("o", other).withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o")).select("key", "f1", "f2", "copies", "grams", "cluster", "block", "x", "y")
     checked = durable(pairs.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_verify(num, den), "key long, links long, other long"))
