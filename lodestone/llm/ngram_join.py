@@ -43,7 +43,7 @@ MOST_COMMON, OFTEN = 250_000, 2
 #: A set stays if one in SPARE of its n-grams, of a prefix longer by as many, meets another set.
 SPARE = 12
 #: N-grams in one block of a cluster, and entries that a task gathers before it hands them on.
-BLOCK, FLUSH = 100_000, 1_000_000
+BLOCK, FLUSH = 100_000, 500_000
 BUCKETS = 4096
 
 _BASE = np.uint64(6364136223846793005)
@@ -223,9 +223,9 @@ def _meetings(texts: DataFrame, n: int, num: int, den: int, buckets: int) -> Dat
         for batch in batches:
             for text in batch.column(0):
                 if len(s := ngram_set(text.as_py(), n)):
-                    held.add(_fingerprint(s)[0], len(s), s[: _prefix(len(s), num, den, max(1, len(s) // SPARE) + 1)])
-            if held.total >= FLUSH:
-                yield from held.flush(counting=True)
+                    held.add(_fingerprint(s)[0], len(s), s[: _prefix(len(s), num, den, max(1, len(s) // SPARE) + 1)].copy())
+                if held.total >= FLUSH:
+                    yield from held.flush(counting=True)
         yield from held.flush(counting=True)
 
     def added(nodes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -317,11 +317,11 @@ def _clusters(sets: DataFrame, num: int, den: int, signatures: Callable[[np.ndar
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Gathered(num, den, buckets)
         for batch in batches:
-            for key, grams, cluster in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = np.frombuffer(grams, "<u8")
-                held.add(key, len(s), signatures(s, cluster))
-            if held.total >= FLUSH:
-                yield from held.flush(counting=False)
+            for key, grams, cluster in zip(*batch.columns, strict=True):
+                s = np.frombuffer(grams.as_buffer(), "<u8")
+                held.add(key.as_py(), len(s), signatures(s, cluster.as_py()).copy())
+                if held.total >= FLUSH:
+                    yield from held.flush(counting=False)
         yield from held.flush(counting=False)
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,12 +430,13 @@ def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and (row["cluster"], row["x"], row["y"]) != key:
-                    yield one(held)
-                    held = []
-                key = row["cluster"], row["x"], row["y"]
-                held.append(row)
+            for at in range(0, batch.num_rows, 500):
+                for row in batch.slice(at, 500).to_pylist():
+                    if held and (row["cluster"], row["x"], row["y"]) != key:
+                        yield one(held)
+                        held = []
+                    key = row["cluster"], row["x"], row["y"]
+                    held.append(row)
         if held:
             yield one(held)
 
@@ -468,10 +469,12 @@ def _common_last(sets: DataFrame):
             return pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["gram", "n"])
 
         for batch in batches:
-            held.extend(np.frombuffer(g, "<u8") for g in batch.column(0).to_pylist())
-            total = sum(map(len, held))
-            if total >= 4 * FLUSH:
-                yield flush()
+            for grams in batch.column(0):
+                held.append(np.frombuffer(grams.as_buffer(), "<u8"))
+                total += len(held[-1])
+                if total >= 4 * FLUSH:
+                    yield flush()
+                    total = 0
         yield flush()
 
     counted = sets.select("grams").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
