@@ -14,12 +14,15 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 16_384
 OVERLAP = 1_024
+#: Rows that a worker encodes or decodes before it hands them on.
+ROWS = 200
 
 _ENCODING: dict = {}
 
@@ -41,10 +44,12 @@ def _encode_rows(df: DataFrame, keep: list[str], path: str, pattern: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path, pattern).encode_ordinary
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = pa.array([encode(t.as_py() or "") for t in part.column(len(keep))], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], ids], [*keep, "ids"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [np.array(encode(t.as_py() or ""), np.int32) for t in part.column(len(keep))]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], [*keep, "ids"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[: len(keep)])
     return df.mapInArrow(run, f"{kinds}, ids array<int>")
@@ -110,8 +115,8 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = encoding(path, pattern).decode_bytes
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([join(x.values.to_pylist()) for x in part.column(at)], pa.binary())], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)

@@ -93,7 +93,9 @@ def find_contamination(
         import re
 
         word = re.compile(WORD)
-        for batch in batches:
+        # Several automata take turns in memory, so that each then scans a whole batch.
+        rows_at_once = 500 if len(shared) == 1 else 10_000
+        for batch in (b.slice(at, rows_at_once) for b in batches for at in range(0, b.num_rows, rows_at_once)):
             texts = batch.column(1)
             normal = [b" ".join([b"", *normal_words(t.as_py()), b""]).decode("latin-1") for t in texts]
             found: list[list] = [[] for _ in normal]
