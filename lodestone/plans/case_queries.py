@@ -118,9 +118,9 @@ def w13_deltas(spark, d):
 
 
 @query("""SELECT l_suppkey, CASE WHEN np > 0 THEN hit / np ELSE 0 END AS precision, CASE WHEN ng > 0 THEN found / ng ELSE 0 END AS recall, np > 0 AND hit = np AND found = ng AS exact FROM (SELECT l_suppkey, len(p) AS np, len(g) AS ng, len(list_filter(p, lambda x: len(list_filter(g, lambda y: contains(x, y) OR contains(y, x))) > 0)) AS hit, len(list_filter(g, lambda y: len(list_filter(p, lambda x: contains(x, y) OR contains(y, x))) > 0)) AS found
- FROM (SELECT l_suppkey, coalesce(list(DISTINCT p_name) FILTER (WHERE l_returnflag = 'A'), []) AS p, coalesce(list(DISTINCT split_part(p_name, ' ', 1)) FILTER (WHERE l_returnflag = 'R'), []) AS g FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey < 100 GROUP BY 1))""")
+ FROM (SELECT l_suppkey, coalesce(list(DISTINCT p_name) FILTER (WHERE l_returnflag = 'A'), []) AS p, coalesce(list(DISTINCT split_part(p_name, ' ', 1)) FILTER (WHERE l_returnflag = 'R'), []) AS g FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1))""")
 def r10_answer_scores(spark, d):
-    rows = read(spark, d, "lineitem").join(read(spark, d, "part").where("p_partkey < 100"), col("p_partkey") == col("l_partkey"))
+    rows = read(spark, d, "lineitem").join(read(spark, d, "part"), col("p_partkey") == col("l_partkey"))
     lists = rows.groupBy("l_suppkey").agg(F.collect_set(F.when(col("l_returnflag") == "A", col("p_name"))).alias("p"), F.collect_set(F.when(col("l_returnflag") == "R", F.split_part("p_name", lit(" "), lit(1)))).alias("g"))
     precision, recall, _, exact = C.answer_scores(col("p"), col("g"))
     return lists.select("l_suppkey", precision.alias("precision"), recall.alias("recall"), exact.alias("exact"))
@@ -230,14 +230,13 @@ def q29_coverage_point(spark, d):
 
 
 @query(f"""SELECT variant, CASE WHEN status <> 'GAP' AND NOT fits THEN 'OFF_TUMOUR' ELSE status END AS status, best FROM (SELECT n.n_name AS variant, CASE WHEN bool_or(contains(d.p_name, 'red')) AND bool_or(contains(d.p_name, 'bolt')) THEN 'COVERED' WHEN bool_or(contains(d.p_name, 'red')) OR bool_or(contains(d.p_name, 'bolt')) THEN 'PARTIAL' ELSE 'GAP' END AS status,
- bool_or(contains(lower(c.c_mktsegment), 'build')) AS fits, min(e.o_orderpriority) AS best FROM {SPINE} {DRUG} WHERE ld.l_returnflag = 'A' AND d.p_size < 3 GROUP BY 1)""")
+ bool_or(contains(lower(c.c_mktsegment), 'build')) AS fits, min(e.o_orderpriority) AS best FROM {SPINE} {DRUG} WHERE ld.l_returnflag = 'A' GROUP BY 1)""")
 def v18_coverage_audit(spark, d):
     """Expected drugs per variant against those with evidence, lowered where no evidence is of the case's tumour."""
     from lodestone.functions.text import coverage
 
     path = evidence_graph(spark, d).match("g", "Gene").hop("g", "HAS_VARIANT", "v").hop("v", "IN_MOLECULAR_PROFILE", "mp").hop("mp", "HAS_EVIDENCE", "e")
-    small = read(spark, d, "part").where("p_size < 3").select(col("p_partkey").alias("d__id"))
-    rows = path.hop("e", "TARGETS_DRUG", "d", rel_where="significance = 'A'").df.join(small, "d__id", "left_semi")
+    rows = path.hop("e", "TARGETS_DRUG", "d", rel_where="significance = 'A'").df
     per = rows.groupBy(col("v__name").alias("variant")).agg(F.collect_set("d__name").alias("found"), F.bool_or(T.any_keyword(col("mp__disease"), ["build"])).alias("fits"), F.min("e__level").alias("best"))
     status = coverage(lit("red+bolt"), col("found"))
     return per.select("variant", F.when((status != "GAP") & ~col("fits"), "OFF_TUMOUR").otherwise(status).alias("status"), "best")

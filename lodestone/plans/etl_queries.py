@@ -64,10 +64,12 @@ def j12_lookup(spark, d):
     return J.lookup(read(spark, d, "customer").select("c_custkey"), table, "c_custkey", "last_order", "at").na.fill(-1, ["last_order"])
 
 
-@query("SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON upper(trim(a.p_name)) = upper(trim(' ' || b.p_name)) WHERE a.p_partkey < 50 AND b.p_partkey < 50")
+@query("SELECT p_partkey, other FROM part JOIN (SELECT upper(trim(' ' || lower(p_name) || ' ')) AS k, min(p_partkey) AS other FROM part GROUP BY 1) ON k = upper(trim(p_name))")
 def j13_folded_names(spark, d):
-    p = read(spark, d, "part").where("p_partkey < 50")
-    return p.select("p_partkey", F.upper(F.trim("p_name")).alias("k")).join(p.select(col("p_partkey").alias("other"), F.upper(F.trim(F.concat(lit(" "), "p_name"))).alias("k")), "k").select("p_partkey", "other")
+    """Rows with the first one whose name is the same but for case and blanks."""
+    p = read(spark, d, "part")
+    first = p.groupBy(F.upper(F.trim(F.concat(lit(" "), F.lower("p_name"), lit(" ")))).alias("k")).agg(F.min("p_partkey").alias("other"))
+    return p.select("p_partkey", F.upper(F.trim("p_name")).alias("k")).join(first, "k").select("p_partkey", "other")
 
 
 KEY = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"

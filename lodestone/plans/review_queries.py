@@ -121,10 +121,10 @@ def v11_checks(spark, d):
     return read(spark, d, "orders").select("o_orderkey", status.alias("status"), F.array_join(lacking, ",").alias("unconfirmed"), ((status != "supported") | (F.size(lacking) > 0)).alias("has_question"))
 
 
-@query("SELECT conv_id, count(*) AS turns, TRUE AS valid FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1")
+@query("SELECT conv_id, count(*) AS turns, TRUE AS valid FROM conversations GROUP BY 1")
 def v30_public_ledger(spark, d):
     """Runs read back without their payload: turns and whether the chain holds."""
-    turns = read(spark, d, "conversations").where("conv_id % 2 = 0")
+    turns = read(spark, d, "conversations")
     chain = L.chained(turns, "conv_id", "turn", ["conv_id", "turn", "role", "text"])
     checked = L.verified(turns.join(chain, ["conv_id", "turn"]), "conv_id", "turn", ["conv_id", "turn", "role", "text"])
     return checked.select("conv_id", col("n").alias("turns"), "valid")
@@ -133,15 +133,13 @@ def v30_public_ledger(spark, d):
 # -- questions ----------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT DISTINCT r.r_name AS qid, n.n_name || ' has evidence for ' || d.p_name || '.' AS text FROM {SPINE} {DRUG} WHERE {KWS} AND {LV} AND d.p_size < 5")
+@query(f"SELECT DISTINCT r.r_name AS qid, n.n_name || ' has evidence for ' || d.p_name || '.' AS text FROM {SPINE} {DRUG} WHERE {KWS} AND {LV}")
 def r05_graph_facts(spark, d):
     """The facts that a routed question reads from the graph: follow the route, put paths in sentences, each once."""
     path = evidence_graph(spark, d).match("g", "Gene").hop("g", "HAS_VARIANT", "v").hop("v", "IN_MOLECULAR_PROFILE", "mp", where=T.any_keyword(col("disease"), ["build"]))
     path = path.hop("mp", "HAS_EVIDENCE", "e", where=T.levels(T.LEVELS)).hop("e", "TARGETS_DRUG", "d")
-    small = read(spark, d, "part").where("p_size < 5").select(col("p_partkey").alias("d__id"))
-    rows = path.df.join(small, "d__id", "left_semi")
     text = C.sentence(lit("Variant"), lit("Drug"), F.array("v__name", "d__name"), {("Variant", "Drug"): (" has evidence for ", ".")})
-    return rows.select(col("g__symbol").alias("qid"), text.alias("text")).distinct()
+    return path.df.select(col("g__symbol").alias("qid"), text.alias("text")).distinct()
 
 
 @query("SELECT o_custkey AS qid, bool_or(o_orderkey % 5 = 0)::INTEGER::DOUBLE AS terminal, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') > 0 THEN avg(CASE WHEN o_orderstatus = 'P' THEN (o_orderkey % 2 = 0)::INTEGER END) END AS chain FROM orders GROUP BY 1")
@@ -169,11 +167,11 @@ def r18_paraphrases(spark, d):
     return both.groupBy("condition").agg(F.round(F.avg(F.contains("t", lit("the")).cast("int")), 6).alias("recall"))
 
 
-@query("SELECT DISTINCT n_name AS gene, p_brand AS device, 'Drug ' || p_name || ' has companion diagnostic ' || p_brand || '.' AS chunk FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE n_nationkey < 3 AND p_size <= 2")
+@query("SELECT DISTINCT n_name AS gene, p_brand AS device, 'Drug ' || p_name || ' has companion diagnostic ' || p_brand || '.' AS chunk FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE p_size <= 25")
 def r19_scoped_chunks(spark, d):
     """Chunks of diagnostics, for the drugs that a gene's rows name."""
-    named = read(spark, d, "nation").where("n_nationkey < 3").join(read(spark, d, "supplier"), col("s_nationkey") == col("n_nationkey")).join(read(spark, d, "lineitem"), col("l_suppkey") == col("s_suppkey"))
-    part = read(spark, d, "part").where("p_size <= 2")
+    named = read(spark, d, "nation").join(read(spark, d, "supplier"), col("s_nationkey") == col("n_nationkey")).join(read(spark, d, "lineitem"), col("l_suppkey") == col("s_suppkey"))
+    part = read(spark, d, "part").where("p_size <= 25")  # the approved ones have a diagnostic
     rows = named.select("n_name", "l_partkey").distinct().join(part, col("p_partkey") == col("l_partkey"))
     chunk = F.concat(lit("Drug "), "p_name", lit(" has companion diagnostic "), "p_brand", lit("."))
     return rows.select(col("n_name").alias("gene"), col("p_brand").alias("device"), chunk.alias("chunk")).distinct()
