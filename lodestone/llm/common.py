@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Least number of files of a small intermediate, and rows for which it gets one more.
+LEAST_FILES, FILE_ROWS = 8, 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,8 +88,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every step is one partial aggregation and one equi-join,
     so that a node with very many neighbours is pre-aggregated and its join side can be split.
-    Only nodes that have a link to another node are returned.
+    Only nodes that have a link to another node are returned. Steps shrink as they go on, and are written to as many
+    files as their rows need.
     """
+    files = None
     stars = durable(links.where("a <> b").mapInArrow(_forests, "a long, b long").distinct())
     seen = None
     while True:
@@ -95,9 +101,10 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        stars = durable(small.where("a <> b").distinct())
+        step = small.where("a <> b").distinct()
+        stars = durable(step if files is None else step.coalesce(files))
         mark = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
-        seen = mark
+        seen, files = mark, LEAST_FILES + mark[0] // FILE_ROWS
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
