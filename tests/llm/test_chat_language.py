@@ -2,7 +2,9 @@
 
 import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from lodestone.llm import chat, language
@@ -90,3 +92,39 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert language.identify_held_out(df.limit(0)).collect() == []
     assert {r["lang_pred"] for r in language.predict(df, language.learn(df.where("lang is null"))).collect()} == {"und"}
+
+
+def test_language_counts_are_whole(spark, monkeypatch):
+    """Words and n-grams that workers do not hold count as exactly as those that they hold."""
+    monkeypatch.setattr(language, "MOST_WORDS", 3)
+    monkeypatch.setattr(language, "MOST_GRAMS", 2)
+    monkeypatch.setattr(language, "BLOCK_TEXTS", 7)
+    rng = np.random.default_rng(5)
+    stems = {"a": ["lum", "sol", "tar", "ken"], "b": ["mul", "sul", "tark", "nek"], "c": ["zol", "lum", "rat", "ekn"]}
+    rows = [(i, " ".join("".join(rng.choice(stems[x], 2)) for _ in range(rng.integers(0, 9))), x) for i, x in enumerate(rng.choice(list("abc"), 90).tolist())]
+    asked = rows[:40] + [(100, "lumq sulw", None), (101, "qqq", None), (102, None, None), (103, "lumsol lumsol x", None)]
+
+    def logs(counts):
+        size = len({w for c in counts.values() for w in c})
+        return lambda w: np.array([np.log((counts[x][w] + 0.5) / (sum(counts[x].values()) + 0.5 * size)) for x in "abc"]) if any(counts[x][w] for x in "abc") else None
+
+    grams = lambda w, m: [f" {w} "[i : i + m] for i in range(len(w) + 3 - m)]
+    words = {x: Counter(w for _, t, lang in rows if lang == x for w in t.split()) for x in "abc"}
+    word = logs(words)
+    gram = {m: logs({x: Counter(g for w, n in words[x].items() for g in grams(w, m) for _ in range(n)) for x in "abc"}) for m in (5, 4, 3, 2, 1)}
+
+    def score(w):
+        if word(w) is not None:
+            return word(w)
+        return next((np.mean(k, 0) for m in (5, 4, 3, 2, 1) if (k := [v for g in grams(w, m) if (v := gram[m](g)) is not None])), np.zeros(3))
+
+    learnt = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r for r in language.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), learnt).collect()}
+    assert len(got) == len(asked)
+    for i, text, _ in asked:
+        if not text:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        total = sum(score(w) for w in text.split())
+        assert got[i]["lang_pred"] == "abc"[int(np.argmax(total))]
+        assert abs(got[i]["score"] - 1 / np.exp(total - total.max()).sum()) < 1e-9
