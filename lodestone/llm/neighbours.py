@@ -4,7 +4,9 @@ Nearness is the largest inner product. The graph starts from random-direction bu
 bounded size, compared inside), then NN-descent joins every node's neighbours with each other, through the node, round
 by round. A query starts at its own node's neighbours and, round by round, expands the best nodes of its beam that are
 not expanded yet: frontier nodes are joined with the nodes' neighbour lists and only what enters the beam comes back.
-Graph and search use half-precision copies; the last beam is scored in double precision on the original vectors.
+Graph and search use copies of unit length in half precision, each with its norm in double precision, so that very long
+and very short vectors keep their order; the last beam is scored in double precision on the original vectors. The
+similarities that a node keeps of others leave out its own norm, which does not change their order.
 
 Equal vectors are one node (keyed by a 64-bit hash of the vector) that holds its `top` + 1 smallest ids, which is all
 that a result can show of them. Null, zero or empty vectors, vectors with null or non-finite components and vectors of
@@ -53,6 +55,22 @@ def _flat(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind) if parts else np.zeros(0, kind)
 
 
+def _packed(vec: np.ndarray) -> bytes:
+    """A vector's norm, then its copy of unit length."""
+    most = np.abs(vec).max()
+    scaled = vec / most
+    length = np.sqrt(scaled @ scaled)
+    with np.errstate(over="ignore"):
+        norm = min(most * length, np.finfo(np.float64).max)
+    return np.array([norm], "<f8").tobytes() + (scaled / length).astype("<f2").tobytes()
+
+
+def _unpacked(halves: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Norms and copies of unit length of `count` packed vectors."""
+    rows = np.frombuffer(halves, np.uint8).reshape(count, -1)
+    return rows[:, :8].copy().view("<f8")[:, 0], rows[:, 8:].copy().view("<f2").astype(np.float32)
+
+
 def _lists(keys: np.ndarray, values: dict[str, np.ndarray], names: list[str]) -> pa.RecordBatch:
     """A row for each run of equal keys, with its values packed."""
     edge = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, int)
@@ -90,7 +108,7 @@ def _nodes(vectors: DataFrame, id_col: str, vec_col: str, top: int, wanted: Colu
             runs = [at[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
             vec = [b.column("v")[int(r[0])].values.to_numpy() for r in runs]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[r[0]] for r in runs], pa.int64()), pa.array([x.astype("<f2").tobytes() for x in vec], pa.binary()), pa.array([x.astype("<f8").tobytes() for x in vec], pa.binary()),
+                [pa.array([nodes[r[0]] for r in runs], pa.int64()), pa.array([_packed(x.astype(np.float64)) for x in vec], pa.binary()), pa.array([x.astype("<f8").tobytes() for x in vec], pa.binary()),
                  pa.array([np.unique(ids[r])[: top + 1] for r in runs], pa.list_(pa.int64())), pa.array([np.unique(ids[r][asks[r].astype(bool)]) for r in runs], pa.list_(pa.int64()))],
                 ["node", "half", "vec", "ids", "asked"],
             )
@@ -110,7 +128,7 @@ def _start(nodes: DataFrame, count: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.frombuffer(b"".join(b.column("half").to_pylist()), "<f2").reshape(b.num_rows, -1).astype(np.float32)
+            _, x = _unpacked(b"".join(b.column("half").to_pylist()), b.num_rows)
             codes = []
             for t in range(TABLES if spread else 1):
                 if not spread:
@@ -129,16 +147,16 @@ def _start(nodes: DataFrame, count: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _batches_of(batches, "bucket"):
             bucket, node = t["bucket"].to_numpy(), t["node"].to_numpy()
-            x = _flat(t["half"], "<f2").reshape(len(node), -1).astype(np.float32)
+            norm, x = _unpacked(b"".join(t["half"].to_pylist()), len(node))
             edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2:
                     continue
-                s = x[a:b] @ x[a:b].T
+                s = (x[a:b] @ x[a:b].T) * norm[a:b]
                 np.fill_diagonal(s, -np.inf)
                 k = min(NEIGHBOURS if not spread else NEIGHBOURS // 2, b - a - 1)
                 near = np.argpartition(-s, k - 1, 1)[:, :k]
-                yield _lists(np.repeat(node[a:b], k), {"o": node[a:b][near].ravel(), "s": np.take_along_axis(s, near, 1).ravel().astype("<f4")}, ["node", "others", "sims"])
+                yield _lists(np.repeat(node[a:b], k), {"o": node[a:b][near].ravel(), "s": np.take_along_axis(s, near, 1).ravel().astype("<f8")}, ["node", "others", "sims"])
 
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "node long, others binary, sims binary")
 
@@ -152,7 +170,7 @@ def _merge(found: DataFrame, graph: DataFrame) -> DataFrame:
             n = [len(x) // 8 for x in t["others"].to_pylist()]
             node = t["node"].to_numpy()
             key, known = np.repeat(node, n), np.repeat(t["known"].to_numpy(), n).astype(np.int8)
-            key, other, sim, known = _best(key, _flat(t["others"], "<i8"), _flat(t["sims"], "<f4"), known, NEIGHBOURS)
+            key, other, sim, known = _best(key, _flat(t["others"], "<i8"), _flat(t["sims"], "<f8"), known, NEIGHBOURS)
             own = [(k, h) for k, h in zip(node.tolist(), t["half"].to_pylist(), strict=True) if h is not None]
             keys = np.array([k for k, _ in own], np.int64)
             low, high = np.searchsorted(key, keys), np.searchsorted(key, keys, "right")
@@ -206,16 +224,16 @@ def _descend(graph: DataFrame) -> DataFrame:
         total = 0
         for t in _batches_of(batches, "mid", 10_000):
             mid, member, fresh = t["mid"].to_numpy(), t["member"].to_numpy(), t["fresh"].to_numpy().astype(bool)
-            x = _flat(t["half"], "<f2").reshape(len(mid), -1).astype(np.float32)
-            bound = np.array([np.frombuffer(s, "<f4")[-1] if len(s) >= 4 * NEIGHBOURS else -np.inf for s in t["sims"].to_pylist()], np.float32)
+            norm, x = _unpacked(b"".join(t["half"].to_pylist()), len(mid))
+            bound = np.array([np.frombuffer(s, "<f8")[-1] if len(s) >= 8 * NEIGHBOURS else -np.inf for s in t["sims"].to_pylist()])
             edge = np.concatenate([[0], np.flatnonzero(np.diff(mid)) + 1, [len(mid)]])
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 own = a + np.argsort(~fresh[a:b], kind="stable")[: 4 * JOINED]
                 if len(own) < 2 or not fresh[own].any():
                     continue
-                s = x[own] @ x[own].T
+                s = (x[own] @ x[own].T) * norm[own]
                 i, j = np.nonzero((s > bound[own][:, None]) & (fresh[own][:, None] | fresh[own][None, :]) & (member[own][:, None] != member[own][None, :]))
-                held.append((member[own[i]], member[own[j]], s[i, j].astype("<f4")))
+                held.append((member[own[i]], member[own[j]], s[i, j].astype("<f8")))
                 total += len(i)
             if total >= _FLUSH:
                 yield flush()
@@ -268,7 +286,7 @@ def _beams(rows: DataFrame) -> DataFrame:
             n = [len(x) // 8 for x in t["ids"].to_pylist()]
             q = t["q"].to_numpy()
             half = {k: v for k, v in zip(q.tolist(), t["half"].to_pylist(), strict=True) if v is not None}
-            key, other, sim, done = np.repeat(q, n), _flat(t["ids"], "<i8"), _flat(t["sims"], "<f4"), _flat(t["done"], "<i1")
+            key, other, sim, done = np.repeat(q, n), _flat(t["ids"], "<i8"), _flat(t["sims"], "<f8"), _flat(t["done"], "<i1")
             own = key == other  # the query's own node stays in its beam
             a = _best(key, other, sim, done, BEAM)
             key, other, sim, done = (np.concatenate([x[own], y]) for x, y in zip((key, other, sim, done), a, strict=True))
@@ -298,10 +316,10 @@ def _next(b: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
     for q, half, ids, sims, done in zip(*(b.column(k).to_pylist() for k in ("q", "half", "ids", "sims", "done")), strict=True):
         at = np.flatnonzero(np.frombuffer(done, "<i1") == 0)[:EXPAND]
-        s = np.frombuffer(sims, "<f4")
-        bound = float(s[-1]) if len(s) > BEAM else -1e30
+        s = np.frombuffer(sims, "<f8")
+        bound = float(s[-1]) if len(s) > BEAM else -np.inf
         rows += [(n, q, half, bound) for n in np.frombuffer(ids, "<i8")[at].tolist()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.float32()))], ["node", "q", "half", "bound"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.float64()))], ["node", "q", "half", "bound"])
 
 
 def _expanded(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -327,11 +345,11 @@ def _visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for near, halves, asks in zip(*(b.column(k).to_pylist() for k in ("near", "halves", "asks")), strict=True):
             ids = np.frombuffer(near, "<i8")
-            x = np.frombuffer(halves, "<f2").reshape(len(ids), -1).astype(np.float32)
-            qs = np.frombuffer(b"".join(a["half"] for a in asks), "<f2").reshape(len(asks), -1).astype(np.float32)
-            s = qs @ x.T
-            i, j = np.nonzero(s > np.array([a["bound"] for a in asks], np.float32)[:, None])
-            held.append((np.array([a["q"] for a in asks], np.int64)[i], ids[j], s[i, j].astype("<f4")))
+            norm, x = _unpacked(halves, len(ids))
+            _, qs = _unpacked(b"".join(a["half"] for a in asks), len(asks))
+            s = (qs @ x.T) * norm
+            i, j = np.nonzero(s > np.array([a["bound"] for a in asks])[:, None])
+            held.append((np.array([a["q"] for a in asks], np.int64)[i], ids[j], s[i, j].astype("<f8")))
             total += len(i)
         if total >= _FLUSH:
             yield flush()
@@ -353,9 +371,9 @@ def nearest(vectors: DataFrame, wanted: Column, top: int = 20, id_col: str = "ve
         for b in batches:
             ids, sims, done = [], [], []
             for node, half, others, near in zip(*(b.column(k).to_pylist() for k in ("node", "half", "others", "sims")), strict=True):
-                x = np.frombuffer(half, "<f2").astype(np.float32)
+                norm, _ = _unpacked(half, 1)
                 ids.append(np.array([node], "<i8").tobytes() + others)
-                sims.append(np.array([x @ x], "<f4").tobytes() + near)
+                sims.append(norm.astype("<f8").tobytes() + near)
                 done.append(b"\x01" + b"\x00" * (len(others) // 8))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("half"), *(pa.array(v, pa.binary()) for v in (ids, sims, done))], ["q", "half", "ids", "sims", "done"])
 
@@ -363,14 +381,14 @@ def nearest(vectors: DataFrame, wanted: Column, top: int = 20, id_col: str = "ve
     beams = _beams(own.join(graph.select("node", "half", "others", "sims"), "node").mapInArrow(begin, kinds))
     for _ in range(HOPS):
         # Dealt by node once: the queries at a node are gathered and meet its neighbours where they are.
-        frontier = _unpack(beams, _next, "node long, q long, half binary, bound float").repartition(parts, "node")
+        frontier = _unpack(beams, _next, "node long, q long, half binary, bound double").repartition(parts, "node")
         asks = frontier.groupBy("node", F.pmod(F.xxhash64("q"), F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("q", "half", "bound")).alias("asks"))
         met = asks.join(searched, "node").select("near", "halves", "asks").mapInArrow(_visit, kinds)
         beams = _beams(met.union(_unpack(beams, _expanded, kinds)))
     searched.unpersist()
 
     def last(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(q, n) for q, ids in zip(b.column("q").to_pylist(), b.column("ids").to_pylist(), strict=True) for n in np.frombuffer(ids, "<i8")[: 2 * top + 20].tolist()]
+        rows = [(q, n) for q, ids in zip(b.column("q").to_pylist(), b.column("ids").to_pylist(), strict=True) for n in {*np.frombuffer(ids, "<i8")[: 2 * top + 20].tolist(), q}]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["q", "node"])
 
     pairs = _unpack(beams, last, "q long, node long").join(nodes.select("node", "vec", "ids"), "node").select("q", "node", "vec", "ids")

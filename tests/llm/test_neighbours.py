@@ -47,3 +47,15 @@ def test_equal_vectors_bad_vectors_and_few_rows(spark):
     assert [a for a, _ in found(spark.createDataFrame(few, SCHEMA))[20]] == [21]
     assert found(spark.createDataFrame(few[:1], SCHEMA)) == {}
     assert found(spark.createDataFrame([], SCHEMA)) == {}
+
+
+def test_recall_over_norms(spark):
+    """Vectors far longer and far shorter than half precision reaches, together and each by themselves."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((4000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for norms in (10 ** rng.uniform(-10, 8, 4000), np.full(4000, 1e-10), np.full(4000, 1e8)):
+        rows = [(i, v.tolist(), 0, 0) for i, v in enumerate((x * norms[:, None]).astype(np.float32))]
+        got, want = found(spark.createDataFrame(rows, SCHEMA)), brute(rows, 20)
+        assert got.keys() == want.keys()
+        assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.95
