@@ -144,7 +144,7 @@ def r13_noise_facts(spark, d):
     """False edges with their passages: candidate pairs of a source's kind that are not true, in hash order."""
     truth = read(spark, d, "part").select(col("p_brand").alias("src"), col("p_type").alias("dst")).distinct()
     pool = truth.select("dst").union(spark.createDataFrame([("RARE",), ("OTHER",)], "dst string")).distinct()
-    pairs = truth.select("src").distinct().join(F.broadcast(pool.limit(100)), lit(True), "cross").join(truth, ["src", "dst"], "left_anti")  # kinds are a short, fixed list
+    pairs = truth.select("src").distinct().crossJoin(pool).join(truth, ["src", "dst"], "left_anti")
     k = F.row_number().over(Window.partitionBy("src").orderBy(F.sha2(F.concat_ws("|", "src", "dst"), 256)))
     return pairs.withColumn("k", k).where("k <= 1").select("src", "dst", F.concat("src", lit(" targets "), "dst", lit(".")).alias("passage"))
 
