@@ -6,12 +6,17 @@ the two are stitched. Pre-tokenisation looks only forward, so that from a shared
 after white space is not used (how a white-space run is cut depends on what follows it). Chunks that share no boundary
 are joined to one piece. Decoding looks up each id's bytes and concatenates them.
 
-Null text: encoded as the empty text, no ids, no bytes. Repeated rows: encoded each for itself. Empty tables: no rows.
+Runs of `LONG_RUN` or more blanks are given to the tokenizer as one pre-token, without its last blank if a text follows:
+that is how the pattern cuts them, and the library's regular expressions run out of stack on very long ones.
+
+Null text: encoded as the empty text, no ids, no bytes. Very long texts: in chunks, as above. Repeated rows: encoded each
+for itself. Empty tables: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +28,9 @@ CHUNK = 16_384
 OVERLAP = 1_024
 #: Rows that a worker encodes or decodes before it hands them on.
 ROWS = 200
+#: Blanks in a row that are cut out before the regular expression of the tokenizer sees them; and what is a blank to it.
+LONG_RUN = 1_000
+_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 _ENCODING: dict = {}
 
@@ -38,21 +46,42 @@ def encoding(path: str, pattern: str):
     return _ENCODING[path, pattern]
 
 
-def _encode_rows(df: DataFrame, keep: list[str], path: str, pattern: str) -> DataFrame:
-    """keep columns and ids of the last column, which is a text."""
+def encode_text(path: str, pattern: str, text: str) -> list[int]:
+    """The ids of a whole text."""
+    tokenizer = encoding(path, pattern)
+    runs = [m.span() for m in _BLANKS.finditer(text)] if len(text) >= LONG_RUN else []
+    if not runs:
+        return tokenizer.encode_ordinary(text)
+    ids, at = [], 0
+    for start, end in runs:
+        if end < len(text):
+            end -= 1  # the last blank may belong to what follows
+        ids += tokenizer.encode_ordinary(text[at:start])
+        ids += tokenizer._encode_single_piece(text[start:end])
+        at = end
+    return ids + tokenizer.encode_ordinary(text[at:])
+
+
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array(x, np.int32) for x in ids])))
+
+
+def _encode_rows(df: DataFrame, keep: list[str], path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """keep columns and ids of the last column, which is a text; and the bytes that the ids decode to, if asked for."""
+    names = [*keep, "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path, pattern).encode_ordinary
+        join = encoding(path, pattern).decode_bytes
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = [np.array(encode(t.as_py() or ""), np.int32) for t in part.column(len(keep))]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], [*keep, "ids"])
+                ids = [encode_text(path, pattern, t.as_py() or "") for t in part.column(len(keep))]
+                back = [pa.array(map(join, ids), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], _lists(ids), *back], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[: len(keep)])
-    return df.mapInArrow(run, f"{kinds}, ids array<int>")
+    return df.mapInArrow(run, f"{kinds}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def _chunks(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -97,14 +126,24 @@ def pieces(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame
     return joined.select("row", "id", "k", F.substring(whole, F.coalesce(F.get("parts", 0)["cut"], F.lit(0)) + 1, F.length(whole)).alias("piece"))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(id_col, ids array<int>): the ids of each whole text, without special tokens."""
+def _parts(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text) of texts of one chunk at most, and (id, text, row) of longer ones."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    short = _encode_rows(rows.where(F.length("text") <= chunk), ["id"], path, pattern)
-    long = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    short = F.length("text") <= chunk
+    return rows.where(short), rows.where(~short).withColumn("row", F.monotonically_increasing_id())
+
+
+def _stitched(long: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """(id, ids) of texts that are cut to chunks."""
     parts = _encode_rows(pieces(long, pattern, chunk, overlap), ["row", "id", "k"], path, pattern)
-    stitched = parts.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    return short.union(stitched.select("id", F.flatten(F.transform("parts", lambda p: p["ids"])))).withColumnRenamed("id", id_col)
+    whole = parts.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    return whole.select("id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(id_col, ids array<int>): the ids of each whole text, without special tokens."""
+    short, long = _parts(docs, id_col, text_col, chunk)
+    return _encode_rows(short, ["id"], path, pattern).union(_stitched(long, path, pattern, chunk, overlap)).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -123,8 +162,15 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out
     return tokens.mapInArrow(run, f"{kinds}, `{out_col}` binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(id_col, ids array<int>, decoded binary): as encode and decode; a text of one chunk meets one Python worker only."""
+    short, long = _parts(docs, id_col, text_col, chunk)
+    back = decode(_stitched(long, path, pattern, chunk, overlap), path, pattern)
+    return _encode_rows(short, ["id"], path, pattern, decoded=True).union(back).withColumnRenamed("id", id_col)
+
+
 def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256) of encoding each text and decoding its ids."""
-    return decode(encode(docs, path, pattern, id_col, text_col), path, pattern).select(
+    return round_trip(docs, path, pattern, id_col, text_col).select(
         id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,17 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage at files in the shared checkpoint folder, which outlive a lost executor.
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the context: the cluster's `spark.checkpoint.dir`, or one set here where it is unset.
 
-    The folder is the cluster's `spark.checkpoint.dir`; one is set here only where there is none (local tests).
+    Only a local session, where driver and workers share a disk, may go without the setting.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage at files in the shared checkpoint folder, which outlive a lost executor."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As durable, but as a compressed table of columns: for wide intermediates of which later steps read a part."""
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def commonest(counted: DataFrame, most: int, n_col: str = "n") -> DataFrame:
     """Rows whose counts are so great that at most `most` rows are; equal counts stay or go together.
 

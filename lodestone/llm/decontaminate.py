@@ -4,8 +4,13 @@ Texts are lower-cased (A-Z) and cut to words of digits, letters and non-ASCII ch
 consecutive words of an item (a shorter item is one window). The normalised text is scanned once; matches are mapped to
 word numbers, and the words' places in the original text give the spans.
 
-Null or wordless texts: no words, no hits, not contaminated. Null, empty or wordless items have no window. An item id
-that repeats with other text adds its windows to the same id. Windows that several items share count for each of them.
+The windows are made, grouped and dealt to blocks of bounded size in Spark; a benchmark of one block (the usual case) is
+one automaton and one scan, of a larger one each block is sent to the workers and scanned for in turn.
+
+Null, empty or wordless documents: no words, no hits, not contaminated. Very long texts: scanned once, whole. Null, empty
+or wordless items have no window. Windows of items without an id hit words, but name no item. An item id that repeats
+with other text adds its windows to the same id. Windows that several items share count for each of them. Repeated rows
+are judged each; empty tables: no rows, or no hits. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import durable
+
 #: Bytes of windows in one automaton; a larger benchmark is scanned for in several blocks, one automaton in memory at a time.
 BLOCK_BYTES = 16_000_000
 WORD = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -31,22 +38,28 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
+def windows_of(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(key binary, items array<string>): each different window, spaces around its words, with the items that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = normal_words(text.as_py())
+                keys = {b" ".join([b"", *words[i : i + window], b""]) for i in range(max(1, len(words) - window + 1) if words else 0)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.binary()), pa.array([item] * len(keys), pa.string())], ["key", "item"])
+
+    made = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).mapInArrow(run, "key binary, item string")
+    return made.groupBy("key").agg(F.collect_set("item").alias("items"))
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[dict[str, list]]:
-    """Windows with their item ids, a bounded block at a time."""
-    block: dict[str, list] = {}
-    held = 0
-    for item, text in benchmark.select(id_col, text_col).where(F.col(id_col).isNotNull()).toLocalIterator():
-        words = normal_words(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            key = b" ".join([b"", *words[i : i + window], b""]).decode("latin-1")
-            if item not in (at := block.setdefault(key, [])):
-                at.append(item)
-                held += len(key) + 8
-        if held >= BLOCK_BYTES:
-            yield block
-            block, held = {}, 0
-    if block:
-        yield block
+    """Windows with their items, a bounded block at a time, dealt by hash."""
+    windows = durable(windows_of(benchmark, id_col, text_col, window))
+    held = windows.agg(F.sum(F.octet_length("key") + 8 * F.size("items") + 8).alias("bytes")).first()["bytes"] or 0
+    count = -(-held // BLOCK_BYTES)
+    for k in range(count):
+        block = windows.where(F.pmod(F.xxhash64("key"), F.lit(count)) == k).toArrow()
+        yield {key.decode("latin-1"): items for key, items in zip(block["key"].to_pylist(), block["items"].to_pylist(), strict=True)}
 
 
 def _automaton(shared, alone: bool):
@@ -120,7 +133,7 @@ def find_contamination(
                     at = [m.span() for m in word.finditer(texts[n].as_py().translate(_LOWER))]
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                     spans = [{"start": at[i][0], "end": at[j - 1][1]} for i, j in zip(edge[::2], edge[1::2], strict=True)]
-                names = sorted(map(str, items))
+                names = sorted(items)
                 out["n_words"].append(words)
                 out["n_hit"].append(n_hit)
                 out["items"].append(names)

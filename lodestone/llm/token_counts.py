@@ -5,7 +5,8 @@ there, both worked out once; a word is then read byte by byte, adding popped cou
 is matched with one leading space, so that pieces that begin with a space start words and all others continue them.
 
 Words are what white space (space, tab to carriage return) separates. Null, empty or blank texts: 0 words, 0 tokens.
-A word with a byte that no piece begins with counts as one unknown token. Repeated rows count each for themselves.
+A word with a byte that no piece begins with counts as one unknown token. Very long texts and words: read once, as all.
+Repeated rows count each for themselves. Empty tables: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Distinct words whose counts a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Words whose counts a worker remembers, and the longest that it does; beyond that number the memory starts anew.
+REMEMBERED, LONGEST = 250_000, 64
 
 _MACHINES: dict = {}
 
@@ -62,8 +63,7 @@ class PieceCounter(dict):
         for byte in b" " + word:
             while byte not in self.next[at]:
                 if self.fail[at] < 0:
-                    self[word] = 1
-                    return 1
+                    return self.keep(word, 1)
                 at, count = self.fail[at], count + self.popped[at]
             at = self.next[at][byte]
         while at > 0:
@@ -71,7 +71,11 @@ class PieceCounter(dict):
                 count = 1
                 break
             at, count = self.fail[at], count + self.popped[at]
-        self[word] = count
+        return self.keep(word, count)
+
+    def keep(self, word: bytes, count: int) -> int:
+        if len(word) <= LONGEST:
+            self[word] = count
         return count
 
 

@@ -98,14 +98,14 @@ def test_contamination(docs, none, spark):
     def plain(text):
         words = re.findall(d.WORD, (text or "").translate({c: c + 32 for c in range(65, 91)}))
         hit, items = set(), set()
-        for item, t in [(1, TEXTS[10][1][:90]), (2, "quick BROWN fox"), (5, "quick brown fox")]:
+        for item, t in [(1, TEXTS[10][1][:90]), (2, "quick BROWN fox"), (5, "quick brown fox"), (None, "lazy dogs")]:
             w = t.lower().split()
             for k in range(max(1, len(w) - 12)):
                 x = w[k : k + 13]
                 for j in range(len(words) - len(x) + 1):
                     if words[j : j + len(x)] == x:
                         hit |= set(range(j, j + len(x)))
-                        items.add(str(item))
+                        items |= {str(item)} if item else set()
         return len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
     want = sorted(((i, *plain(t)) for i, t in TEXTS), key=repr)
@@ -115,7 +115,7 @@ def test_contamination(docs, none, spark):
     assert rows(d.find_contamination(docs, bench), *cols) == want
     d.BLOCK_BYTES = whole
     spans = {r["doc_id"]: r["spans"] for r in d.find_contamination(docs, bench).collect()}
-    assert [TEXTS[0][1][s["start"] : s["end"]] for s in spans[1]] == ["Quick Brown fox"]
+    assert [TEXTS[0][1][s["start"] : s["end"]] for s in spans[1]] == ["Quick Brown fox", "lazy dogs"]
     assert rows(d.find_contamination(docs, bench.limit(0)), "n_hit")[-1] == (0,)
     assert d.find_contamination(none, bench).collect() == []
 
@@ -134,3 +134,25 @@ def test_bpe_matches_the_library_and_round_trips(docs, none, chunk, overlap):
         want = [(i, len(x := enc.encode_ordinary(t or "")), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in TEXTS]
         assert rows(token_digests(docs, RANKS, public_tokenizers.PATTERN), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
         assert token_digests(none, RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_bpe_of_long_blank_runs(spark):
+    """Runs of blanks that the library cannot read whole, cut where its pattern cuts them."""
+    from lodestone.llm import bpe
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    some = [" " * 3000, "a" + " " * 2500 + "b", "a\n" + "\t" * 1500 + "\nb c", "x" + " " * 1200 + "!" + " " * 1100, "\x1c" * 1500 + " y" + " \n" * 1000]
+    assert [bpe.encode_text(RANKS, public_tokenizers.PATTERN, t) for t in some] == [enc.encode_ordinary(t) for t in some]
+    huge = [(1, " " * 1_000_000 + "x"), (2, "word " * 10 + "\n" * 40_000 + "end"), (3, "y" * 100_000)]
+    got = {r["doc_id"]: r for r in bpe.round_trip(spark.createDataFrame(huge, "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).collect()}
+    assert all(bytes(got[i]["decoded"]) == t.encode() for i, t in huge)
+    assert list(got[1]["ids"]) == enc._encode_single_piece(" " * 999_999) + enc.encode_ordinary(" x")
+
+
+def test_token_counts_of_long_words(spark):
+    from lodestone.llm.token_counts import count_tokens
+
+    got = {r["doc_id"]: r for r in count_tokens(spark.createDataFrame([(1, "ab" * 200_000), (2, "ab " * 100_000)], "doc_id long, text string"), RANKS).collect()}
+    assert got[1]["n_words"] == 1 and 100_000 <= got[1]["n_tokens"] <= 200_000 and got[2]["n_words"] == 100_000
