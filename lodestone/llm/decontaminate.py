@@ -59,7 +59,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> It
     count = -(-held // BLOCK_BYTES)
     for k in range(count):
         block = windows.where(F.pmod(F.xxhash64("key"), F.lit(count)) == k).toArrow()
-        yield {key.decode("latin-1"): items for key, items in zip(block["key"].to_pylist(), block["items"].to_pylist(), strict=True)}
+        if block.num_rows:
+            yield {key.decode("latin-1"): items for key, items in zip(block["key"].to_pylist(), block["items"].to_pylist(), strict=True)}
 
 
 def _automaton(shared, alone: bool):

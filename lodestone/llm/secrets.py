@@ -1,17 +1,21 @@
 """Secret scans, in DataFrame functions only: a trigram index narrows each rule to candidates, regexes verify them.
 
-From each rule's pattern follows a Boolean query over lower-case trigrams. Postings (trigram, doc_id) of the trigrams
-that the queries name are intersected per document; only candidates of a rule are read with its regex. A rule whose
-pattern has no mandatory trigram reads every text. Offsets are code points; they follow from the lengths of the matches
-and of the stretches between them.
-
-Null text: as the empty text, no spans. Null doc_id: matched as a value like any other. Repeated ids or rows: a rule's
-candidates are those of all rows with the id, and verification settles each row. Other columns are ignored.
+From each rule's pattern follows a Boolean query over lower-case trigrams. The index holds postings (trigram, id) of the
+trigrams that any query names, taken from each text in one pass; no other trigram is ever asked for. A document's
+postings are intersected as the queries say, and only candidates of a rule are read with its regex. Texts without a
+single leading trigram have no posting: they stay where they are, and only the others meet the candidates by their ids.
+A rule whose pattern has no mandatory trigram reads every text. Offsets are code points; they are running sums of the
+lengths of the matches and of the stretches between them, so that the work grows with the text and its matches.
+
+Null text: as the empty text, no spans. Very long texts, and texts with very many matches: read whole. Null doc_id:
+matched as a value like any other. Repeated ids or rows: a rule's candidates are those of all rows with the id, and
+verification settles each row. An empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -80,52 +84,90 @@ def trigram_query(rule: Rule) -> list[set[str]]:
     return [w for n, w in enumerate(least) if w not in least[:n]] if all(ways) else []
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
-    """(id, rules array<string>): by intersected postings, the rules that may match a document."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r))}
-    grams = sorted(set().union(*(s for q in queries.values() for s in q)))
-    low = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"))
-    # Every alternative's rarest-looking gram first: a text without any of them has no posting at all.
-    leads = sorted({min(s) for q in queries.values() for s in q})
-    held = low.where(F.col("low").rlike("|".join(map(re.escape, leads))))
-    postings = held.select("id", F.explode(F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
-    sets = postings.groupBy("id").agg(F.collect_set("gram").alias("grams"))
+#: Letters by their frequency in running text: a query's leading trigram is the one that looks rarest.
+_FREQUENT = "zqxjkvbpygfwmucldrhsnioate"
+SPANS = "array<struct<start:long,rank:int,kind:string,end:long>>"
+
+
+def _rarest(grams: set[str]) -> str:
+    return min(grams, key=lambda g: (sum(map(_FREQUENT.find, g)), g))
+
+
+def _any_of(grams: list[str]) -> str:
+    """A regular expression of the alternatives, by their first letters."""
+    first = {g[0]: [re.escape(x[1:]) for x in grams if x[0] == g[0]] for g in grams}
+    return "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in first.items())
+
+
+def postings(rows: DataFrame, grams: list[str]) -> DataFrame:
+    """(id, gram): the index of rows (id, text), for the trigrams that are asked for; overlapping ones all count."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(f"(?=({_any_of(grams)}))"), F.lit(1))
+    return rows.select("id", F.explode(F.array_distinct(found)).alias("gram"))
+
+
+def candidates(rows: DataFrame, queries: dict[str, list[set[str]]]) -> DataFrame:
+    """(may_id, rules array<string>): by intersected postings, the rules that may match a document."""
+    sets = postings(rows, sorted(set().union(*(s for q in queries.values() for s in q)))).groupBy("id").agg(F.collect_set("gram").alias("grams"))
 
     def holds(query: list[set[str]]) -> Column:
         return reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.array_contains("grams", g) for g in sorted(s))) for s in query))
 
-    return sets.select("id", F.array_compact(F.array(*[F.when(holds(q), F.lit(k)) for k, q in queries.items()])).alias("rules")).where(F.size("rules") > 0)
-
-
-def _spans(rule: Rule, text: Column) -> Column:
-    """array<struct<start,rank,kind,end>> of the rule's leftmost non-overlapping matches that are long enough."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    between = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
-    rank = [r.kind for r in RULES].index(rule.kind)
-    ends = F.aggregate(
-        F.arrays_zip(F.transform(found, lambda x: F.length(x)).alias("m"), F.transform(value, lambda x: F.length(x)).alias("v"), F.slice(between, F.lit(1), F.size(found)).alias("b")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:long,rank:int,kind:string,end:long>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["b"] + x["m"]).alias("at"),
-            F.when(
-                x["v"] >= rule.at_least,
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["b"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (acc["at"] + x["b"] + x["m"]).alias("end")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.coalesce(ends, F.expr("cast(array() as array<struct<start:long,rank:int,kind:string,end:long>>)"))
+    kinds = F.array_compact(F.array(*[F.when(holds(q), F.lit(k)) for k, q in queries.items()]))
+    return sets.select(F.col("id").alias("may_id"), kinds.alias("rules")).where(F.size("rules") > 0)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array<long> that starts from 0: by blocks of about the root of its length, then inside each."""
+    zero = F.lit(0).cast("long")
+
+    def extend(acc: Column, x: Column) -> Column:
+        return F.concat(acc, F.array(step(F.element_at(acc, -1), x)))
+
+    def inside(v: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.size(v) - 1, wide), lambda at: F.slice(v, at + 1, wide))
+        return _let(blocks, lambda b: _let(F.aggregate(F.transform(b, lambda x: F.aggregate(x, zero, step)), F.array(zero), extend), lambda before: whole(b, before)))
+
+    def whole(blocks: Column, before: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda x, i: F.slice(F.aggregate(x, F.array(F.get(before, i)), extend), F.lit(2), F.size(x))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, inside(v)).otherwise(v))
+
+
+def _spans(rule: Rule, rank: int, text: Column) -> Column:
+    """Spans of the rule's leftmost non-overlapping matches that are long enough."""
+    lengths = lambda parts: F.transform(parts, lambda x: F.length(x).cast("long"))
+    found = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    value = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))) if rule.group else found
+    between = lengths(F.split(text, rule.pattern, -1))
+
+    def placed(m: Column) -> Column:
+        ends = _running(F.zip_with(m, F.slice(between, F.lit(1), F.size(m)), lambda x, y: x + y), lambda a, x: a + x)
+        each = F.arrays_zip(m.alias("m"), value.alias("v"), ends.alias("end"))
+        fit = F.filter(each, lambda x: x["v"] >= rule.at_least)
+        return F.transform(fit, lambda x: F.struct((x["end"] - x["m"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), x["end"].alias("end")))
+
+    return _let(found, placed).cast(SPANS)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, keep columns, text, spans array<struct<start,rank,kind,end>> by start, then rule order)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("rest"))
-    may = candidates(docs, rules, id_col, text_col).select(F.col("id").alias("may_id"), "rules")
-    read = rows.join(may, F.col("id").eqNullSafe(F.col("may_id")), "left")
-    none = F.expr("cast(array() as array<struct<start:long,rank:int,kind:string,end:long>>)")
+    queries = {r.kind: q for r in rules if (q := trigram_query(r))}
+    read = rows.withColumn("rules", F.array().cast("array<string>"))
+    if queries:
+        leads = F.lower("text").rlike(_any_of(sorted({_rarest(s) for q in queries.values() for s in q})))
+        led = rows.where(leads)
+        may = candidates(led, queries)
+        met = led.join(may, F.col("id").eqNullSafe(F.col("may_id")), "left").select(*rows.columns, F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
+        read = met.union(read.where(~leads))
     lists = [
-        F.when(F.array_contains("rules", rule.kind) if trigram_query(rule) else F.col("text").rlike(rule.pattern), _spans(rule, F.col("text"))).otherwise(none) for rule in rules
+        F.when(F.array_contains("rules", r.kind) if r.kind in queries else F.col("text").rlike(r.pattern), _spans(r, k, F.col("text"))).otherwise(F.array().cast(SPANS)) for k, r in enumerate(rules)
     ]
     return read.select(F.col("id").alias(id_col), *[F.col("rest")[k].alias(k) for k in keep], "text", F.sort_array(F.concat(*lists)).alias("spans"))
 
@@ -144,16 +186,17 @@ def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def mask_secrets(found: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """found with every span of text_col replaced; overlapping spans are replaced as one."""
-    merged = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col))),
-    )
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, merged).otherwise(F.col(text_col)))
+
+    def masked(chars: Column, reach: Column) -> Column:
+        """reach: how far the spans up to each one go."""
+        before = F.concat(F.array(F.lit(0).cast("long")), reach)
+        part = lambda low, high: F.array_join(F.slice(chars, (low + 1).cast("int"), (high - low).cast("int")), "")
+        pieces = F.zip_with("spans", F.slice(before, F.lit(1), F.size(reach)), lambda s, low: F.when(s["start"] >= low, F.concat(part(low, s["start"]), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), part(F.element_at(reach, -1), F.size(chars)))
+
+    reach = _running(F.transform("spans", lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+    whole = _let(F.split(text_col, "", -1), lambda chars: _let(reach, lambda r: masked(chars, r)))
+    return found.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(F.col(text_col)))
 
 
 #: DuckDB SQL of secret_digests over documents.
