@@ -75,6 +75,22 @@ def test_long_conversation_crosses_partitions(spark):
     assert chat.format_chats(df.limit(0)).collect() == []
 
 
+def test_ids_beyond_double_precision(spark):
+    """Conversations and turns that differ in their last bit stay apart, with and without nulls beside them."""
+    big = 2**60
+    turns = [(c, t, r, f"{c}.{t}") for c in (big, big + 1, big + 2, None, 3) for t, r in ((big, "user"), (big + 1, "user"), (None, "system"), (big + 2, "assistant"))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(df).collect()
+    assert sorted(((r["conv_id"], r["turn"]) for r in got), key=repr) == sorted(((c, t) for c, t, _, _ in turns), key=repr)
+    for c in {t[0] for t in turns}:
+        own = sorted((r for r in got if r["conv_id"] == c), key=lambda r: r["place"])
+        states = chat.repair([chat.role_of(r["role_in"]) for r in own])
+        assert [r["role_out"] for r in own] == [chat.STATES[s] for s in states] == ["system", "user", "user", "assistant"]
+        assert "".join(r["piece"] for r in own).count(f"{c}.") == 4
+    names = spark.createDataFrame([("a", 1, "user", "x" * 300_000), ("b", 1, "user", "y"), (None, 1, "user", "z")], "conv_id string, turn long, role string, text string")
+    assert sorted(len(r["piece"]) > 300_000 for r in chat.format_chats(names).collect()) == [False, False, True]
+
+
 def test_language(spark):
     rng = random.Random(1)
     stems = {"aa": ["ming", "tor", "vel", "shan"], "bb": ["ñeo", "quis", "lár", "ción"]}
