@@ -21,9 +21,10 @@ five steps, none of which makes pairs of rows:
    of the forests give the component ids.
 
 Words are runs of non-space characters of the text in lower case (A-Z). Fewer words than n: the whole sequence is one
-n-gram. Null, empty or blank texts have an empty set: no links, their own doc_id as component. Null doc_id: an ordinary
-row that is linked by its equal sets alone and names no component. An id with several texts: each is a row. Repeated rows and equal texts link with each
-other. Empty tables: no rows. Other columns are ignored. Links count rows, the row itself not.
+n-gram. Null, empty or blank texts have an empty set: no links, their own doc_id as component. Very long texts: whole, in
+blocks of bytes. Null doc_id: a row like any other that links and bridges, but names no component (null if it links with
+no row that has an id). An id with several texts: each is a row. Repeated rows and equal texts link with each other.
+Empty tables: no rows. Other columns are ignored, whatever their names. Links count rows, the row itself not.
 """
 
 from __future__ import annotations
@@ -112,12 +113,12 @@ class _Order:
 
 
 def _describe(n: int):
-    """Rows (id, size, f1, f2) of texts."""
+    """Rows (text, id and others) without the text, with (size, f1, f2) of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = [(len(s), *_fingerprint(s)) for s in (ngram_set(text.as_py(), n) for text in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([t[k] for t in told], pa.int64()) for k in range(3))], ["id", "size", "f1", "f2"])
+            told = [(len(s), *_fingerprint(s)) for s in (ngram_set(text.as_py(), n) for text in batch.column(0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array([t[k] for t in told], pa.int64()) for k in range(3))], [*batch.schema.names[1:], "size", "f1", "f2"])
 
     return run
 
@@ -393,10 +394,6 @@ def _verify(num: int, den: int):
 
     def one(rows: list[dict]) -> pa.RecordBatch:
         x, y = rows[0]["x"], rows[0]["y"]
-        kinds = {}
-        for r in rows:  # equal sets that a first fingerprint alone put together are told apart by their contents
-            kinds.setdefault((r["block"], r["f1"], r["f2"]), r)
-        rows = list(kinds.values())
         sets = [np.frombuffer(r["grams"], "<u8") for r in rows]
         every, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         # Commonest first, so that paths are shared; n-grams of one set only can never overlap.
@@ -428,34 +425,61 @@ def _verify(num: int, den: int):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(links), pa.array(key[root])], ["key", "links", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        held, key = {}, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                for row in batch.slice(at, 500).to_pylist():
+            for at in range(0, batch.num_rows, 200):
+                for row in batch.slice(at, 200).to_pylist():
                     if held and (row["cluster"], row["x"], row["y"]) != key:
-                        yield one(held)
-                        held = []
+                        yield one(list(held.values()))
+                        held = {}
                     key = row["cluster"], row["x"], row["y"]
-                    held.append(row)
+                    # A set is held once; sets that a first fingerprint alone put together are told apart by the second.
+                    held.setdefault((row["block"], row["f1"], row["f2"]), row)
         if held:
-            yield one(held)
+            yield one(list(held.values()))
 
     return run
 
 
 def _sets(n: int, names: list[str], kinds: list[str]):
+    """Rows (text, f1, f2 and others) whose text has that set, without the text, each set once in a task, with its n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [ngram_set(t.as_py(), n) for t in part.column("text")]
-                own = pa.array([_fingerprint(s) == (a.as_py(), b.as_py()) for s, a, b in zip(sets, part.column("f1"), part.column("f2"), strict=True)], pa.bool_())
-                whole = pa.RecordBatch.from_arrays([*(part.column(k) for k in names), pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "grams"])
-                yield whole.filter(own)  # an id may stand on several texts
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets, own = [], []
+                for text, a, b in zip(part.column("text"), part.column("f1").to_pylist(), part.column("f2").to_pylist(), strict=True):
+                    s = ngram_set(text.as_py(), n)
+                    fits = (a, b) not in seen and _fingerprint(s) == (a, b)  # an id may stand on several texts
+                    own.append(fits)
+                    sets.append(s.tobytes() if fits else b"")
+                    if fits:
+                        seen.add((a, b))
+                whole = pa.RecordBatch.from_arrays([*(part.column(k) for k in names), pa.array(sets, pa.binary())], [*names, "grams"])
+                yield whole.filter(pa.array(own, pa.bool_()))
 
     return run, ", ".join([f"{k} {t}" for k, t in zip(names, kinds, strict=True)] + ["grams binary"])
 
 
+def _without_ids(texts: DataFrame, n: int, stay: DataFrame) -> DataFrame:
+    """The sets of classes of which no row has an id: from the texts without ids, each set once in a task, met by fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for text in batch.column(0):
+                s = ngram_set(text.as_py(), n)
+                if len(s) and (key := _fingerprint(s)) not in seen:
+                    seen.add(key)
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["f1", "f2", "grams"])
+
+    found = texts.where("id is null").select("text").mapInArrow(run, "f1 long, f2 long, grams binary")
+    met = found.join(stay.where("rep is null"), ["f1", "f2"])
+    return met.groupBy("key", "f1", "f2", "size", "copies").agg(F.first("grams").alias("grams"))
+
+
 def _common_last(sets: DataFrame):
     """A broadcast order of n-grams: those that stretches of the sets repeat come last, by their counts."""
 
@@ -482,17 +506,22 @@ def _common_last(sets: DataFrame):
     return sets.sparkSession.sparkContext.broadcast(_Order(top["gram"].to_numpy().view(np.uint64), top["n"].to_numpy()))
 
 
-def similar_documents(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id, n_links, n_copies): one row for each row of docs.
+def similar_documents(
+    docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id_col, keep columns, n_shingles, component_id, n_links, n_copies, component_key): one row for each row of docs.
 
     threshold: numerator and denominator of the least Jaccard similarity. n_links: rows it links with; n_copies: rows
-    with the same set, itself included. Clusters of near copies are compared set by set, so that their cost grows with
-    the square of the number of different sets in a cluster; their copies are counted, not compared.
+    with the same set, itself included. component_key: a number of the component that rows without ids have, too; null
+    for empty sets. Clusters of near copies are compared set by set, so that their cost grows with the square of the
+    number of different sets in a cluster; their copies are counted, not compared.
     """
     num, den = threshold
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = durable(texts.mapInArrow(_describe(n), "id long, size long, f1 long, f2 long"))
+    kept = [f"_{k}" for k in range(len(keep))]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(k).alias(x) for k, x in zip(keep, kept, strict=True)])
+    kinds = "".join(f", {x} {texts.schema[x].dataType.simpleString()}" for x in kept)
+    rows = durable(texts.select("text", "id", *kept).mapInArrow(_describe(n), f"id long{kinds}, size long, f1 long, f2 long"))
     # A class is named by its smallest id; null ids take no part in naming.
     classes = rows.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = durable(classes.withColumn("key", F.monotonically_increasing_id()))
@@ -500,9 +529,11 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
 
     met = _meetings(texts, n, num, den, buckets).withColumnRenamed("node", "f1")
     enough = F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("size") / SPARE))
-    stay = classes.where(F.col("rep").isNotNull()).join(met, "f1").where(enough).select("rep", "key", "f1", "f2", "size", "copies")
-    read, kinds = _sets(n, ["key", "f1", "f2", "size", "copies"], ["long"] * 5)
-    sets = durable(texts.withColumnRenamed("id", "rep").join(stay, "rep").mapInArrow(read, kinds))
+    columns = ["key", "f1", "f2", "size", "copies"]
+    stay = durable(classes.join(met, "f1").where(enough).select("rep", *columns))
+    read, kinds = _sets(n, columns, ["long"] * 5)
+    named = texts.select(F.col("id").alias("rep"), "text").join(stay, "rep").mapInArrow(read, kinds)
+    sets = durable(named.unionByName(_without_ids(texts, n, stay)))
 
     order = _common_last(sets)
 
@@ -525,9 +556,9 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     joined = components(checked.select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "key")
     named = classes.join(joined, "key", "left").join(linked, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least, "component").select("f1", "f2", "size", "copies", F.col("least").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = named.join(least, "component").select("f1", "f2", "size", "copies", "least", "component", F.coalesce("links", F.lit(0)).alias("links"))
     out = rows.join(named, ["f1", "f2", "size"], "left")
     return out.select(
-        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"),
+        F.col("id").alias(id_col), *[F.col(x).alias(k) for k, x in zip(keep, kept, strict=True)], F.col("size").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"),
+        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.col("component").alias("component_key"),
     )

@@ -76,6 +76,21 @@ def test_empty_and_null_ids(spark):
     assert sorted((r["component_id"] or -1, r["n_links"]) for r in got) == [(-1, 0), (4, 2), (4, 2), (4, 2)]
 
 
+def test_rows_without_ids_link_and_bridge(spark):
+    """A near copy without an id links; it ties two documents that only it is near to; very long texts are whole."""
+    w = [f"w{i}" for i in range(44)]
+    one, two = " ".join(w), " ".join(w[:-2] + ["x", "y"])
+    far, mid, near = " ".join(w[:38] + ["p"] * 1), " ".join(w), " ".join(w[4:] + ["q"])
+    long = " ".join(f"v{i % 7001}_{i % 13}" for i in range(60_000))
+    rows = [(1, one), (None, two), (9, far), (None, mid), (8, near), (None, "lone text of its own that has no copy at all"), (20, long), (None, long + " end"), (None, long + " fin")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.similar_documents(df).collect()
+    want = brute([(1000 + k if i is None else i, t) for k, (i, t) in enumerate(rows)])
+    assert sorted(r["n_links"] for r in got) == sorted(x[3] for x in want)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {i: c for i, _, c, _ in want if i < 1000}
+    assert sorted(r["component_id"] or 0 for r in got if r["doc_id"] is None) == sorted(c if c < 1000 else 0 for i, _, c, _ in want if i >= 1000)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 300) if i % 37] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(5000, 5000 + k) for k in range(200)]

@@ -70,6 +70,18 @@ def test_stages(spark, folder):
     assert {r["doc_id"] for r in out} <= names - {1001, 1002} and len(out) >= 0.95 * (len(names) - 3)
 
 
+def test_near_duplicates_judges_rows(spark, folder):
+    """Unlike texts of one id both stay; copies go, whatever ids they have; clashing columns do not matter."""
+    w = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(w), " ".join(w[30:] + w[:30][::-1]), " ".join(w[::2])
+    rows = [(1, a), (1, b), (5, a + " more"), (None, b), (None, c), (None, c), (7, None), (7, None), (8, " "), (1, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "clash", 0.5, True) for i, t in rows], SCHEMA + ", row_key string, component_key double, keep boolean")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (1, b), (None, c), (7, None), (7, None), (8, " ")], key=repr)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == corpus_pipeline.COLUMNS
+
+
 def test_empty_documents(spark, folder, tmp_path):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
