@@ -1,7 +1,9 @@
 """From raw documents to token ids: quality, near duplicates, benchmark passages, secrets, byte-level BPE.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
-of `documents`. Extra columns of docs are not carried on.
+of `documents`. Extra columns of docs are not carried on, whatever their names. Null or empty texts and null ids go through
+every stage as rows of their own, and so do the different texts of one id; very long texts are read whole; an empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -30,12 +32,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays. Documents without an id stay."""
-    docs = docs.select(*COLUMNS)
-    first = similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    met = docs.join(first, "doc_id", "left_semi")
-    one = met.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))).where("nth = 1")
-    return one.select(*COLUMNS).union(docs.where("doc_id is null"))
+    """Of each group of near copies the row with the smallest id stays (null ids last, then by text).
+
+    Rows are judged one by one: of an id with several texts each text stays or goes with its own group. Texts without
+    words are in no group and stay.
+    """
+    words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    key = F.concat_ws(":", "doc_id", F.md5("text"))  # of a row; equal rows share it
+    rows = docs.select(*COLUMNS)
+    known = rows.withColumn("row_key", key)
+    found = similar_documents(known.select("doc_id", "text", "row_key"), keep=("row_key",)).where("component_key is not null")
+    first = found.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).getField("row_key").alias("row_key"))
+    met = known.where(words).join(first.select("row_key").distinct(), "row_key", "left_semi")
+    one = met.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("lang", "source", "n_chars"))).where("nth = 1")
+    return one.select(*COLUMNS).union(rows.where(~words))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
