@@ -7,7 +7,8 @@ average. The best sum wins, ties go to the first name. `MOST_WORDS` and `MOST_GR
 of the commonest ones workers hold; a block's other words are joined with the tables, with the same result.
 
 Null text or no letter: `und` with score 0. Null labels are not learnt from. No labelled rows: all are `und`. Repeated
-rows count as often as they occur. Null ids and other columns take no part in learning or prediction.
+rows count as often as they occur. Very long texts: read whole. Empty tables: no rows. Null ids and other columns,
+whatever their names, take no part in learning or prediction.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import commonest, durable
+from lodestone.llm.common import commonest, stored
 
-MOST_WORDS, MOST_GRAMS, LENGTHS, SMOOTH = 100_000, 20_000, (5, 4, 3, 2, 1), 0.5
+MOST_WORDS, MOST_GRAMS, LENGTHS, SMOOTH = 400_000, 20_000, (5, 4, 3, 2, 1), 0.5
+#: Letters of the longest word, and numbers of all words together, that a worker holds: with many languages, fewer words.
+LONGEST, NUMBERS = 48, 4_000_000
 #: Different words to be looked up and texts of a block that is scored together.
 BLOCK_WORDS, BLOCK_TEXTS = 50_000, 5_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -92,7 +95,7 @@ def _held(table: DataFrame, key: str, most: int, langs: int) -> tuple[dict[str,
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Learnt:
     named = sorted(r[0] for r in labelled.select(lang_col).where(F.col(lang_col).isNotNull()).distinct().collect())
     per = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{k}") for k, x in enumerate(named)]
-    counts = durable(word_counts(labelled, text_col, lang_col).groupBy("word").agg(*per)) if named else None
+    counts = stored(word_counts(labelled, text_col, lang_col).groupBy("word").agg(*per)) if named else None
     cols = [f"l{k}" for k in range(len(named))]
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cols]
     of = counts.agg(F.count("*").alias("rows"), *sums).first() if named else None
@@ -105,12 +108,13 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     padded, long = F.concat(F.lit(" "), F.col("word"), F.lit(" ")), F.length("word") + 2
     cut = [F.when(long >= m, _cut(padded, long, m)).otherwise(F.array().cast("array<string>")) for m in LENGTHS]
     spans = counts.select(*cols, F.explode(F.concat(*cut)).alias("gram"))
-    gram_counts = durable(spans.groupBy("gram").agg(*[F.sum(c).alias(c) for c in cols]))
+    gram_counts = stored(spans.groupBy("gram").agg(*[F.sum(c).alias(c) for c in cols]))
     size = F.length("gram")
     by_size = {r["size"]: r for r in gram_counts.groupBy(size.alias("size")).agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in cols]).collect()}
     logs = F.coalesce(*[F.when(size == m, _logs([F.col(c) for c in cols], [r[c] for c in cols], r["rows"])) for m, r in by_size.items()])
     grams = gram_counts.select("gram", n, logs.alias("logs"))
-    model = Model(langs, *_held(words, "word", MOST_WORDS, len(langs)), {m: _held(grams.where(size == m), "gram", MOST_GRAMS, len(langs)) for m in LENGTHS})
+    most = min(MOST_WORDS, NUMBERS // len(langs))
+    model = Model(langs, *_held(words.where(F.length("word") <= LONGEST), "word", most, len(langs)), {m: _held(grams.where(size == m), "gram", MOST_GRAMS, len(langs)) for m in LENGTHS})
     return Learnt(model, words.select("word", "logs"), grams.select("gram", "logs"))
 
 
@@ -127,7 +131,7 @@ def _shared(shared, serial: int) -> Model:
 def _looked_up(wanted: DataFrame, learnt: Learnt, shared, serial: int) -> DataFrame:
     """(word, logs) of different words; those never learnt get the mean of their longest learnt n-grams, if any."""
     langs = range(len(learnt.model.langs))
-    met = durable(wanted.join(learnt.words, "word", "left"))
+    met = stored(wanted.join(learnt.words, "word", "left"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(word, size, n, gram, logs): sums over the n-grams that workers hold, and the others with their number."""
@@ -147,7 +151,7 @@ def _looked_up(wanted: DataFrame, learnt: Learnt, shared, serial: int) -> DataFr
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["word", "size", "n", "gram", "logs"])
 
-    parts = durable(met.where("logs is null").select("word").mapInArrow(cut, "word string, size int, n long, gram string, logs array<double>"))
+    parts = stored(met.where("logs is null").select("word").mapInArrow(cut, "word string, size int, n long, gram string, logs array<double>"))
     n = F.col("n")
     joined = parts.where("gram is not null").drop("logs").join(learnt.grams, "gram").select("word", "size", "n", F.transform("logs", lambda x: x * n).alias("logs"))
     sums = parts.where("gram is null").select("word", "size", "n", "logs").union(joined).groupBy("word", "size").agg(F.sum("n").alias("n"), *[F.sum(F.col("logs")[k]).alias(f"l{k}") for k in langs])
@@ -197,7 +201,7 @@ def predict(docs: DataFrame, learnt: Learnt, text_col: str = "text", keep: tuple
         cols = [*(pa.nulls(n, schema.field(k).type) for k in range(len(keep))), pa.array([block] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(words, pa.string())]
         return pa.RecordBatch.from_arrays(cols, [*keep, "block", "total", "at", "pos", "word"])
 
-    state = durable(docs.select(*keep, text_col).mapInArrow(held, f"{kinds}, block long, total binary, at binary, pos int, word string"))
+    state = stored(docs.select(*keep, text_col).mapInArrow(held, f"{kinds}, block long, total binary, at binary, pos int, word string"))
     asked = state.where("pos is not null").select("block", "pos", "word")
     answers = asked.join(_looked_up(asked.select("word").distinct(), learnt, shared, serial), "word").select("block", "pos", "logs")
     lines = state.where("pos is null").select(*keep, "block", "total", "at")

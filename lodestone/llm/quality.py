@@ -1,17 +1,24 @@
 """Quality classification by co-training on two views of a document: its text, and its metadata.
 
-Each view has a logistic classifier of its own. Both start from the labelled sample; round by round each names the
-pool documents that it is most sure of, and those pseudo-labels go to the training of the other view. Each view's score
-is then calibrated on labelled documents that it was not trained on, and the calibrated log odds are added (the prior
-counted once) to score every document.
-
-The classifiers are fitted on bounded samples, chosen by hash of the id: at most `LABELLED` labelled documents and at
-most `POOL` others. Every document is scored, on its whole text. The text view describes a text by shares of characters
-and by word, line and repetition statistics; the metadata view by source, language and length.
-
-Null or empty text: described as an empty text. Null metadata: a value of its own. Null ids: scored, not learnt from.
-Repeated rows: scored each. Labels of unknown ids or null labels are not used; if an id has several labels the least
-counts. Without labelled documents of both classes every document is kept with probability 1. Other columns are ignored.
+Each view has a logistic classifier of its own. Both start from the labelled sample; round by round each names those of
+all other documents that it is sure of (log odds beyond the prior by `SURE`), and those pseudo-labels go to the training of the other
+view. Each view's score is then calibrated on labelled documents that neither view nor pool has, and the calibrated log
+odds are added (the prior counted once) to score every document.
+
+Only the labelled sample is bounded: at most `LABELLED` documents, chosen by hash of the id. The pool is every document
+that is not in it. A round is `STEPS` Newton steps, each one pass over the pool's stored features; tasks hand on sums of
+slopes and curvatures by view and class, so that what meets the driver does not grow with the table. Pseudo-labels of a
+class weigh as much as its labels at most, however many there are.
+
+The text view has shares of characters, statistics of words, lines and repetition, and a lexicon: log odds of hashed
+words and byte 4-grams, counted over labelled documents; a document of one half of the training sample is described by
+the lexicon of the other half. The metadata view has source, language and length.
+
+Null or empty text: described as an empty text. Very long texts: described whole. Null metadata: a value of its own.
+Null ids: scored, and in the pool. Repeated rows: scored each. Labels of unknown ids or null labels are not used; if an
+id has several labels the least counts, if it has several texts one of them. Without labelled documents of both classes
+every document is kept with probability 1. Empty documents: no rows. Other columns are ignored, whatever their names;
+columns named in `keep` are carried along.
 """
 
 from __future__ import annotations
@@ -25,14 +32,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the samples; rounds of co-training; pseudo-labels of each class that a view hands over in a round.
-LABELLED, POOL, ROUNDS, SURE = 8_000, 8_000, 3, 300
+from lodestone.llm.common import stored
+
+#: Bound of the labelled sample; rounds of co-training, Newton steps in a round; log odds beyond the prior from which a view is sure.
+LABELLED, ROUNDS, STEPS, SURE = 8_000, 3, 2, 2.0
 #: A document with less than this probability of good quality is rejected.
 REJECT_BELOW = 0.5
+#: Hashed words, and hashed 4-grams, of the lexicon.
+TERMS = 1 << 16
 _META = 64
 
 
-def text_features(text: str | None) -> np.ndarray:
+def terms(raw: bytes, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different words, and of all 4-grams of bytes."""
+    words = np.fromiter(map(zlib.crc32, counts), np.uint32, len(counts)) % TERMS
+    a = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    grams = a[:-3] | (a[1:-2] << 8) | (a[2:-1] << 16) | (a[3:] << 24) if len(a) > 3 else np.zeros(0, np.uint32)
+    return words, (grams * np.uint32(2654435761)) >> np.uint32(16)
+
+
+def text_features(text: str | None, lexicon: np.ndarray) -> np.ndarray:
+    """lexicon: log odds (words and grams, term)."""
     raw = (text or "").encode()
     shares = np.bincount(np.minimum(np.frombuffer(raw, np.uint8), 128), minlength=129)[:129] / max(1, len(raw))
     words = raw.split()
@@ -48,6 +68,9 @@ def text_features(text: str | None) -> np.ndarray:
         np.log1p(len(words)), np.log1p(len(raw) / n), np.log1p(sizes.std()), len(counts) / n, same / n, shouted / n, wordlike / n,
         max(counts.values(), default=0) / n, np.log1p(n_lines), 1 - len(lines) / n_lines, np.log1p(n / n_lines), n == 1,
     ]
+    for odds, own in zip(lexicon, terms(raw, counts), strict=True):
+        x = odds[own] if len(own) else np.zeros(1, np.float32)
+        more += [x.mean(), (x > 0.5).mean(), (x < -0.5).mean(), np.minimum(x, 0).mean()]
     return np.concatenate([np.sqrt(shares), more]).astype(np.float32)
 
 
@@ -60,19 +83,6 @@ def meta_features(source: str | None, lang: str | None, n_chars: int | None) ->
     return x
 
 
-def _described(docs: DataFrame, label: bool) -> DataFrame:
-    """(view features packed, label)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = [text_features(t.as_py()).tobytes() for t in b.column("text")]
-            meta = [meta_features(*r).tobytes() for r in zip(*(b.column(k).to_pylist() for k in ("source", "lang", "n_chars")), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(meta, pa.binary()), b.column("label")], ["text", "meta", "label"])
-
-    columns = ["text", "source", "lang", "n_chars", "label" if label else F.lit(0).cast("int").alias("label")]
-    return docs.select(*columns).mapInArrow(run, "text binary, meta binary, label int")
-
-
 class Logistic:
     """Ridge logistic regression by Newton steps, on standardised features."""
 
@@ -94,30 +104,27 @@ class Logistic:
         return np.clip(self._ready(x) @ self.w, -30, 30)
 
 
+    def slopes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Curvature, slope and number of rows in one array of (features + 1, features + 3)."""
+        z = self._ready(x)
+        p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+        return np.concatenate([(z * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ z, (z.T @ (p - y))[:, None], np.full((z.shape[1], 1), float(len(y)))], 1)
+
+    def moved(self, sums: np.ndarray, ridge: float = 3.0) -> Logistic:
+        """One Newton step on summed slopes."""
+        out = Logistic()
+        keep = np.diag([0.01, *[ridge] * (len(self.w) - 1)])
+        out.mean, out.scale = self.mean, self.scale
+        out.w = self.w - np.linalg.solve(sums[:, :-2] + keep, sums[:, -2] + keep @ self.w)
+        return out
+
+
 class CoTrained:
-    """Two views' classifiers with their calibrations."""
-
-    def __init__(self, views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray]):
-        n = len(y)
-        held = np.arange(n) % 4 == 3  # for calibration
-        self.prior = float(np.log(y.mean() / (1 - y.mean())))
-        pseudo: list[dict[int, int]] = [{}, {}]
-        self.models: list[Logistic] = []
-        for turn in range(ROUNDS + 1):
-            self.models = []
-            for k in (0, 1):
-                extra = np.array(sorted(pseudo[k]), int)
-                x = np.concatenate([views[k][~held], pool[k][extra]])
-                self.models.append(Logistic().fit(x, np.concatenate([y[~held], [pseudo[k][i] for i in extra]])))
-            if turn == ROUNDS:
-                break
-            for k in (0, 1):
-                odds = self.models[k].odds(pool[k])
-                order = np.argsort(odds, kind="stable")
-                for label, side in ((0, order[:SURE]), (1, order[::-1][:SURE])):
-                    sure = side[(odds[side] > 2) if label else (odds[side] < -2)]
-                    pseudo[1 - k].update((int(i), label) for i in sure)
-        self.calibrated = [Logistic().fit(m.odds(v[held])[:, None], y[held], ridge=0.1) for m, v in zip(self.models, views, strict=True)]
+    """Two views' classifiers with their calibrations, and the lexicon of the text view."""
+
+    def __init__(self, models: list[Logistic], views: list[np.ndarray], y: np.ndarray, prior: float, lexicon: np.ndarray):
+        self.models, self.prior, self.lexicon = models, prior, lexicon
+        self.calibrated = [Logistic().fit(m.odds(v)[:, None], y, ridge=0.1) for m, v in zip(models, views, strict=True)]
 
     def odds(self, views: list[np.ndarray]) -> list[np.ndarray]:
         """Calibrated log odds of each view, and of both together."""
@@ -132,24 +139,110 @@ def _sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
     return df.where(F.col(id_col).isNotNull() & (mixed < int(share * (1 << 30)))).limit(most)
 
 
-def _views(df: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    t = df.toArrow()
-    x = [np.frombuffer(b"".join(t[k].to_pylist()), np.float32).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1), np.float32) for k in ("text", "meta")]
-    return x, t["label"].to_numpy().astype(float)
+def _lexicons(mine: DataFrame) -> np.ndarray:
+    """Log odds (half left out or none, words and grams, term) of terms of labelled texts: (text, label, half)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 2, 2, TERMS + 1), np.int64)  # half, label, kind, term; last the number of texts
+        for b in batches:
+            for text, label, half in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                raw = (text.as_py() or "").encode()
+                for kind, own in enumerate(terms(raw, Counter(raw.split()))):
+                    counts[half, label, kind, np.unique(own)] += 1
+                    counts[half, label, kind, TERMS] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], ["at", "n"])
+
+    summed = mine.select("text", "label", "half").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((2, 2, 2, TERMS + 1))
+    counts.ravel()[summed["at"].to_numpy()] = summed["n"].to_numpy()
+    out = []
+    for own in (counts[1], counts[0], counts.sum(0)):  # for texts of half 0, of half 1, and of neither
+        share = np.log((own[..., :TERMS] + 1) / (own[..., TERMS:] + 2))
+        out.append(np.where(own[..., :TERMS].sum(0) > 1, share[1] - share[0], 0))
+    return np.array(out, np.float32)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float16) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)
+
+
+def _pool_slopes(pool: DataFrame, sure: list[Logistic], now: list[Logistic], prior: float) -> list[np.ndarray]:
+    """For each view (class, ...): summed slopes of `now` over the documents that the other view of `sure` is sure of."""
+    shared = pool.sparkSession.sparkContext.broadcast((sure, now))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firm, models = shared.value
+        sums = [[0, 0], [0, 0]]
+        for b in batches:
+            for at in range(0, b.num_rows, 2_000):
+                views = [_matrix(b.column(k).slice(at, 2_000)) for k in ("text", "meta")]
+                odds = [m.odds(v) - prior for m, v in zip(firm, views, strict=True)]
+                for k in (0, 1):
+                    for label, own in ((0, odds[1 - k] < -SURE), (1, odds[1 - k] > SURE)):
+                        sums[k][label] = sums[k][label] + models[k].slopes(views[k][own], np.full(own.sum(), float(label)))
+        rows = [(k * 2 + label, n, line.tobytes()) for k in (0, 1) for label in (0, 1) if not np.isscalar(sums[k][label]) for n, line in enumerate(sums[k][label])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["slot", "line", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            for slot, line, sums in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                total[slot, line] = total.get((slot, line), 0) + np.frombuffer(sums)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slot", "line", "sums"]
+        )
+
+    kinds = "slot int, line int, sums binary"
+    lines = {(r["slot"], r["line"]): np.frombuffer(r["sums"]) for r in pool.select("text", "meta").mapInArrow(run, kinds).repartition("slot", "line").mapInArrow(add, kinds).collect()}
+    shared.unpersist()
+    return [np.array([[lines.get((k * 2 + label, n), np.zeros(len(m.w) + 2)) for n in range(len(m.w))] for label in (0, 1)]) for k, m in enumerate(now)]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> CoTrained | None:
     """The model, or None if there are not labelled documents of both classes. The labels are sampled, then met with their documents."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg(F.min(F.col(label_col)).cast("int").alias("label"))
-    chosen = _sample(known, "labelled", LABELLED)
-    mine = docs.select(F.col(id_col).alias("id"), "text", "source", "lang", "n_chars").join(F.broadcast(chosen), F.col("id") == F.col("labelled"))
-    views, y = _views(_described(mine, True))
-    if len(y) < 8 or y.min() == y.max():
+    fold = F.pmod(F.xxhash64("labelled", F.lit("fold")), F.lit(8))  # 6 and 7: for calibration
+    chosen = _sample(known, "labelled", LABELLED).withColumn("half", F.when(fold < 6, fold % 2).cast("int"))
+    rows = docs.select(F.col(id_col).alias("id"), "text", "source", "lang", "n_chars")
+    met = rows.join(F.broadcast(chosen), F.col("id") == F.col("labelled"), "left")
+    lexicons = _lexicons(met.where("half is not null"))
+    if not all(np.abs(x).any() for x in lexicons[2:]):
         return None
-    pool, _ = _views(_described(_sample(docs.select(F.col(id_col).alias("id"), "text", "source", "lang", "n_chars"), "id", POOL), False))
-    # Independent of the order in which rows came.
-    order, other = np.lexsort(views[0].T), np.lexsort(pool[0].T)
-    return CoTrained([v[order] for v in views], y[order], [v[other] for v in pool])
+    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                half = [2 if h is None else h for h in part.column("half").to_pylist()]
+                text = [text_features(t.as_py(), shared.value[h]).astype("<f2").tobytes() for t, h in zip(part.column("text"), half, strict=True)]
+                meta = [meta_features(*r).astype("<f2").tobytes() for r in zip(*(part.column(k).to_pylist() for k in ("source", "lang", "n_chars")), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("labelled", "label", "half")), pa.array(text, pa.binary()), pa.array(meta, pa.binary())], ["labelled", "label", "half", "text", "meta"])
+
+    described = stored(met.select("labelled", "label", "half", "text", "source", "lang", "n_chars").mapInArrow(describe, f"labelled {known.schema['labelled'].dataType.simpleString()}, label int, half int, text binary, meta binary"))
+    own = described.where("label is not null").groupBy("labelled").agg(F.min(F.struct("label", "half", "text", "meta")).alias("x")).orderBy("labelled").select("x.*").toArrow()
+    y, held = own["label"].to_numpy().astype(float), own["half"].is_null().to_numpy()
+    if len(y) < 8 or y[~held].min(initial=1) == y[~held].max(initial=0):
+        return None
+    views = [_matrix(own[k]) for k in ("text", "meta")]
+    mine, named = [v[~held] for v in views], y[~held]
+    models = [Logistic().fit(v, named) for v in mine]
+    prior = float(np.log(named.mean() / (1 - named.mean())))
+    pool = described.where("label is null")
+    for _ in range(ROUNDS):
+        sure = models
+        for _ in range(STEPS):
+            found = _pool_slopes(pool, sure, models, prior)
+            for k in (0, 1):
+                sums = models[k].slopes(mine[k], named)
+                for label in (0, 1):
+                    sums = sums + found[k][label] * min(1.0, (named == label).sum() / max(1.0, found[k][label][0, -1]))
+                models = [m.moved(sums) if i == k else m for i, m in enumerate(models)]
+    if not held.any() or y[held].min() == y[held].max():
+        held = np.ones(len(y), bool)
+    return CoTrained(models, [v[held] for v in views], y[held], prior, lexicons[2])
 
 
 def score(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -164,7 +257,7 @@ def score(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", keep
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                text = np.stack([text_features(t.as_py()) for t in b.column("_text")])
+                text = np.stack([text_features(t.as_py(), shared.value.lexicon) for t in b.column("_text")])
                 meta = np.stack([meta_features(*r) for r in zip(*(b.column(k).to_pylist() for k in ("_source", "_lang", "_n_chars")), strict=True)])
                 p = [1 / (1 + np.exp(-o)) for o in shared.value.odds([text, meta])]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *map(pa.array, p), pa.array(p[2] >= REJECT_BELOW)], [*names, "p_text", "p_meta", "p_quality", "keep"])
