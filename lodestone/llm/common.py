@@ -47,6 +47,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many narrow rows, in as many partitions as these need: each partition becomes a file."""
+    return df.coalesce(LEAST_FILES + rows // FILE_ROWS)
+
+
 def commonest(counted: DataFrame, most: int, n_col: str = "n") -> DataFrame:
     """Rows whose counts are so great that at most `most` rows are; equal counts stay or go together.
 
@@ -100,17 +105,17 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, nodes: int | None = None) -> DataFrame:
     """Connected components of links (a long, b long) as (node, component), component the smallest node reached.
 
     Alternating large-star and small-star steps: every step is one partial aggregation and one equi-join,
     so that a node with very many neighbours is pre-aggregated and its join side can be split.
     Only nodes that have a link to another node are returned. Steps shrink as they go on, and are written to as many
-    files as their rows need.
+    files as their rows need; nodes, if known, is how many there are at most.
     """
-    files = None
-    stars = durable(links.where("a <> b").mapInArrow(_forests, "a long, b long").distinct())
-    seen = None
+    first = links.where("a <> b").mapInArrow(_forests, "a long, b long").distinct()
+    stars = durable(first if nodes is None else few(first, nodes))
+    held = seen = None
     while True:
         both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -119,9 +124,9 @@ def components(links: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         step = small.where("a <> b").distinct()
-        stars = durable(step if files is None else step.coalesce(files))
+        stars = durable(step if held is None else few(step, held))
         mark = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
-        seen, files = mark, LEAST_FILES + mark[0] // FILE_ROWS
+        seen, held = mark, mark[0]
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import commonest, components, durable, forest
+from lodestone.llm.common import commonest, components, durable, few, forest
 
 #: N-grams sent to the tasks to come last in the order (16 bytes each), and how often a stretch of sets must have one.
 MOST_COMMON, OFTEN = 250_000, 2
@@ -312,7 +312,7 @@ def _first_runs(num: int, den: int, order) -> Callable[[np.ndarray, int], np.nda
     return signatures
 
 
-def _clusters(sets: DataFrame, num: int, den: int, signatures: Callable[[np.ndarray, int], np.ndarray], buckets: int) -> DataFrame:
+def _clusters(sets: DataFrame, num: int, den: int, signatures: Callable[[np.ndarray, int], np.ndarray], buckets: int, nodes: int) -> DataFrame:
     """(node, component) of sets (key, grams, cluster) that have a signature in common; nodes are keys."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +333,7 @@ def _clusters(sets: DataFrame, num: int, den: int, signatures: Callable[[np.ndar
                 a, b = forest(node[np.flatnonzero(~tied)][np.cumsum(~tied) - 1][tied], node[tied])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return components(_dealt(sets.select("key", "grams", "cluster").mapInArrow(gather, _Gathered.KINDS)).mapInArrow(tie, "a long, b long"))
+    return components(_dealt(sets.select("key", "grams", "cluster").mapInArrow(gather, _Gathered.KINDS)).mapInArrow(tie, "a long, b long"), nodes)
 
 
 def trie_links(tree: list[np.ndarray], asked: list[np.ndarray], tree_sizes: np.ndarray, asked_sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -524,13 +524,14 @@ def similar_documents(
     rows = durable(texts.select("text", "id", *kept).mapInArrow(_describe(n), f"id long{kinds}, size long, f1 long, f2 long"))
     # A class is named by its smallest id; null ids take no part in naming.
     classes = rows.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = durable(classes.withColumn("key", F.monotonically_increasing_id()))
+    many = rows.count()
+    classes = durable(few(classes, many).withColumn("key", F.monotonically_increasing_id()))
     buckets = max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     met = _meetings(texts, n, num, den, buckets).withColumnRenamed("node", "f1")
     enough = F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("size") / SPARE))
     columns = ["key", "f1", "f2", "size", "copies"]
-    stay = durable(classes.join(met, "f1").where(enough).select("rep", *columns))
+    stay = durable(few(classes.join(met, "f1").where(enough).select("rep", *columns), many))
     read, kinds = _sets(n, columns, ["long"] * 5)
     named = texts.select(F.col("id").alias("rep"), "text").join(stay, "rep").mapInArrow(read, kinds)
     sets = durable(named.unionByName(_without_ids(texts, n, stay)))
@@ -541,11 +542,11 @@ def similar_documents(
         """(key, f1, f2, cluster, blocks)."""
         member = found.select(F.col("node").alias("key"), F.col("component").alias("cluster")).join(classes.select("key", "f1", "f2", "size"), "key")
         weights = member.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
-        return durable(member.join(weights, "cluster").select("key", "f1", "f2", "cluster", "blocks"))
+        return durable(few(member.join(weights, "cluster").select("key", "f1", "f2", "cluster", "blocks"), many))
 
-    coarse = weighed(_clusters(sets.withColumn("cluster", F.lit(0).cast("long")), num, den, _first_grams(num, den, order), buckets))
+    coarse = weighed(_clusters(sets.withColumn("cluster", F.lit(0).cast("long")), num, den, _first_grams(num, den, order), buckets, many))
     large = sets.join(coarse.where("blocks > 1").select("key", "cluster"), "key")
-    fine = weighed(_clusters(large, num, den, _first_runs(num, den, order), buckets))
+    fine = weighed(_clusters(large, num, den, _first_runs(num, den, order), buckets, many))
     member = coarse.where("blocks = 1").union(fine)
     placed = member.select("key", "cluster", "blocks", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -553,7 +554,7 @@ def similar_documents(
     checked = durable(pairs.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_verify(num, den), "key long, links long, other long"))
 
     linked = checked.groupBy("key").agg(F.sum("links").alias("links"))
-    joined = components(checked.select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "key")
+    joined = components(checked.select(F.col("key").alias("a"), F.col("other").alias("b")), many).withColumnRenamed("node", "key")
     named = classes.join(joined, "key", "left").join(linked, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(least, "component").select("f1", "f2", "size", "copies", "least", "component", F.coalesce("links", F.lit(0)).alias("links"))
