@@ -104,3 +104,17 @@ def answer_scores(predicted: Column, gold: Column) -> tuple[Column, Column, Colu
 
 def evidence_source(pmid: Column) -> Column:
     return F.when(pmid.isNotNull(), F.concat(F.lit("PMID:"), pmid.cast("string")))
+
+
+def report_metrics(report: Column, drug: Column, pmid: Column, known: Column, tier: Column) -> list[Column]:
+    """drug_found, anchor_cited, n_cited, n_unknown, rate, tier_match of a report's text.
+
+    The expected drug's parts stand between + / and commas; cited ids after "PMID"; the tier after "ESCAT".
+    """
+    parts = F.filter(F.transform(F.split(drug, "[+/,]"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    cited = F.array_distinct(F.transform(F.regexp_extract_all(report, F.lit(r"PMID:?\s*(\d+)"), F.lit(1)), lambda x: x.cast("long")))
+    unknown = F.size(F.array_except(cited, known)).cast("long")
+    return [
+        F.forall(parts, lambda x: F.contains(F.lower(report), x)).alias("drug_found"), F.array_contains(cited, pmid).alias("anchor_cited"), F.size(cited).cast("long").alias("n_cited"),
+        unknown.alias("n_unknown"), F.when(F.size(cited) > 0, unknown / F.size(cited)).otherwise(0.0).alias("rate"), (F.regexp_extract(report, r"ESCAT\s+([IVX]+[ABC]?)", 1) == tier).alias("tier_match"),
+    ]

@@ -25,7 +25,7 @@ def cascade(rows: DataFrame, name: str, index: DataFrame, key: str) -> DataFrame
     """The key of a name: exactly in upper case, else by normalised name, else by its first token that is a name."""
     upper = index.select(F.col("name_key").alias("_u"), F.col(key).alias("_by_upper"))
     folded = index.select(F.col("name_key").alias("_n"), F.col(key).alias("_by_name"))
-    out = rows.withColumn("_id", F.monotonically_increasing_id()).join(upper, F.upper(F.trim(name)) == F.col("_u"), "left").join(folded, drug_key(F.col(name)) == F.col("_n"), "left")
+    out = rows.join(upper, F.upper(F.trim(name)) == F.col("_u"), "left").join(folded, drug_key(F.col(name)) == F.col("_n"), "left")
     words = rows.select(name).distinct().select(name, F.posexplode(tokens(F.col(name))).alias("_pos", "_word"))
     hits = words.join(index, F.upper("_word") == F.col("name_key")).groupBy(name).agg(F.min_by(key, "_pos").alias("_by_word"))
     return out.join(hits, name, "left").withColumn(key, F.coalesce("_by_upper", "_by_name", "_by_word")).select(*rows.columns, key)

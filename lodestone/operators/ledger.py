@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +21,27 @@ def sequenced(events: DataFrame, run: str, order: list[str]) -> DataFrame:
 
 
 def chained(events: DataFrame, run: str, order: str, fields: list[str]) -> DataFrame:
-    """(run, order, event_hash, previous_hash): a run's events folded in order, each hash over its fields and the one before."""
-    packed = events.select(run, F.struct(order, F.concat_ws("|", *fields).alias("body")).alias("e")).groupBy(run).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    start = F.expr("cast(array() as array<struct<at:long,hash:string,previous:string>>)")
-    last = lambda acc: F.coalesce(F.element_at(F.transform(acc, lambda x: x["hash"]), F.when(F.size(acc) > 0, -1)), F.lit(GENESIS))
-    step = lambda acc, e: F.concat(acc, F.array(F.struct(e[order].cast("long").alias("at"), F.sha2(F.concat_ws("|", e["body"], last(acc)), 256).alias("hash"), last(acc).alias("previous"))))
-    out = packed.select(run, F.explode(F.aggregate("es", start, step)).alias("x"))
-    return out.select(run, F.col("x.at").alias(order), F.col("x.hash").alias("event_hash"), F.col("x.previous").alias("previous_hash"))
+    """(run, order, event_hash, previous_hash): a run's events folded in order, each hash over its fields and the one before.
+
+    A hash needs the one before it, so a run is read in order by one task; only the last hash is carried from row to row.
+    """
+    body = F.when(F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull(), F.concat_ws("|", *fields))
+    rows = events.select(run, F.col(order).cast("long").alias(order), body.alias("body"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, GENESIS
+        for b in batches:
+            hashes, before = [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if (key,) != now:
+                    now, last = (key,), GENESIS
+                before.append(last)
+                last = hashlib.sha256((last if text is None else f"{text}|{last}").encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.string()), pa.array(before, pa.string())], [run, order, "event_hash", "previous_hash"])
+
+    kind = rows.schema[run].dataType.simpleString()
+    return rows.repartition(run).sortWithinPartitions(run, order, "body").mapInArrow(fold, f"`{run}` {kind}, `{order}` long, event_hash string, previous_hash string")
 
 
 def verified(events: DataFrame, run: str, order: str, fields: list[str]) -> DataFrame:

@@ -20,8 +20,9 @@ def bm25(passages: DataFrame, questions: DataFrame) -> DataFrame:
     some question has go on to the join; the questions' words are small beside the passages.
     """
     words = passages.select("pid", tokens(F.col("text")).alias("t"))
-    size = words.agg(F.count("*").alias("n_passages"), F.avg(F.size("t")).alias("mean_length"))
     postings = words.select("pid", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("pid", "length", "token").agg(F.count("*").alias("tf"))
+    # Lengths add up from the postings, so that only they read and cut the texts.
+    size = postings.agg(F.sum("tf").alias("total")).crossJoin(passages.agg(F.count("*").alias("n_passages"), F.count("text").alias("n_texts"))).withColumn("mean_length", F.col("total") / F.col("n_texts"))  # one row each
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.crossJoin(size.select("n_passages")).withColumn("idf", F.log(F.col("n_passages") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row of sizes
     mean = idf.agg((EPSILON * F.avg("idf")).alias("floor"))
@@ -33,16 +34,19 @@ def bm25(passages: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def dense(passages: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, pid, score): inner products of vectors; questions are a stated set, sent to the passages if they are few."""
+    """(qid, pid, score): inner products of vectors; questions are a stated set, sent to the passages if they are few.
+
+    `best` keeps each task's k best of a question before anything is shuffled.
+    """
     q = questions.select("qid", F.col("vector").alias("_q"))
     return passages.join(q, F.lit(True), "cross").select("qid", "pid", dot(F.col("vector"), F.col("_q")).alias("score"))
 
 
 def scaled(scored: DataFrame, column: str = "score") -> DataFrame:
-    """The column scaled to 0..1 within each question; 0 where all are equal."""
-    w = Window.partitionBy("qid")
-    low, high = F.min(column).over(w), F.max(column).over(w)
-    return scored.withColumn(column, F.when(high > low, (F.col(column) - low) / (high - low)).otherwise(0.0))
+    """The column scaled to 0..1 within each question; 0 where all are equal. Bounds are summed up, a row for each question."""
+    bounds = scored.groupBy("qid").agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    at = F.when(F.col("_high") > F.col("_low"), (F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    return scored.join(bounds, "qid").withColumn(column, at).select(*scored.columns)
 
 
 def hybrid(vector: DataFrame, lexical: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -75,6 +79,19 @@ def gold_recall(context: DataFrame, gold: DataFrame) -> DataFrame:
     return gold.join(blob.select("qid", entity_key(F.col("_c")).alias("_c")), "qid", "left").groupBy("qid").agg(F.avg(F.coalesce(F.contains("_c", entity_key(F.col("name"))), F.lit(False)).cast("int")).alias("recall"))
 
 
+def deep_context(paths: DataFrame, budget: int) -> DataFrame:
+    """(qid, rank, text, words, upto) of paths (qid, path, text): each sentence once, by its least path, under a word budget."""
+    once = paths.groupBy("qid", "text").agg(F.min("path").alias("path"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("path")))
+    return packed(ranked.drop("path"), budget, stop_when_full=False)
+
+
+def chain_recall(context: DataFrame, terminal: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(qid, terminal, chain): whether the last entity stands in the context, and the share of bridges that do (null: none)."""
+    found = gold_recall(context, terminal).withColumnRenamed("recall", "terminal")
+    return found.join(gold_recall(context, bridges).withColumnRenamed("recall", "chain"), "qid", "left")
+
+
 def set_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """(qid, precision, recall, f1) of predicted (qid, name) against gold (qid, name), as sets of normalised names."""
     p = predicted.select("qid", entity_key(F.col("name")).alias("name")).distinct().withColumn("_p", F.lit(1))

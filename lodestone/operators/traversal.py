@@ -21,6 +21,20 @@ def follow(start: DataFrame, edges: DataFrame, steps: Sequence[tuple[str, bool]]
     return paths
 
 
+def walks(start: DataFrame, edges: DataFrame, steps: Sequence[tuple[str, bool]]) -> DataFrame:
+    """(anchor, node, paths, noisy): how many paths lead along the steps, and how many of them have a noise edge.
+
+    Counts are summed after every hop, so that rows stay as many as nodes however many paths there are.
+    """
+    front = start.groupBy("anchor", "node").agg(F.count("*").alias("paths")).withColumn("noisy", F.lit(0).cast("long"))
+    for rel, back in steps:
+        near, far = ("dst", "src") if back else ("src", "dst")
+        step = edges.where(F.col("rel") == rel).select(F.col(near).alias("node"), F.col(far).alias("_next"), F.col("noise").alias("_noise"))
+        noisy = F.when(F.col("_noise"), F.col("paths")).otherwise(F.col("noisy"))
+        front = front.join(step, "node").groupBy("anchor", F.col("_next").alias("node")).agg(F.sum("paths").alias("paths"), F.sum(noisy).alias("noisy"))
+    return front
+
+
 def reach(start: DataFrame, edges: DataFrame, steps: Sequence[tuple[str, bool]]) -> DataFrame:
     """(anchor, node): what is reached, each node once after every hop."""
     front = start.select("anchor", "node").distinct()

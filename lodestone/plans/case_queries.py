@@ -149,20 +149,26 @@ def r13_noise_facts(spark, d):
     return pairs.withColumn("k", k).where("k <= 1").select("src", "dst", F.concat("src", lit(" targets "), "dst", lit(".")).alias("passage"))
 
 
-@query("SELECT rho, count(*) AS facts, round(avg(noisy), 6) AS contamination FROM (SELECT rho, 0 AS noisy FROM part, (SELECT unnest([0.0::DOUBLE, 0.5, 1.0]) AS rho) UNION ALL SELECT rho, 1 FROM (SELECT rho, row_number() OVER (PARTITION BY p_brand, rho ORDER BY sha256(p_partkey::VARCHAR), p_partkey) AS k FROM part, (SELECT unnest([0.0::DOUBLE, 0.5, 1.0]) AS rho)) WHERE k <= round_even(rho * 10, 0)) GROUP BY 1")
-def r14_noise_sweep(spark, d):
-    grid = F.explode(F.array(*map(lit, (0.0, 0.5, 1.0))))
-    part = read(spark, d, "part").select(col("p_partkey").alias("edge_id"), col("p_brand").alias("src"), lit(10).alias("k_true")).withColumn("rho", grid)
-    noisy = R.active_noise(part, ["src", "rho"], col("rho")).select("rho", lit(1).alias("noisy"))
-    return part.select("rho", lit(0).alias("noisy")).unionByName(noisy).groupBy("rho").agg(F.count("*").alias("facts"), F.round(F.avg("noisy"), 6).alias("contamination"))
+ROUTE_SQL = "CASE WHEN contains(t, 'trial') OR contains(t, 'the in') THEN 'GENE_TO_TRIALDRUG' WHEN contains(t, 'variant') OR contains(t, 'tion and') THEN 'VARIANT_TO_DRUG' WHEN contains(t, 'disease') OR contains(t, ' of ') THEN 'GENE_TO_DISEASE' ELSE 'GENE_TO_DRUG' END"
+ANSWERS = """(SELECT DISTINCT 'GENE_TO_TRIALDRUG' AS route, p_brand AS name FROM part UNION SELECT 'VARIANT_TO_DRUG', n_name FROM nation UNION SELECT 'GENE_TO_DISEASE', c_mktsegment FROM customer UNION SELECT 'GENE_TO_DISEASE', r_name FROM region
+ UNION SELECT 'GENE_TO_DRUG', n_name FROM nation UNION SELECT 'GENE_TO_DRUG', r_name FROM region)"""
 
 
-@query("SELECT condition, round(avg(ok), 6) AS accuracy, count(*) AS n FROM (SELECT 'oracle' AS condition, 1 AS ok FROM orders UNION ALL SELECT 'predicted', (o_orderkey % 5 > 0)::INTEGER FROM orders) GROUP BY 1")
+@query(f"""WITH r AS (SELECT qid, (SELECT {ROUTE_SQL} FROM (SELECT lower(text) AS t)) AS true_route, (SELECT {ROUTE_SQL} FROM (SELECT lower(substr(text, 1, length(text) // 2)) AS t)) AS pred_route FROM (SELECT item_id AS qid, text FROM benchmark)), a AS {ANSWERS}, n AS (SELECT route, count(*) AS n FROM a GROUP BY 1),
+ h AS (SELECT x.route AS tr, y.route AS pr, count(*) FILTER (WHERE x.name = y.name) AS hit FROM a x, a y GROUP BY 1, 2)
+ SELECT true_route, pred_route, count(*) AS n, true_route = pred_route AS correct, round(avg(2.0 * hit / (t.n + p.n)) - 1, 6) AS f1_impact FROM r JOIN h ON tr = true_route AND pr = pred_route JOIN n t ON t.route = true_route JOIN n p ON p.route = pred_route GROUP BY 1, 2""")
 def r16_router_ablation(spark, d):
-    """The same questions under the true and a predicted route, told apart by a condition column."""
-    o = read(spark, d, "orders").select("o_orderkey", lit("GENE_TO_DRUG").alias("true"))
-    both = o.withColumn("condition", lit("oracle")).withColumn("route", col("true")).unionByName(o.withColumn("condition", lit("predicted")).withColumn("route", F.when(col("o_orderkey") % 5 > 0, "GENE_TO_DRUG").otherwise("GENE_TO_CDX")))
-    return both.groupBy("condition").agg(F.round(F.avg((col("route") == col("true")).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
+    """Answer sets under the true and the predicted route: set scores of each question, then confusion and its cost in F1."""
+    names = lambda table, c, route: read(spark, d, table).select(lit(route).alias("route"), col(c).alias("name"))
+    sets = names("part", "p_brand", "GENE_TO_TRIALDRUG").union(names("nation", "n_name", "VARIANT_TO_DRUG")).union(names("customer", "c_mktsegment", "GENE_TO_DISEASE"))
+    sets = sets.union(names("region", "r_name", "GENE_TO_DISEASE")).union(names("nation", "n_name", "GENE_TO_DRUG")).union(names("region", "r_name", "GENE_TO_DRUG")).distinct()
+    half = F.substring("text", lit(1), F.floor(F.length("text") / 2).cast("int"))
+    asked = read(spark, d, "benchmark").select(col("item_id").alias("qid"), C.routed(col("text"), RULES).alias("true_route"), C.routed(half, RULES).alias("pred_route"))
+    answers = lambda c: asked.select("qid", col(c).alias("route")).join(sets, "route").select("qid", "name")
+    oracle = R.set_scores(answers("true_route"), answers("true_route")).select("qid", col("f1").alias("oracle"))
+    met = asked.join(R.set_scores(answers("pred_route"), answers("true_route")).select("qid", "f1"), "qid").join(oracle, "qid")
+    confusion = met.groupBy("true_route", "pred_route").agg(F.count("*").alias("n"), F.round(F.avg(col("f1") - col("oracle")), 6).alias("f1_impact"))
+    return confusion.withColumn("correct", col("true_route") == col("pred_route"))
 
 
 @query(f"SELECT gene, string_agg(name, ', ' ORDER BY name) AS answer, sum(words)::BIGINT AS words FROM (SELECT *, sum(words) OVER (PARTITION BY gene ORDER BY name) AS upto, row_number() OVER (PARTITION BY gene ORDER BY name) AS k FROM (SELECT DISTINCT r.r_name AS gene, d.p_name AS name, len(string_split(d.p_name, ' ')) + 1 AS words FROM {SPINE} {DRUG} WHERE {LV})) WHERE k = 1 OR upto <= 40 GROUP BY 1")
@@ -216,10 +222,22 @@ def v28_observations(spark, d):
     return state.select("o_custkey", size("results").alias("n_results"), size("trials").alias("n_trials"), F.array_join(F.array_sort("tools"), ",").alias("done"))
 
 
-@query("SELECT o_custkey, count(*) FILTER (WHERE o_orderkey % 4 = 0) / count(*) AS rate FROM orders GROUP BY 1")
-def v16_hallucination_rate(spark, d):
-    per = read(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("cited"), F.collect_set(F.when(col("o_orderkey") % 4 != 0, col("o_orderkey"))).alias("known"))
-    return per.select("o_custkey", C.hallucination_rate(col("cited"), col("known")).alias("rate"))
+TIERS = ("IA", "IB", "IIA", "III", "IV")
+
+
+@query("""SELECT c_custkey, contains(report, 'red') AND contains(report, 'bolt') AS drug_found, list_contains(cited, c_custkey % 10 + 1) AS anchor_cited, len(cited) AS n_cited, len(cited) - known AS n_unknown, (len(cited) - known) / len(cited) AS rate, ['IA', 'IB', 'IIA', 'III', 'IV'][level] = ['IA', 'IB', 'IIA', 'III', 'IV'][c_nationkey % 5 + 1] AS tier_match
+ FROM (SELECT c_custkey, c_nationkey, string_agg(DISTINCT p_name, ' ') AS report, list(DISTINCT l_suppkey) AS cited, count(DISTINCT l_suppkey) FILTER (WHERE s_acctbal > 3000) AS known, min(o_orderpriority)[1]::INTEGER AS level FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)""")
+def v16_report_metrics(spark, d):
+    """Of a report's text: are all parts of the expected drug there, is the anchor cited, how many cited ids are unknown, does the tier match."""
+    rows = read(spark, d, "customer").join(read(spark, d, "orders"), col("o_custkey") == col("c_custkey")).join(read(spark, d, "lineitem"), col("l_orderkey") == col("o_orderkey"))
+    rows = rows.join(read(spark, d, "part"), col("p_partkey") == col("l_partkey")).join(read(spark, d, "supplier"), col("s_suppkey") == col("l_suppkey"))
+    per = rows.groupBy("c_custkey", "c_nationkey").agg(
+        F.collect_set("p_name").alias("names"), F.collect_set("l_suppkey").alias("ids"), F.collect_set(F.when(col("s_acctbal") > 3000, col("l_suppkey"))).alias("known"), F.min("o_orderpriority").alias("level")
+    )
+    tier = lambda at: F.element_at(F.array(*map(lit, TIERS)), at.cast("int"))
+    cites = F.transform("ids", lambda x: F.concat(lit("PMID: "), x.cast("string")))
+    report = per.select("c_custkey", "c_nationkey", "known", F.concat_ws(" ", F.array_join("names", " "), F.array_join(cites, ", "), lit("ESCAT"), tier(F.left("level", lit(1)))).alias("report"))
+    return report.select("c_custkey", *C.report_metrics(col("report"), lit("Red / Bolt"), col("c_custkey") % 10 + 1, col("known"), tier(col("c_nationkey") % 5 + 1)))
 
 
 @query(f"SELECT n.n_name AS variant, e.o_orderpriority AS level, ld.l_returnflag AS significance, d.p_name AS drug, coalesce(c.c_mktsegment, 'none') AS disease, count(*) AS n FROM {SPINE} {DRUG} WHERE r.r_name = 'EUROPE' AND e.o_orderstatus = 'F' GROUP BY ALL")

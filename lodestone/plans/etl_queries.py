@@ -41,9 +41,9 @@ def io17_edges(spark, d):
     return S.linked(edges, read(spark, d, "part").where("p_size > 20").select("p_partkey"), read(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def io14_unmatched(spark, d):
-    return S.unmatched(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").select(col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return S.unmatched(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").where("o_orderstatus = 'P'").select(col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

@@ -32,8 +32,7 @@ def _start(spark, d):
 
 @query(f"WITH {EDGES} SELECT a.src AS anchor, d.src AS node, count(*) AS paths, count(*) FILTER (WHERE a.noise OR b.noise OR c.noise OR d.noise) AS noisy FROM edges a JOIN edges b ON b.src = a.dst AND b.rel = 'N' JOIN edges c ON c.src = b.dst AND c.rel = 'L' JOIN edges d ON d.dst = c.dst AND d.rel = 'L' WHERE a.rel = 'R' GROUP BY 1, 2")
 def j19_follow(spark, d):
-    p = V.follow(_start(spark, d), _edges(spark, d), STEPS)
-    return p.groupBy("anchor", "node").agg(F.count("*").alias("paths"), F.count_if("noise").alias("noisy"))
+    return V.walks(_start(spark, d), _edges(spark, d), STEPS)
 
 
 @query(f"WITH {EDGES} SELECT DISTINCT a.src AS anchor, c.dst AS node FROM edges a JOIN edges b ON b.src = a.dst AND b.rel = 'N' JOIN edges c ON c.src = b.dst AND c.rel = 'L' WHERE a.rel = 'R'")
@@ -72,10 +71,14 @@ def w12_witnesses(spark, d):
 
 
 # -- retrieval ----------------------------------------------------------------------------------------------------
-BM25 = f"""tok AS (SELECT doc_id AS pid, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1) AS t FROM documents), size AS (SELECT count(*) AS n, avg(len(t)) AS m FROM tok),
+def bm25_sql(passages: str = "(SELECT doc_id AS pid, text FROM documents)", questions: str = "(SELECT item_id AS qid, text FROM benchmark)") -> str:
+    return f"""tok AS (SELECT pid, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1) AS t FROM {passages}), size AS (SELECT count(*) AS n, avg(len(t)) AS m FROM tok),
  post AS (SELECT pid, l, token, count(*) AS tf FROM (SELECT pid, len(t) AS l, unnest(t) AS token FROM tok) GROUP BY 1, 2, 3), df AS (SELECT token, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM post, size GROUP BY 1), fl AS (SELECT {R.EPSILON} * avg(idf) AS f FROM df),
- q AS (SELECT qid, token, count(*) AS times FROM (SELECT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)) AS token FROM benchmark) GROUP BY 1, 2),
+ q AS (SELECT qid, token, count(*) AS times FROM (SELECT qid, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)) AS token FROM {questions}) GROUP BY 1, 2),
  lex AS (SELECT qid, pid, sum(times * CASE WHEN idf < 0 THEN f ELSE idf END * tf * {R.K1 + 1} / (tf + {R.K1} * (1 - {R.B} + {R.B} * l / m))) AS score FROM q JOIN df USING (token) JOIN post USING (token), size, fl GROUP BY 1, 2)"""
+
+
+BM25 = bm25_sql()
 TOP = "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, pid) AS rank FROM {}"
 
 
@@ -109,24 +112,40 @@ def r02_dense(spark, d):
     return R.best(_dense(spark, d), 10).select("qid", "pid", "rank", F.round("score", 5).alias("score"))
 
 
-HYBRID = f"""{DENSE}, lexi AS (SELECT qid, pid, (pid % 7) * 1.5 AS score FROM den WHERE pid % 3 = 0), b AS (SELECT d.qid, d.pid, d.score AS s, coalesce(x.score, 0) AS l FROM den d LEFT JOIN lexi x USING (qid, pid)),
+BOTH = "(SELECT vec_id AS pid, embedding, text FROM embeddings JOIN documents ON doc_id = vec_id)"
+ASKED = f"(SELECT pid AS qid, embedding, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM {BOTH} WHERE pid % 100 = 0)"
+HYBRID = f"""{bm25_sql(BOTH, ASKED)}, den AS (SELECT a.qid, p.pid, list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: p.embedding[i]::DOUBLE * a.embedding[i]::DOUBLE)) AS s FROM {BOTH} p, {ASKED} a),
+ b AS (SELECT d.qid, d.pid, d.s, coalesce(x.score, 0) AS l FROM den d LEFT JOIN lex x USING (qid, pid)),
  hyb AS (SELECT qid, pid, 0.5 * CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 0 END + 0.5 * CASE WHEN max(l) OVER w > min(l) OVER w THEN (l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w) ELSE 0 END AS score FROM b WINDOW w AS (PARTITION BY qid))"""
 
 
 @query(f"WITH {HYBRID} SELECT qid, pid, rank::INTEGER AS rank, round(score::DOUBLE, 5) AS score FROM ({TOP.format('hyb')}) WHERE rank <= 10")
 def r03_hybrid(spark, d):
-    den = _dense(spark, d)
-    lex = den.where("pid % 3 = 0").select("qid", "pid", ((col("pid") % 7) * 1.5).alias("score"))
-    return R.best(R.hybrid(den, lex), 10).select("qid", "pid", "rank", F.round("score", 5).alias("score"))
+    """Inner products of vectors and BM25 of the texts, each scaled, over the same passages."""
+    both = _vectors(spark, d).join(_passages(spark, d), "pid")
+    asked = both.where("pid % 100 = 0").select(col("pid").alias("qid"), "vector", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    return R.best(R.hybrid(R.dense(both, asked), R.bm25(both, asked)), 10).select("qid", "pid", "rank", F.round("score", 5).alias("score"))
 
 
-PACK = f"""{BM25}, top AS ({TOP.format('lex')}), ctx AS (SELECT t.qid, t.pid, t.rank, d.text, len(list_filter(regexp_split_to_array(coalesce(d.text, ''), '\\s+'), lambda w: w <> '')) AS words FROM top t JOIN documents d ON d.doc_id = t.pid WHERE t.rank <= 10),
+def pack_sql(bm25: str = BM25, passages: str = "(SELECT doc_id AS pid, text FROM documents)") -> str:
+    return f"""{bm25}, top AS ({TOP.format('lex')}), ctx AS (SELECT t.qid, t.pid, t.rank, d.text, len(list_filter(regexp_split_to_array(coalesce(d.text, ''), '\\s+'), lambda w: w <> '')) AS words FROM top t JOIN {passages} d ON d.pid = t.pid WHERE t.rank <= 10),
  cum AS (SELECT *, sum(words) OVER (PARTITION BY qid ORDER BY rank)::BIGINT AS upto FROM ctx)"""
 
 
-def _context(spark, d):
-    top = R.best(R.bm25(_passages(spark, d), _questions(spark, d)), 10)
-    return top.join(_passages(spark, d), "pid")
+PACK = pack_sql()
+FOLD = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+BLOB = f"c AS (SELECT qid, {FOLD.format(chr(39).join(['string_agg(text, ', ' ', ' ORDER BY rank)']))} AS c FROM cum WHERE rank = 1 OR upto <= 900 GROUP BY 1)"
+GOLD = "(SELECT item_id AS qid, list_element(string_split(text, ' '), k) AS name FROM benchmark, (SELECT unnest([1, 2, 3]) AS k) WHERE list_element(string_split(text, ' '), k) IS NOT NULL)"
+
+
+def _context(spark, d, questions=None, passages=None):
+    passages = _passages(spark, d) if passages is None else passages
+    top = R.best(R.bm25(passages, _questions(spark, d) if questions is None else questions), 10)
+    return top.join(passages, "pid")
+
+
+def _gold(spark, d):
+    return _questions(spark, d).select("qid", F.explode(F.slice(F.split("text", " "), 1, 3)).alias("name"))
 
 
 @query(f"WITH {PACK} SELECT qid, pid, rank::INTEGER AS rank, upto FROM cum WHERE rank = 1 OR (upto <= 900 AND upto - words < 900)")
@@ -143,8 +162,7 @@ def r15_budget_sweep(spark, d):
 
 @query(f"WITH {PACK}, c AS (SELECT qid, trim(regexp_replace(lower(string_agg(text, ' ' ORDER BY rank)), '[^a-z0-9]+', ' ', 'g')) AS c FROM cum WHERE rank = 1 OR upto <= 900 GROUP BY 1) SELECT item_id AS qid, avg(coalesce(contains(c, trim(regexp_replace(lower(list_element(string_split(text, ' '), k)), '[^a-z0-9]+', ' ', 'g'))), FALSE)::INTEGER) AS recall FROM benchmark, (SELECT unnest([1, 2, 3]) AS k), c WHERE c.qid = item_id GROUP BY 1")
 def r08_gold_recall(spark, d):
-    gold = _questions(spark, d).select("qid", F.explode(F.slice(F.split("text", " "), 1, 3)).alias("name"))
-    return R.gold_recall(R.packed(_context(spark, d), 900, stop_when_full=False), gold)
+    return R.gold_recall(R.packed(_context(spark, d), 900, stop_when_full=False), _gold(spark, d))
 
 
 @query("SELECT qid, CASE WHEN np > 0 THEN hit / np ELSE 0 END AS precision, CASE WHEN ng > 0 THEN hit / ng ELSE 0 END AS recall, CASE WHEN hit > 0 THEN 2.0 * hit / (np + ng) ELSE 0 END::DOUBLE AS f1 FROM (SELECT coalesce(p.qid, g.qid) AS qid, count(p.name) AS np, count(g.name) AS ng, count(*) FILTER (WHERE p.name IS NOT NULL AND g.name IS NOT NULL) AS hit FROM (SELECT DISTINCT l_suppkey AS qid, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'A') p FULL JOIN (SELECT DISTINCT l_suppkey AS qid, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R') g ON p.qid = g.qid AND p.name = g.name GROUP BY 1)")
@@ -174,20 +192,121 @@ def w07_active_noise(spark, d):
     return R.active_noise(noise, ["src", "rho"], col("rho")).select("edge_id", "src", "rho")
 
 
+# -- experiments --------------------------------------------------------------------------------------------------
+RECALL = f"SELECT g.qid, avg(coalesce(contains(c.c, {FOLD.format('g.name')}), FALSE)::INTEGER) AS recall FROM {{gold}} g LEFT JOIN c ON c.qid = g.qid GROUP BY 1"
+PARAPHRASES = "(SELECT item_id AS qid, text FROM benchmark UNION ALL SELECT item_id + 1000000, array_to_string(list_reverse(string_split(text, ' ')[1:6]), ' ') FROM benchmark)"
+GOLD_TWICE = f"(SELECT qid, name FROM {GOLD} UNION ALL SELECT qid + 1000000, name FROM {GOLD})"
+
+
+@query(f"WITH {pack_sql(bm25_sql(questions=PARAPHRASES))}, {BLOB} SELECT CASE WHEN qid < 1000000 THEN 'original' ELSE 'paraphrase' END AS condition, round(avg(recall), 6) AS recall, count(*) AS n FROM ({RECALL.format(gold=GOLD_TWICE)}) GROUP BY 1")
+def r18_paraphrases(spark, d):
+    """Gold recall of retrieved, packed contexts for two wordings of the questions, told apart by a condition column."""
+    own = _questions(spark, d)
+    other = own.select((col("qid") + 1_000_000).alias("qid"), F.array_join(F.reverse(F.slice(F.split("text", " "), 1, 6)), " ").alias("text"))
+    gold = _gold(spark, d)
+    twice = gold.union(gold.select(col("qid") + 1_000_000, "name"))
+    recall = R.gold_recall(R.packed(_context(spark, d, own.union(other)), 900, stop_when_full=False), twice)
+    condition = F.when(col("qid") < 1_000_000, "original").otherwise("paraphrase")
+    return recall.groupBy(condition.alias("condition")).agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("n"))
+
+
+TRAPS = "(SELECT item_id AS qid, text FROM benchmark UNION ALL SELECT item_id + 1000000, 'zqxv' || item_id || ' wvzq' FROM benchmark)"
+
+
+@query(f"WITH {pack_sql(bm25_sql(questions=TRAPS))} SELECT t.qid, CASE WHEN c.qid IS NULL THEN 'not in the knowledge base' ELSE c.answer END AS answer, c.qid IS NULL AS abstained FROM {TRAPS} t LEFT JOIN (SELECT qid, 'passage ' || arg_min(pid, rank) AS answer FROM cum GROUP BY 1) c ON c.qid = t.qid")
+def r17_abstention(spark, d):
+    """Questions of which nothing is found get the fixed refusal; refusals are told by their words."""
+    own = _questions(spark, d)
+    asked = own.union(own.select(col("qid") + 1_000_000, F.concat(lit("zqxv"), col("qid").cast("string"), lit(" wvzq"))))
+    found = _context(spark, d, asked).groupBy("qid").agg(F.min_by("pid", "rank").alias("pid"))
+    rows = asked.select("qid").join(found, "qid", "left")
+    answer = R.abstaining(col("pid").cast("string"), F.concat(lit("passage "), col("pid").cast("string")))
+    return rows.select("qid", answer.alias("answer")).withColumn("abstained", F.lower("answer").rlike(r"not (in|found|available)|no (evidence|information)"))
+
+
+SHARES = (0.0, 0.5, 1.0)
+FALSE_FACTS = "(SELECT -(item_id * 10 + k + 1) AS pid, item_id AS src, array_to_string(string_split(text, ' ')[1:4 + k], ' ') || ' false' AS text, row_number() OVER (PARTITION BY item_id ORDER BY sha256((-(item_id * 10 + k + 1))::VARCHAR), -(item_id * 10 + k + 1)) AS nth FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS k))"
+
+
+def _noisy_sql(share: float) -> str:
+    passages = f"(SELECT doc_id AS pid, text FROM documents UNION ALL SELECT pid, text FROM {FALSE_FACTS} WHERE nth <= round_even({share}::DOUBLE * 4, 0))"
+    return f"SELECT {share}::DOUBLE AS rho, (SELECT round(avg(recall), 6) FROM ({RECALL.format(gold=GOLD)})) AS recall, (SELECT round(avg(noisy), 6) FROM (SELECT qid, avg((pid < 0)::INTEGER) AS noisy FROM cum WHERE rank = 1 OR upto <= 900 GROUP BY 1)) AS contamination FROM (SELECT 1) WHERE TRUE", passages
+
+
+def _sweep_sql() -> str:
+    parts = []
+    for share in SHARES:
+        select, passages = _noisy_sql(share)
+        parts.append(f"SELECT * FROM (WITH {pack_sql(bm25_sql(passages), passages)}, {BLOB} {select})")
+    return " UNION ALL ".join(parts)
+
+
+@query(_sweep_sql())
+def r14_noise_sweep(spark, d):
+    """At each share of false passages: gold recall of what is retrieved and packed, and the share of it that is false."""
+    first = lambda k: F.concat(F.array_join(F.slice(F.split("text", " "), lit(1), k + 4), " "), lit(" false"))
+    k = F.explode(F.array(*map(lit, range(4)))).alias("k")
+    facts = _questions(spark, d).select("qid", "text", k).select((-(col("qid") * 10 + col("k") + 1)).alias("edge_id"), col("qid").alias("src"), lit(4).alias("k_true"), first(col("k")).alias("text"))
+    out = None
+    for share in SHARES:  # a fixed grid
+        false = R.active_noise(facts, ["src"], lit(share)).select(col("edge_id").alias("pid"), "text")
+        context = R.packed(_context(spark, d, passages=_passages(spark, d).union(false)), 900, stop_when_full=False)
+        recall = R.gold_recall(context, _gold(spark, d)).agg(F.round(F.avg("recall"), 6).alias("recall"))
+        share_false = context.groupBy("qid").agg(F.avg((col("pid") < 0).cast("int")).alias("x")).agg(F.round(F.avg("x"), 6).alias("contamination"))
+        row = recall.crossJoin(share_false).select(lit(share).alias("rho"), "recall", "contamination")  # one row each
+        out = row if out is None else out.union(row)
+    return out
+
+
+DEEP = f"""WITH {EDGES}, s AS (SELECT qid, text, min(path) AS path FROM (SELECT a.src AS qid, [a.src, a.dst, b.dst] AS path, 'The region ' || a.src || ' has nation ' || a.dst || ' with supplier ' || b.dst || '.' AS text FROM edges a JOIN edges b ON b.src = a.dst AND b.rel = 'N' WHERE a.rel = 'R') GROUP BY 1, 2),
+ k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY path) AS rank, len(string_split(text, ' ')) AS words FROM s), cum AS (SELECT *, sum(words) OVER (PARTITION BY qid ORDER BY rank) AS upto FROM k)"""
+DEEP_WORDS = 45
+
+
+def _deep(spark, d):
+    paths = V.follow(_start(spark, d), _edges(spark, d), STEPS[:2]).where(F.size(F.array_distinct("path")) == F.size("path"))
+    p = col("path")
+    text = F.concat(lit("The region "), p[0], lit(" has nation "), p[1], lit(" with supplier "), p[2], lit("."))
+    return paths.select(col("anchor").alias("qid"), "path", text.alias("text"))
+
+
+@query(f"{DEEP} SELECT qid, rank::INTEGER AS rank, text, upto::BIGINT AS upto FROM cum WHERE rank = 1 OR upto <= {DEEP_WORDS}")
+def r06_deep_context(spark, d):
+    """All paths of a depth in order, as sentences, each once, packed under a word budget."""
+    return R.deep_context(_deep(spark, d), DEEP_WORDS).select("qid", "rank", "text", "upto")
+
+
+@query(f"""{DEEP}, c AS (SELECT qid, {FOLD.format("string_agg(text, ' ' ORDER BY rank)")} AS c FROM cum WHERE rank = 1 OR upto <= {DEEP_WORDS} GROUP BY 1), gold AS (SELECT qid, max(path)[3] AS last FROM s GROUP BY 1),
+ bridge AS (SELECT 'r' || n_regionkey AS qid, 'n' || n_nationkey AS name FROM nation WHERE n_nationkey > 4)
+ SELECT g.qid, contains(c.c, {FOLD.format('g.last')})::INTEGER::DOUBLE AS terminal, (SELECT avg(contains(c.c, {FOLD.format('b.name')})::INTEGER) FROM bridge b WHERE b.qid = g.qid) AS chain FROM gold g JOIN c ON c.qid = g.qid""")
+def r09_chain_recall(spark, d):
+    """Over packed contexts: whether the last entity of the longest way stands there, and the share of bridges that do."""
+    deep = _deep(spark, d)
+    terminal = deep.groupBy("qid").agg(F.max("path").alias("path")).select("qid", col("path")[2].alias("name"))
+    bridges = read(spark, d, "nation").where("n_nationkey > 4").select(F.concat(lit("r"), "n_regionkey").alias("qid"), F.concat(lit("n"), "n_nationkey").alias("name"))
+    return R.chain_recall(R.deep_context(deep, DEEP_WORDS), terminal, bridges)
+
+
 # -- ledgers ------------------------------------------------------------------------------------------------------
 FIELDS = ["conv_id", "turn", "role", "text"]
 
 
-@query()
+CHAIN = "sha256(concat_ws('|', o.conv_id, o.turn, o.role, o.text, {}))"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), c AS (SELECT conv_id, turn, k, {CHAIN.format("'GENESIS'")} AS event_hash, 'GENESIS' AS previous_hash FROM o WHERE k = 1
+ UNION ALL SELECT o.conv_id, o.turn, o.k, {CHAIN.format('c.event_hash')}, c.event_hash FROM c JOIN o ON o.conv_id = c.conv_id AND o.k = c.k + 1) SELECT conv_id, turn, event_hash, previous_hash FROM c""")
 def w08_chained(spark, d):
-    """Hashes depend on the ones before them: held by the check below and a unit test."""
+    """Hashes depend on the ones before them."""
     return L.chained(read(spark, d, "conversations"), "conv_id", "turn", FIELDS)
 
 
-@query("SELECT conv_id, count(*) AS n, TRUE AS valid FROM conversations GROUP BY 1")
+@query("SELECT conv_id, count(*) AS n, NOT bool_or(conv_id % 3 = 0 AND turn % 4 = 1) AS valid FROM conversations GROUP BY 1")
 def w09_verified(spark, d):
+    """Chains of which some are tampered with after they were written: those must not hold."""
     turns = read(spark, d, "conversations").join(w08_chained(spark, d), ["conv_id", "turn"])
-    return L.verified(turns, "conv_id", "turn", FIELDS)
+    altered = F.when((col("conv_id") % 3 == 0) & (col("turn") % 4 == 1), F.concat(F.coalesce("text", lit("")), lit("!"))).otherwise(col("text"))
+    return L.verified(turns.withColumn("text", altered), "conv_id", "turn", FIELDS)
 
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS sequence FROM events")

@@ -83,11 +83,13 @@ def f17_anchored(spark, d):
     return read(spark, d, "documents").select("doc_id", X.any_anchor(F.array(lit("the"), lit("und")), col("text")).alias("anchored"))
 
 
-@query("SELECT o_custkey, bool_or(o_orderkey % 4 = 0) AS grounded, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS in_graph FROM orders GROUP BY 1")
+@query("SELECT o_custkey, bool_or(s_suppkey IS NOT NULL) AS grounded, count(DISTINCT s_suppkey) AS in_graph, count(DISTINCT l_suppkey) AS cited FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 3000 GROUP BY 1")
 def v14_grounding(spark, d):
-    """Cited ids that the graph knows: whether there is one, and how many."""
-    sets = read(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("cited"), F.collect_set(F.when(col("o_orderkey") % 4 == 0, col("o_orderkey"))).alias("known"))
-    return sets.select("o_custkey", F.arrays_overlap("cited", "known").alias("grounded"), F.size(F.array_intersect("cited", "known")).cast("long").alias("in_graph"))
+    """Cited ids that the graph knows: whether there is one, and how many of how many."""
+    cited = read(spark, d, "orders").join(read(spark, d, "lineitem"), col("l_orderkey") == col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    known = read(spark, d, "supplier").where("s_acctbal > 3000").select(col("s_suppkey").alias("l_suppkey"), lit(True).alias("known"))
+    met = cited.join(known, "l_suppkey", "left").groupBy("o_custkey")
+    return met.agg(F.coalesce(F.bool_or("known"), lit(False)).alias("grounded"), F.count("known").alias("in_graph"), F.count("*").alias("cited"))
 
 
 @query("SELECT l_suppkey, NOT bool_or(p_brand = 'Brand#11' AND l_returnflag = 'R' OR p_brand = 'Brand#22' AND l_returnflag = 'A') AS safe FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
@@ -121,13 +123,21 @@ def v11_checks(spark, d):
     return read(spark, d, "orders").select("o_orderkey", status.alias("status"), F.array_join(lacking, ",").alias("unconfirmed"), ((status != "supported") | (F.size(lacking) > 0)).alias("has_question"))
 
 
-@query("SELECT conv_id, count(*) AS turns, TRUE AS valid FROM conversations GROUP BY 1")
+RUN_ID = "CASE WHEN conv_id % 2 = 0 THEN substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) ELSE 'run-' || conv_id END"
+
+
+@query(f"SELECT {RUN_ID} AS run, turn, role, count(*) OVER (PARTITION BY conv_id) AS turns, NOT bool_or(conv_id % 3 = 0 AND turn % 4 = 1) OVER (PARTITION BY conv_id) AS valid FROM (SELECT *, md5(conv_id::VARCHAR) AS m FROM conversations) WHERE conv_id % 2 = 0")
 def v30_public_ledger(spark, d):
-    """Runs read back without their payload: turns and whether the chain holds."""
-    turns = read(spark, d, "conversations")
-    chain = L.chained(turns, "conv_id", "turn", ["conv_id", "turn", "role", "text"])
-    checked = L.verified(turns.join(chain, ["conv_id", "turn"]), "conv_id", "turn", ["conv_id", "turn", "role", "text"])
-    return checked.select("conv_id", col("n").alias("turns"), "valid")
+    """Events read back without their payload, of runs that have a UUID, each with whether its run's chain holds; some are tampered with."""
+    fields = ["run", "turn", "role", "text"]
+    m = F.md5(col("conv_id").cast("string"))
+    uuid = F.concat_ws("-", *[F.substring(m, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    turns = read(spark, d, "conversations").withColumn("run", F.when(col("conv_id") % 2 == 0, uuid).otherwise(F.concat(lit("run-"), col("conv_id").cast("string"))))
+    written = turns.join(L.chained(turns, "run", "turn", fields), ["run", "turn"])
+    altered = F.when((col("conv_id") % 3 == 0) & (col("turn") % 4 == 1), F.concat(F.coalesce("text", lit("")), lit("!"))).otherwise(col("text"))
+    stands = written.withColumn("text", altered)
+    checked = L.verified(stands, "run", "turn", fields)
+    return L.public_view(stands, "run", "text").join(checked, "run").select("run", "turn", "role", col("n").alias("turns"), "valid")
 
 
 # -- questions ----------------------------------------------------------------------------------------------------
@@ -142,31 +152,6 @@ def r05_graph_facts(spark, d):
     return path.df.select(col("g__symbol").alias("qid"), text.alias("text")).distinct()
 
 
-@query("SELECT o_custkey AS qid, bool_or(o_orderkey % 5 = 0)::INTEGER::DOUBLE AS terminal, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') > 0 THEN avg(CASE WHEN o_orderstatus = 'P' THEN (o_orderkey % 2 = 0)::INTEGER END) END AS chain FROM orders GROUP BY 1")
-def r09_chain_recall(spark, d):
-    """Whether the last entity is in the context, and the share of bridge entities that are; null where there are none."""
-    o = read(spark, d, "orders")
-    bridge = col("o_orderstatus") == "P"
-    terminal = F.bool_or(col("o_orderkey") % 5 == 0).cast("int").cast("double")
-    return o.groupBy(col("o_custkey").alias("qid")).agg(terminal.alias("terminal"), F.avg(F.when(bridge, (col("o_orderkey") % 2 == 0).cast("int"))).alias("chain"))
-
-
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'not in the knowledge base' ELSE c_name END AS answer, c_custkey % 3 = 0 AS abstained FROM customer")
-def r17_abstention(spark, d):
-    """An empty context gives the fixed refusal, and refusals are told by their words."""
-    context = F.when(col("c_custkey") % 3 == 0, "  ").otherwise(col("c_mktsegment"))
-    rows = read(spark, d, "customer").select("c_custkey", R.abstaining(context, col("c_name")).alias("answer"))
-    return rows.withColumn("abstained", F.lower("answer").rlike(r"not (in|found|available)|no (evidence|information)"))
-
-
-@query("SELECT condition, round(avg(hit), 6) AS recall FROM (SELECT 'original' AS condition, (contains(lower(text), 'the'))::INTEGER AS hit FROM benchmark UNION ALL SELECT 'paraphrase', (contains(replace(lower(text), 'the', 'this'), 'the'))::INTEGER FROM benchmark) GROUP BY 1")
-def r18_paraphrases(spark, d):
-    """The same measure on two wordings of the questions, told apart by a condition column."""
-    b = read(spark, d, "benchmark").select("item_id", F.lower("text").alias("t"))
-    both = b.withColumn("condition", lit("original")).unionByName(b.withColumn("t", F.replace("t", lit("the"), lit("this"))).withColumn("condition", lit("paraphrase")))
-    return both.groupBy("condition").agg(F.round(F.avg(F.contains("t", lit("the")).cast("int")), 6).alias("recall"))
-
-
 @query("SELECT DISTINCT n_name AS gene, p_brand AS device, 'Drug ' || p_name || ' has companion diagnostic ' || p_brand || '.' AS chunk FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE p_size <= 25")
 def r19_scoped_chunks(spark, d):
     """Chunks of diagnostics, for the drugs that a gene's rows name."""
@@ -198,3 +183,20 @@ def f18_scores(spark, d):
     n = read(spark, d, "orders").groupBy(col("o_orderpriority").alias("level")).agg(F.count_if(said & true).alias("hit"), F.count_if(said).alias("np"), F.count_if(true).alias("ng"))
     p, r, f1 = rules.scores(col("hit"), col("np"), col("ng"))
     return n.select("level", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+SKIPPED = ("red", "steel")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT (contains(lower(p_name), 'red') OR contains(lower(p_name), 'steel'))")
+def pf16_skipped_names(spark, d):
+    """Names that hold none of the words to be skipped."""
+    return read(spark, d, "part").where(~T.any_keyword(col("p_name"), list(SKIPPED))).select("p_partkey", "p_name")
+
+
+@query("SELECT 'ev_' || left(o_orderpriority || '_' || o_orderstatus, 7) AS id, arg_min(o_orderpriority || '_' || o_orderstatus, o_orderkey) AS label, count(DISTINCT o_orderpriority || '_' || o_orderstatus) AS names FROM orders GROUP BY 1")
+def f23_truncated_ids(spark, d):
+    """Nodes that are named by a cut identity: of names that fall together the first is the label."""
+    name = F.concat_ws("_", "o_orderpriority", "o_orderstatus")
+    rows = read(spark, d, "orders").select(F.concat(lit("ev_"), F.left(name, lit(7))).alias("id"), name.alias("name"), "o_orderkey")
+    return rows.groupBy("id").agg(F.min_by("name", "o_orderkey").alias("label"), F.count_distinct("name").alias("names"))
