@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import acquired_resistance
 from lodestone.plans.graph import Graph, Path, top
 
 # The strong levels, and the strongest.
@@ -172,3 +173,12 @@ def subgraph_links(records: DataFrame) -> DataFrame:
         one = records.where(f"{x} is not null and {y} is not null").select(F.concat_ws(":", F.lit(a), F.expr(x)).alias("source"), F.concat_ws(":", F.lit(b), F.expr(y)).alias("target"), F.lit(kind).alias("type"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.distinct()
+
+
+def with_gene_fallback(cases: DataFrame, primary: DataFrame, by_gene: DataFrame) -> DataFrame:
+    """Rows of cases (case_id, gene, variant) from primary (case_id, found, ...), and for cases that have none there from
+    by_gene (gene, found, ...): acquired-resistance variants other than the case's own. `fallback` tells them apart."""
+    bare = cases.join(primary, "case_id", "left_anti")
+    other = ~F.lower("found").eqNullSafe(F.lower("variant")) & acquired_resistance(F.col("found"))
+    rest = bare.join(by_gene, "gene").where(other).select(*primary.columns)
+    return primary.withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))

@@ -12,10 +12,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.plans.graph import Edges, Graph, Nodes
+from lodestone.sources.tables import store_tables
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
@@ -63,3 +66,19 @@ def evidence_graph(spark: SparkSession, sf_dir: str) -> Graph:
     direct = edges["ASSOCIATED_GENE"].table.select("src", F.col("dst").alias("gene")).join(edges["TESTS_DRUG"].table, "src")
     edges["INTERACTS_WITH"] = Edges("Gene", "Drug", direct.select(F.col("gene").alias("src"), "dst").distinct())
     return Graph(nodes, edges)
+
+
+def store_graph(graph: Graph, folder: str) -> None:
+    """Every label and relationship as a Parquet table of its own, so that a pattern reads only what it hops along."""
+    store_tables({f"nodes/{k}": v.table for k, v in graph.nodes.items()}, folder)
+    store_tables({f"edges/{k}": v.table for k, v in graph.edges.items()}, folder)
+
+
+def stored_graph(spark: SparkSession, folder: str, model: Graph) -> Graph:
+    """The graph that a folder holds; the model gives keys, ends and schemas of its labels and relationships."""
+
+    def read_back(kind: str, name: str, table: DataFrame) -> DataFrame:
+        return spark.read.schema(table.schema).parquet(f"{folder}/{kind}/{name}")
+
+    nodes = {k: replace(v, table=read_back("nodes", k, v.table)) for k, v in model.nodes.items()}
+    return Graph(nodes, {k: replace(v, table=read_back("edges", k, v.table)) for k, v in model.edges.items()})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,46 @@ def sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.createDataFrame(pd.read_excel(path, sheet_name=name, dtype=str))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of `spark.checkpoint.dir`, which driver and executors share; a local session may go without
+    the setting, as they share its disk."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone"))
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
+
+
+PAGE = "pageToken string, nextPageToken string"
+
+
+def landed_pages(spark: SparkSession, path: str, items: str, item_type: str) -> DataFrame:
+    """Pages of a paged source as they were landed, one JSON object a line: (pageToken, nextPageToken, items).
+
+    A page that was asked for again counts once. The first page has no token of its own, the last names no next one.
+    """
+    pages = spark.read.schema(f"{PAGE}, `{items}` array<{item_type}>").json(path)
+    return pages.dropDuplicates(["pageToken"])
+
+
+def page_items(pages: DataFrame, items: str) -> DataFrame:
+    return pages.select(F.explode(items).alias("_item")).select("_item.*")
+
+
+def missing_pages(pages: DataFrame) -> DataFrame:
+    """(pageToken): pages that landed ones name as next, but that did not land; empty if a download is whole."""
+    named = pages.where("nextPageToken is not null").select(F.col("nextPageToken").alias("pageToken"))
+    return named.join(pages.select("pageToken"), "pageToken", "left_anti").distinct()
+
+
+def store_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """Wipe and reload: each table replaces whatever its folder held. None may be read from the folder that it replaces."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def write_delimited(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, emptyValue="", encoding="UTF-8")
 

@@ -130,3 +130,30 @@ def test_noise_facts_of_many_kinds(spark, tmp_path):
     con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     got = sorted(tuple(r) for r in catalog.QUERIES["r13_noise_facts"](spark, str(tmp_path)).collect())
     assert len(got) == 40 and got == sorted(con.sql(catalog.SQL["r13_noise_facts"]).fetchall())
+
+
+def test_landed_pages(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"nextPageToken": "b", "rows": [{"id": 1}, {"id": 2}]}\n{"pageToken": "b", "nextPageToken": "c", "rows": [{"id": 3}]}\n')
+    (tmp_path / "again.json").write_text('{"pageToken": "b", "nextPageToken": "c", "rows": [{"id": 3}]}\n{"pageToken": "d", "rows": []}\n')
+    pages = tables.landed_pages(spark, str(tmp_path), "rows", "struct<id: long>")
+    assert sorted(r["id"] for r in tables.page_items(pages, "rows").collect()) == [1, 2, 3]
+    assert [r["pageToken"] for r in tables.missing_pages(pages).collect()] == ["c"]
+
+
+def test_gene_fallback(spark):
+    from lodestone.plans.templates import with_gene_fallback
+
+    cases = spark.createDataFrame([(1, "G", "T790M"), (2, "G", "L858R"), (3, "H", "x"), (4, "G", None)], "case_id int, gene string, variant string")
+    primary = spark.createDataFrame([(1, "T790M", 10)], "case_id int, found string, evidence int")
+    by_gene = spark.createDataFrame([("G", "l858r", 20), ("G", "C797S", 21), ("G", "exon 19 deletion", 22), ("G", None, 23)], "gene string, found string, evidence int")
+    got = sorted(tuple(r) for r in with_gene_fallback(cases, primary, by_gene).select("case_id", "evidence", "fallback").collect())
+    assert got == [(1, 10, False), (2, 21, True), (4, 20, True), (4, 21, True)]
+
+
+def test_checkpoint_folder_is_not_guessed_on_a_cluster(spark):
+    from types import SimpleNamespace as Some
+
+    unset = Some(getCheckpointDir=lambda: Some(isEmpty=lambda: True))
+    far = Some(sparkContext=Some(master="yarn", _jsc=Some(sc=lambda: unset)), conf=Some(get=lambda *_: None))
+    with pytest.raises(ValueError):
+        tables.shared_path(far, "x")
