@@ -57,6 +57,32 @@ def simple_paths(start: DataFrame, edges: DataFrame, depth: int, most: int = 400
     return paths
 
 
+def simple_walks(start: DataFrame, edges: DataFrame, steps: Sequence[tuple[str, bool]], most: int | None = 4000) -> DataFrame:
+    """(anchor, node, path) of paths from start (anchor, node) along steps (relation, backwards), no node twice.
+
+    Paths are ordered by their nodes, and per anchor and level the first `most` go on (all, if None). A path's order is its
+    parent's number and then its last node, so that no arrays are compared. A node's degree less the length of a path is the
+    least number of its extensions: paths behind `most` of these cannot go on and are left out before the join.
+    """
+    paths = start.select("anchor", "node", F.array("node").alias("path"), F.lit(1).alias("_nth"))
+    order = Window.partitionBy("anchor").orderBy("_parent", "node")
+    ahead = Window.partitionBy("anchor").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    for rel, back in steps:
+        near, far = ("dst", "src") if back else ("src", "dst")
+        step = edges.where(F.col("rel") == rel).select(F.col(near).alias("node"), F.col(far).alias("_next")).distinct()
+        if most is not None:
+            sure = F.sum(F.greatest(F.col("_degree") - F.size("path"), F.lit(0))).over(ahead)
+            degree = step.groupBy("node").agg(F.count("*").alias("_degree"))
+            paths = paths.join(degree, "node").withColumn("_sure", F.coalesce(sure, F.lit(0))).where(F.col("_sure") < most).drop("_sure", "_degree")
+        on = paths.join(step, "node").where(~F.array_contains("path", F.col("_next")))
+        on = on.select("anchor", F.col("_next").alias("node"), F.concat("path", F.array("_next")).alias("path"), F.col("_nth").alias("_parent"))
+        if most is None:
+            paths = on.withColumnRenamed("_parent", "_nth")
+        else:
+            paths = on.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_parent")
+    return paths.drop("_nth")
+
+
 def first_path(paths: DataFrame) -> DataFrame:
     """One path for each anchor: the least."""
     return paths.groupBy("anchor").agg(F.min("path").alias("path"))

@@ -97,6 +97,23 @@ def test_simple_paths_are_capped_in_order(spark):
     assert [r["path"] for r in traversal.simple_paths(start, edges, 2, most=1).collect()] == [["a", "b", "d"]]
 
 
+def test_simple_walks(spark):
+    edges = spark.createDataFrame([("a", "R", "c"), ("a", "R", "b"), ("b", "R", "d"), ("c", "R", "d"), ("a", "X", "d"), ("c", "R", "a")], "src string, rel string, dst string")
+    start = spark.createDataFrame([("a", "a")], "anchor string, node string")
+    walk = lambda steps, most: sorted("".join(r["path"]) for r in traversal.simple_walks(start, edges, steps, most).collect())
+    assert walk([("R", False)] * 2, None) == ["abd", "acd"] and walk([("R", False)] * 2, 1) == ["abd"]
+    assert walk([("R", False), ("R", False), ("R", True)], None) == ["abdc", "acdb"]
+    assert walk([("X", False), ("R", True)], 4000) == ["adb", "adc"] and walk([("X", True)], 4000) == []
+    mesh = spark.createDataFrame([(f"{i}", "R", f"{j}") for i in range(9) for j in range(9) if i != j and (i + j) % 4], "src string, rel string, dst string")
+    start = spark.createDataFrame([("0", "0"), ("1", "1")], "anchor string, node string")
+    got = traversal.simple_walks(start, mesh, [("R", False)] * 3, 37).collect()
+    full = {"0": [("0",)], "1": [("1",)]}
+    near = {f"{i}": [f"{j}" for j in range(9) if i != j and (i + j) % 4] for i in range(9)}
+    for _ in range(3):
+        full = {a: [(*p, n) for p in ps for n in near[p[-1]] if n not in p][:37] for a, ps in full.items()}
+    assert sorted(tuple(r["path"]) for r in got) == sorted(p for ps in full.values() for p in ps)
+
+
 def test_abstention(spark):
     assert one(spark, retrieval.abstaining(F.lit("  "), F.lit("x"))) == "not in the knowledge base"
 
