@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,19 @@ ROUTES = {
     "GENE_EVIDENCE_TRIAL_BRIDGE": ("Gene", ()),
 }
 DEFAULT_ROUTE = "GENE_TO_DRUG"
+# Words by which a question speaks of variants; words of the keyword routes, in either language; formats of
+# facts by start, leaf and last relationship.
+VARIANT_WORDS = ("variante", "mutazione", "mutation", "variant")
+COMPANION_WORDS, DETECT_WORDS, TRIAL_WORDS, EVIDENCE_WORDS, DISEASE_WORDS = ("companion", "accompagnamento"), ("rilev", "quale gene"), ("trial",), ("evidenza",), ("malatti",)
+FACTS = {
+    ("Variant", "Drug", "TARGETS_DRUG"): "La variante %s è collegata, tramite evidenza clinica documentata, al farmaco %s.",
+    ("Gene", "Drug", "TARGETS_DRUG"): "Il gene %s è collegato, tramite evidenza clinica documentata, al farmaco %s.",
+    ("Gene", "Disease", "HAS_DISEASE"): "Il gene %s presenta evidenza clinica nella malattia %s.",
+    ("Gene", "Device", "HAS_COMPANION_DIAGNOSTIC"): "Il gene %s è collegato, tramite farmaco con evidenza clinica, al test diagnostico %s.",
+    ("Gene", "Drug", "TESTS_DRUG"): "Il gene %s è associato a un trial clinico che testa il farmaco %s.",
+    ("Drug", "Gene", "DIAGNOSES_GENE"): "Il farmaco %s ha un test diagnostico di accompagnamento che rileva il gene %s.",
+}
+BRIDGE_FACT = "Il farmaco %s è supportato da evidenza clinica ED è testato in un trial clinico per il gene %s."
 TOOLS = ("assess_complexity", "interpret_variant", "identify_targets", "check_resistance", "match_trials", "enrich_oncokb", "finish")
 
 
@@ -36,6 +50,21 @@ def routed(question: Column, rules: Sequence[tuple[Sequence[str], str]], default
     return out.otherwise(default)
 
 
+def keyword_route(question: Column) -> Column:
+    """The route that a question's words name."""
+    low = F.lower(question)
+    has = lambda words: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])
+    return (
+        F.when(has(COMPANION_WORDS) & F.contains(low, F.lit("gene")) & has(DETECT_WORDS), "DRUG_TO_GENE_CDX")
+        .when(has(COMPANION_WORDS), "GENE_TO_CDX")
+        .when(has(TRIAL_WORDS) & has(EVIDENCE_WORDS), "GENE_EVIDENCE_TRIAL_BRIDGE")
+        .when(has(TRIAL_WORDS), "GENE_TO_TRIALDRUG")
+        .when(has(DISEASE_WORDS), "GENE_TO_DISEASE")
+        .when(has(VARIANT_WORDS), "VARIANT_TO_DRUG")
+        .otherwise(DEFAULT_ROUTE)
+    )
+
+
 def sentence(start: Column, leaf: Column, names: Column, templates: Mapping[tuple[str, str], tuple[str, str]]) -> Column:
     """A path as a sentence: first name, infix, last name, ending by its end labels; other paths as names with arrows."""
     first, final = F.get(names, F.lit(0)), F.element_at(names, -1)

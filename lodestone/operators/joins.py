@@ -1,4 +1,4 @@
-"""Lookup joins: last entry wins, two key columns, cascades of matches, dictionary scans, get-or-create."""
+"""Lookup joins: last entry wins, two key columns, cascades of matches, get-or-create."""
 
 from __future__ import annotations
 
@@ -31,12 +31,6 @@ def cascade(rows: DataFrame, name: str, index: DataFrame, key: str) -> DataFrame
     return out.join(hits, name, "left").withColumn(key, F.coalesce("_by_upper", "_by_name", "_by_word")).select(*rows.columns, key)
 
 
-def words_in_text(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
-    """(texts' columns, word): dictionary words that stand in a text as whole words; tokens meet the dictionary by key."""
-    found = texts.withColumn("_t", F.explode(F.array_distinct(F.split(F.col(text), r"[^\p{L}\p{N}]+"))))
-    return found.join(words.select(F.col(word), F.col(word).alias("_t")).distinct(), "_t").drop("_t")
-
-
 def get_or_create(rows: DataFrame, known: DataFrame, key: str, ident: str, prefix: str) -> tuple[DataFrame, DataFrame]:
     """(rows with ident, new known rows): unknown keys get prefix + key, the same for every row that has the key."""
     out = rows.join(known.select(key, ident), key, "left").withColumn("_new", F.col(ident).isNull()).withColumn(ident, F.coalesce(ident, F.concat(F.lit(prefix), F.col(key))))

@@ -1,4 +1,4 @@
-"""Passage retrieval: lexical, vector and hybrid scores, top-k, word-budget packing, answer metrics."""
+"""Around retrieval (`topk`): scaled scores, word-budget packing, recall and answer metrics."""
 
 from __future__ import annotations
 
@@ -6,41 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.rules import scores
-from lodestone.functions.text import dot, entity_key, tokens, word_count
-
-#: Public defaults of the lexical score.
-K1, B, EPSILON = 1.5, 0.75, 0.25
-
-
-def bm25(passages: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, pid, score) of passages (pid, text) that share a token with a question (qid, text).
-
-    Tokens of a question count as often as they occur. A token that is in over half of the passages has a negative
-    inverse frequency; it counts EPSILON times the mean of all tokens' instead. Only postings of tokens that
-    some question has go on to the join; the questions' words are small beside the passages.
-    """
-    words = passages.select("pid", tokens(F.col("text")).alias("t"))
-    postings = words.select("pid", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("pid", "length", "token").agg(F.count("*").alias("tf"))
-    # Lengths add up from the postings, so that only they read and cut the texts.
-    size = postings.agg(F.sum("tf").alias("total")).crossJoin(passages.agg(F.count("*").alias("n_passages"), F.count("text").alias("n_texts"))).withColumn("mean_length", F.col("total") / F.col("n_texts"))  # one row each
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(size.select("n_passages")).withColumn("idf", F.log(F.col("n_passages") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row of sizes
-    mean = idf.agg((EPSILON * F.avg("idf")).alias("floor"))
-    asked = questions.select("qid", F.explode(tokens(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
-    weights = asked.join(idf.select("token", "idf"), "token").crossJoin(mean).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")))  # one row of means
-    met = weights.join(postings, "token").crossJoin(size.select("mean_length"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return met.groupBy("qid", "pid").agg(F.sum(part).alias("score"))
-
-
-def dense(passages: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, pid, score): inner products of vectors; questions are a stated set, sent to the passages if they are few.
-
-    `best` keeps each task's k best of a question before anything is shuffled.
-    """
-    q = questions.select("qid", F.col("vector").alias("_q"))
-    return passages.join(q, F.lit(True), "cross").select("qid", "pid", dot(F.col("vector"), F.col("_q")).alias("score"))
-
+from lodestone.functions.text import entity_key, tokens, word_count
+from lodestone.operators.topk import B, EPSILON, K1, best, dense_top, hybrid_top, lexical_top  # noqa: F401
 
 def scaled(scored: DataFrame, column: str = "score") -> DataFrame:
     """The column scaled to 0..1 within each question; 0 where all are equal. Bounds are summed up, a row for each question."""
@@ -49,18 +16,6 @@ def scaled(scored: DataFrame, column: str = "score") -> DataFrame:
     return scored.join(bounds, "qid").withColumn(column, at).select(*scored.columns)
 
 
-def hybrid(vector: DataFrame, lexical: DataFrame, weight: float = 0.5) -> DataFrame:
-    """Weighted sum of both scores, each scaled over all passages; a passage without a lexical score counts 0."""
-    both = vector.join(lexical.withColumnRenamed("score", "_lexical"), ["qid", "pid"], "left").withColumn("_lexical", F.coalesce("_lexical", F.lit(0.0)))
-    return scaled(scaled(both), "_lexical").withColumn("score", weight * F.col("score") + (1 - weight) * F.col("_lexical")).drop("_lexical")
-
-
-def best(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """The k best of each question with their ranks; scores equal to so many digits go by pid."""
-    order = Window.partitionBy("qid").orderBy(F.round("score", digits).desc(), "pid")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def packed(ranked: DataFrame, budget: Column | int, words: Column | None = None, stop_when_full: bool = True, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Ranked texts taken in order until the word budget is met; the first is always taken."""
     order = Window.partitionBy(*by).orderBy("rank")
@@ -73,23 +28,26 @@ def packed(ranked: DataFrame, budget: Column | int, words: Column | None = None,
     return rows.where((F.col("rank") == 1) | fits)
 
 
-def gold_recall(context: DataFrame, gold: DataFrame) -> DataFrame:
-    """(qid, recall): share of gold names that stand in the joined, normalised context."""
-    blob = context.groupBy("qid").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])).alias("_c"))
-    return gold.join(blob.select("qid", entity_key(F.col("_c")).alias("_c")), "qid", "left").groupBy("qid").agg(F.avg(F.coalesce(F.contains("_c", entity_key(F.col("name"))), F.lit(False)).cast("int")).alias("recall"))
+def gold_recall(context: DataFrame, gold: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """(by, recall): share of gold names (a row each) that stand in the joined, normalised context; names meet their context as one array."""
+    blob = context.groupBy(*by).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])).alias("_c"))
+    names = gold.groupBy(*by).agg(F.collect_list(entity_key(F.col("name"))).alias("_names"), F.count("*").alias("_n"))
+    found = F.size(F.filter("_names", lambda x: F.contains(F.col("_c"), x)))
+    return names.join(blob.select(*by, entity_key(F.col("_c")).alias("_c")), list(by), "left").select(*by, (F.when(F.col("_c").isNull(), 0).otherwise(found) / F.col("_n")).alias("recall"))
 
 
 def deep_context(paths: DataFrame, budget: int) -> DataFrame:
-    """(qid, rank, text, words, upto) of paths (qid, path, text): each sentence once, by its least path, under a word budget."""
-    once = paths.groupBy("qid", "text").agg(F.min("path").alias("path"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("path")))
-    return packed(ranked.drop("path"), budget, stop_when_full=False)
+    """(qid, depth, rank, text, words, upto) of paths (qid, depth, path, nth, text): each sentence once, by its first path, under
+    a word budget for each depth."""
+    once = paths.groupBy("qid", "depth", "text").agg(F.min("nth").alias("nth"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "depth").orderBy("nth")))
+    return packed(ranked.drop("nth"), budget, stop_when_full=False, by=("qid", "depth"))
 
 
-def chain_recall(context: DataFrame, terminal: DataFrame, bridges: DataFrame) -> DataFrame:
-    """(qid, terminal, chain): whether the last entity stands in the context, and the share of bridges that do (null: none)."""
-    found = gold_recall(context, terminal).withColumnRenamed("recall", "terminal")
-    return found.join(gold_recall(context, bridges).withColumnRenamed("recall", "chain"), "qid", "left")
+def chain_recall(context: DataFrame, terminal: DataFrame, bridges: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """(by, terminal, chain): whether the last entity stands in the context, and the share of bridges that do (null: none)."""
+    found = gold_recall(context, terminal, by).withColumnRenamed("recall", "terminal")
+    return found.join(gold_recall(context, bridges, by).withColumnRenamed("recall", "chain"), list(by), "left")
 
 
 def set_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
@@ -101,18 +59,6 @@ def set_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return n.select("qid", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
-def mentions(questions: DataFrame, names: DataFrame, longest: int = 3) -> DataFrame:
-    """(qid, node): aliases (alias, node) that stand in questions as n-grams; longer ones first, each node once, by place."""
-    t = questions.select("qid", tokens(F.col("text")).alias("t"))
-    grams = None
-    for n in range(longest, 0, -1):
-        starts = F.sequence(F.lit(1), F.size("t") - n + 1)
-        one = t.where(F.size("t") >= n).select("qid", F.lit(n).alias("n"), F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("t", i, n), " "))).alias("at", "alias"))  # noqa: B023
-        grams = one if grams is None else grams.unionByName(one)
-    hits = grams.where(F.length("alias") > 2).join(names, "alias")
-    return hits.groupBy("qid", "node").agg(F.min(F.struct(-F.col("n"), F.col("at"))).alias("_o")).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("_o", "node"))).drop("_o")
-
-
 def crossing(points: DataFrame, system: str, x: str, y: str, threshold: float) -> DataFrame:
     """(system, x): where y first reaches the threshold, between measured points on a straight line."""
     order = Window.partitionBy(system).orderBy(x)

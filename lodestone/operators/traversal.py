@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import durable
+
 
 def follow(start: DataFrame, edges: DataFrame, steps: Sequence[tuple[str, bool]]) -> DataFrame:
     """Every path from start (anchor, node) along steps (relation, backwards); edges: (src, rel, dst, noise).
@@ -57,16 +59,18 @@ def simple_paths(start: DataFrame, edges: DataFrame, depth: int, most: int = 400
     return paths
 
 
-def simple_walks(start: DataFrame, edges: DataFrame, steps: Sequence[tuple[str, bool]], most: int | None = 4000) -> DataFrame:
-    """(anchor, node, path) of paths from start (anchor, node) along steps (relation, backwards), no node twice.
+def walk_levels(start: DataFrame, edges: DataFrame, steps: Sequence[tuple[str, bool]], most: int | None = 4000) -> list[DataFrame]:
+    """For each number of steps (anchor, node, path, _nth): paths from start (anchor, node) along the steps (relation, backwards), no node twice.
 
     Paths are ordered by their nodes, and per anchor and level the first `most` go on (all, if None). A path's order is its
     parent's number and then its last node, so that no arrays are compared. A node's degree less the length of a path is the
     least number of its extensions: paths behind `most` of these cannot go on and are left out before the join.
+    Each level is stored once, for the next level and for whoever reads it.
     """
     paths = start.select("anchor", "node", F.array("node").alias("path"), F.lit(1).alias("_nth"))
     order = Window.partitionBy("anchor").orderBy("_parent", "node")
     ahead = Window.partitionBy("anchor").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    levels = []
     for rel, back in steps:
         near, far = ("dst", "src") if back else ("src", "dst")
         step = edges.where(F.col("rel") == rel).select(F.col(near).alias("node"), F.col(far).alias("_next")).distinct()
@@ -77,10 +81,59 @@ def simple_walks(start: DataFrame, edges: DataFrame, steps: Sequence[tuple[str,
         on = paths.join(step, "node").where(~F.array_contains("path", F.col("_next")))
         on = on.select("anchor", F.col("_next").alias("node"), F.concat("path", F.array("_next")).alias("path"), F.col("_nth").alias("_parent"))
         if most is None:
-            paths = on.withColumnRenamed("_parent", "_nth")
+            paths = durable(on.withColumnRenamed("_parent", "_nth"))
         else:
-            paths = on.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_parent")
-    return paths.drop("_nth")
+            paths = durable(on.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_parent"))
+        levels.append(paths)
+    return levels
+
+
+def simple_walks(start: DataFrame, edges: DataFrame, steps: Sequence[tuple[str, bool]], most: int | None = 4000) -> DataFrame:
+    """(anchor, node, path) of the last of `walk_levels`."""
+    return walk_levels(start, edges, steps, most)[-1].drop("_nth")
+
+
+def half_paths(start: DataFrame, edges: DataFrame, steps: Sequence[tuple[str, bool]], most: int) -> tuple[DataFrame, DataFrame]:
+    """((anchor, node, path), (anchor)): at most `most` simple paths of an anchor and level, and the anchors of which some were left out."""
+    paths, cut = start.select("anchor", "node", F.array("node").alias("path")), None
+    order = Window.partitionBy("anchor").orderBy(F.xxhash64("path"), "path")
+    for rel, back in steps:
+        near, far = ("dst", "src") if back else ("src", "dst")
+        step = edges.where(F.col("rel") == rel).select(F.col(near).alias("node"), F.col(far).alias("_next")).distinct()
+        # A path goes on to at most `most` nodes, so that a hub does not meet more than can be kept.
+        few = step.withColumn("_nth", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("_next"), "_next"))).where(F.col("_nth") <= most + len(steps) + 1)
+        on = paths.join(few, "node").where(~F.array_contains("path", F.col("_next"))).select("anchor", F.col("_next").alias("node"), F.concat("path", F.array("_next")).alias("path"))
+        ranked = durable(on.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most + 1))
+        over = ranked.where(F.col("_nth") > most).select("anchor")
+        cut = over if cut is None else cut.union(over)
+        paths = ranked.where(F.col("_nth") <= most).drop("_nth")
+    return paths, cut.distinct()
+
+
+def some_path(start: DataFrame, edges: DataFrame, steps: Sequence[tuple[str, bool]], most: int = 64, grow: int = 16) -> DataFrame:
+    """(anchor, path): for each anchor that has a simple path along all the steps one such path, else null. Exact.
+
+    Half paths from the anchors and from the nodes that these end at meet in the middle and must share no other node. The
+    first round makes few of them; the anchors that it leaves undecided go on with `grow` times as many, until no half path
+    of an anchor is left out any more.
+    """
+    half = len(steps) // 2
+    left = durable(start.select("anchor", "node").distinct())
+    out = None
+    while True:
+        first, cut = half_paths(left, edges, steps[:half], most)
+        middles = durable(first.select(F.col("node").alias("anchor"), "node").distinct())
+        second, cut_middles = half_paths(middles, edges, steps[half:], most)
+        met = first.join(second.select(F.col("anchor").alias("node"), F.slice("path", 2, len(steps)).alias("_rest")), "node").where(~F.arrays_overlap("path", "_rest"))
+        found = durable(met.groupBy("anchor").agg(F.min(F.concat("path", "_rest")).alias("path")))
+        open_still = cut.union(first.join(cut_middles.select(F.col("anchor").alias("node")), "node", "left_semi").select("anchor")).distinct()
+        rest = left.join(found.select("anchor"), "anchor", "left_anti")
+        undecided = durable(rest.join(open_still, "anchor", "left_semi"))
+        settled = found.union(rest.join(open_still, "anchor", "left_anti").select("anchor", F.lit(None).cast("array<string>").alias("path")))
+        out = settled if out is None else out.union(settled)
+        if undecided.isEmpty():
+            return out
+        left, most = undecided, most * grow
 
 
 def first_path(paths: DataFrame) -> DataFrame:

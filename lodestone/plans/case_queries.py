@@ -58,15 +58,6 @@ def f28_new_treatments(spark, d):
     return read(spark, d, "part").select("p_partkey", C.new_treatments(level, first, F.array(lit("red"), lit("blue"))).alias("is_new"))
 
 
-SYNONYMS = {"auto": ["car", "machin"], "build": ["house", "furn"]}
-
-
-@query("SELECT a.s AS x, b.s AS y, contains(b.s, a.s) OR contains(a.s, b.s) OR (contains(a.s, 'auto') AND contains(b.s, 'machin')) OR (contains(a.s, 'build') AND (contains(b.s, 'house') OR contains(b.s, 'furn'))) AS fits FROM (SELECT DISTINCT lower(c_mktsegment) AS s FROM customer) a, (SELECT DISTINCT lower(c_mktsegment) AS s FROM customer) b")
-def j17_tumour_fit(spark, d):
-    s = read(spark, d, "customer").select(F.lower("c_mktsegment").alias("x")).distinct()  # a handful of labels
-    return s.crossJoin(s.select(col("x").alias("y"))).select("x", "y", C.tumour_fits(col("x"), col("y"), SYNONYMS).alias("fits"))
-
-
 @query("SELECT c_custkey, coalesce(f.n, 0) AS done, coalesce(o.n, 0) AS open FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) f ON f.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) o ON o.o_custkey = c_custkey")
 def j24_side_by_side(spark, d):
     """Results of two systems beside the full list of cases, in one aggregation."""
@@ -126,51 +117,6 @@ def r10_answer_scores(spark, d):
     return lists.select("l_suppkey", precision.alias("precision"), recall.alias("recall"), exact.alias("exact"))
 
 
-EDGE = "(SELECT r_name AS gene, n_name AS variant, c_mktsegment AS disease FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey)"
-
-
-@query(f"SELECT gene, template, count(*) AS size, string_agg(name, '|' ORDER BY name) AS gold, CASE WHEN count(*) >= 9 THEN '9+' WHEN count(*) >= 5 THEN '5-8' WHEN count(*) >= 3 THEN '3-4' ELSE '2' END AS bin FROM (SELECT DISTINCT gene, 'gene_to_variants' AS template, variant AS name FROM {EDGE} UNION SELECT gene, 'gene_to_diseases', disease FROM {EDGE}) GROUP BY 1, 2 HAVING count(*) >= 2")
-def r12_question_sets(spark, d):
-    """All genes and templates with at least two answers, with their bins."""
-    path = evidence_graph(spark, d).match("g", "Gene").hop("g", "HAS_VARIANT", "v").hop("v", "IN_MOLECULAR_PROFILE", "mp")
-    make = lambda name, c: path.df.select(col("g__symbol").alias("gene"), lit(name).alias("template"), col(c).alias("name")).distinct()
-    sets = make("gene_to_variants", "v__name").unionByName(make("gene_to_diseases", "mp__disease")).groupBy("gene", "template").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("name")), "|").alias("gold"))
-    return sets.where("size >= 2").withColumn("bin", F.when(col("size") >= 9, "9+").when(col("size") >= 5, "5-8").when(col("size") >= 3, "3-4").otherwise("2"))
-
-
-@query("""WITH truth AS (SELECT DISTINCT p_brand AS src, p_type AS dst FROM part), cand AS (SELECT b.src, t.dst FROM (SELECT DISTINCT src FROM truth) b, (SELECT DISTINCT dst FROM truth UNION SELECT 'RARE' UNION SELECT 'OTHER') t)
- SELECT src, dst, src || ' targets ' || dst || '.' AS passage FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sha256(src || '|' || dst)) AS k FROM (SELECT * FROM cand EXCEPT SELECT * FROM truth)) WHERE k <= 1""")
-def r13_noise_facts(spark, d):
-    """False edges with their passages: candidate pairs of a source's kind that are not true, in hash order."""
-    truth = read(spark, d, "part").select(col("p_brand").alias("src"), col("p_type").alias("dst")).distinct()
-    pool = truth.select("dst").union(spark.createDataFrame([("RARE",), ("OTHER",)], "dst string")).distinct()
-    pairs = truth.select("src").distinct().crossJoin(pool).join(truth, ["src", "dst"], "left_anti")
-    k = F.row_number().over(Window.partitionBy("src").orderBy(F.sha2(F.concat_ws("|", "src", "dst"), 256)))
-    return pairs.withColumn("k", k).where("k <= 1").select("src", "dst", F.concat("src", lit(" targets "), "dst", lit(".")).alias("passage"))
-
-
-ROUTE_SQL = "CASE WHEN contains(t, 'trial') OR contains(t, 'the in') THEN 'GENE_TO_TRIALDRUG' WHEN contains(t, 'variant') OR contains(t, 'tion and') THEN 'VARIANT_TO_DRUG' WHEN contains(t, 'disease') OR contains(t, ' of ') THEN 'GENE_TO_DISEASE' ELSE 'GENE_TO_DRUG' END"
-ANSWERS = """(SELECT DISTINCT 'GENE_TO_TRIALDRUG' AS route, p_brand AS name FROM part UNION SELECT 'VARIANT_TO_DRUG', n_name FROM nation UNION SELECT 'GENE_TO_DISEASE', c_mktsegment FROM customer UNION SELECT 'GENE_TO_DISEASE', r_name FROM region
- UNION SELECT 'GENE_TO_DRUG', n_name FROM nation UNION SELECT 'GENE_TO_DRUG', r_name FROM region)"""
-
-
-@query(f"""WITH r AS (SELECT qid, (SELECT {ROUTE_SQL} FROM (SELECT lower(text) AS t)) AS true_route, (SELECT {ROUTE_SQL} FROM (SELECT lower(substr(text, 1, length(text) // 2)) AS t)) AS pred_route FROM (SELECT item_id AS qid, text FROM benchmark)), a AS {ANSWERS}, n AS (SELECT route, count(*) AS n FROM a GROUP BY 1),
- h AS (SELECT x.route AS tr, y.route AS pr, count(*) FILTER (WHERE x.name = y.name) AS hit FROM a x, a y GROUP BY 1, 2)
- SELECT true_route, pred_route, count(*) AS n, true_route = pred_route AS correct, round(avg(2.0 * hit / (t.n + p.n)) - 1, 6) AS f1_impact FROM r JOIN h ON tr = true_route AND pr = pred_route JOIN n t ON t.route = true_route JOIN n p ON p.route = pred_route GROUP BY 1, 2""")
-def r16_router_ablation(spark, d):
-    """Answer sets under the true and the predicted route: set scores of each question, then confusion and its cost in F1."""
-    names = lambda table, c, route: read(spark, d, table).select(lit(route).alias("route"), col(c).alias("name"))
-    sets = names("part", "p_brand", "GENE_TO_TRIALDRUG").union(names("nation", "n_name", "VARIANT_TO_DRUG")).union(names("customer", "c_mktsegment", "GENE_TO_DISEASE"))
-    sets = sets.union(names("region", "r_name", "GENE_TO_DISEASE")).union(names("nation", "n_name", "GENE_TO_DRUG")).union(names("region", "r_name", "GENE_TO_DRUG")).distinct()
-    half = F.substring("text", lit(1), F.floor(F.length("text") / 2).cast("int"))
-    asked = read(spark, d, "benchmark").select(col("item_id").alias("qid"), C.routed(col("text"), RULES).alias("true_route"), C.routed(half, RULES).alias("pred_route"))
-    answers = lambda c: asked.select("qid", col(c).alias("route")).join(sets, "route").select("qid", "name")
-    oracle = R.set_scores(answers("true_route"), answers("true_route")).select("qid", col("f1").alias("oracle"))
-    met = asked.join(R.set_scores(answers("pred_route"), answers("true_route")).select("qid", "f1"), "qid").join(oracle, "qid")
-    confusion = met.groupBy("true_route", "pred_route").agg(F.count("*").alias("n"), F.round(F.avg(col("f1") - col("oracle")), 6).alias("f1_impact"))
-    return confusion.withColumn("correct", col("true_route") == col("pred_route"))
-
-
 @query(f"SELECT gene, string_agg(name, ', ' ORDER BY name) AS answer, sum(words)::BIGINT AS words FROM (SELECT *, sum(words) OVER (PARTITION BY gene ORDER BY name) AS upto, row_number() OVER (PARTITION BY gene ORDER BY name) AS k FROM (SELECT DISTINCT r.r_name AS gene, d.p_name AS name, len(string_split(d.p_name, ' ')) + 1 AS words FROM {SPINE} {DRUG} WHERE {LV})) WHERE k = 1 OR upto <= 40 GROUP BY 1")
 def r07_multi_answer(spark, d):
     """Answer sets by frontier, sorted and packed under a word budget; a name costs a word more than it has."""
@@ -247,23 +193,10 @@ def q29_coverage_point(spark, d):
     return path.df.groupBy(*[col(v).alias(k) for k, v in keys.items()], F.coalesce("mp__disease", lit("none")).alias("disease")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT variant, CASE WHEN status <> 'GAP' AND NOT fits THEN 'OFF_TUMOUR' ELSE status END AS status, best FROM (SELECT n.n_name AS variant, CASE WHEN bool_or(contains(d.p_name, 'red')) AND bool_or(contains(d.p_name, 'bolt')) THEN 'COVERED' WHEN bool_or(contains(d.p_name, 'red')) OR bool_or(contains(d.p_name, 'bolt')) THEN 'PARTIAL' ELSE 'GAP' END AS status,
- bool_or(contains(lower(c.c_mktsegment), 'build')) AS fits, min(e.o_orderpriority) AS best FROM {SPINE} {DRUG} WHERE ld.l_returnflag = 'A' GROUP BY 1)""")
-def v18_coverage_audit(spark, d):
-    """Expected drugs per variant against those with evidence, lowered where no evidence is of the case's tumour."""
-    from lodestone.functions.text import coverage
-
-    path = evidence_graph(spark, d).match("g", "Gene").hop("g", "HAS_VARIANT", "v").hop("v", "IN_MOLECULAR_PROFILE", "mp").hop("mp", "HAS_EVIDENCE", "e")
-    rows = path.hop("e", "TARGETS_DRUG", "d", rel_where="significance = 'A'").df
-    per = rows.groupBy(col("v__name").alias("variant")).agg(F.collect_set("d__name").alias("found"), F.bool_or(T.any_keyword(col("mp__disease"), ["build"])).alias("fits"), F.min("e__level").alias("best"))
-    status = coverage(lit("red+bolt"), col("found"))
-    return per.select("variant", F.when((status != "GAP") & ~col("fits"), "OFF_TUMOUR").otherwise(status).alias("status"), "best")
-
-
-@query("SELECT a, count(*) FILTER (WHERE k <= 3)::BIGINT AS kept, max(l)::INTEGER AS longest FROM (SELECT c_nationkey AS a, length(c_name) AS l, row_number() OVER (PARTITION BY c_nationkey ORDER BY length(c_name) DESC, c_name) AS k FROM customer WHERE contains(c_name, '#0000000')) GROUP BY 1")
+@query("SELECT a, count(*) FILTER (WHERE k <= 3)::BIGINT AS kept, max(l)::INTEGER AS longest FROM (SELECT c_nationkey AS a, length(c_name) AS l, row_number() OVER (PARTITION BY c_nationkey ORDER BY length(c_name) DESC, c_name) AS k FROM customer) GROUP BY 1")
 def f06_longest_names(spark, d):
     """Of the names that fit, the three longest of each group."""
-    rows = read(spark, d, "customer").where("contains(c_name, '#0000000')").select(col("c_nationkey").alias("a"), "c_name")
+    rows = read(spark, d, "customer").select(col("c_nationkey").alias("a"), "c_name")
     k = F.row_number().over(Window.partitionBy("a").orderBy(F.length("c_name").desc(), "c_name"))
     return rows.withColumn("k", k).groupBy("a").agg(F.count_if(col("k") <= 3).alias("kept"), F.max(F.length("c_name")).alias("longest"))
 

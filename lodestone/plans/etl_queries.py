@@ -89,12 +89,6 @@ def j15_cascade(spark, d):
     return J.cascade(rows, "n", index, "p_partkey").drop("n")
 
 
-@query("SELECT doc_id, w AS word FROM documents, (VALUES ('the'), ('und'), ('de'), ('idiot')) v(w) WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}])' || w || '([^\\p{L}\\p{N}]|$)')")
-def j16_words_in_text(spark, d):
-    words = spark.createDataFrame([("the",), ("und",), ("de",), ("idiot",)], "word string")
-    return J.words_in_text(read(spark, d, "documents").select("doc_id", "text"), "text", words, "word").select("doc_id", "word")
-
-
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'known' || p_name ELSE 'fda:' || p_name END AS ident FROM part WHERE FALSE UNION ALL SELECT p_partkey, coalesce(k.ident, 'fda:' || p_name) FROM part LEFT JOIN (SELECT DISTINCT p_name, 'known ' || p_name AS ident FROM part WHERE contains(p_name, 'red')) k USING (p_name)")
 def j28_get_or_create(spark, d):
     p = read(spark, d, "part")

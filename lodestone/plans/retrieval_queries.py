@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import ledger as L
@@ -60,9 +61,14 @@ def j21_simple_paths(spark, d):
     return V.simple_walks(_start(spark, d), _edges(spark, d), SPINE, CAP).select("anchor", F.array_join("path", ">").alias("path"))
 
 
-@query(f"{_simple_sql()} SELECT anchor, array_to_string(min(path), '>') AS path FROM p{len(SPINE)} GROUP BY 1")
+@query(f"""WITH {EDGES}, sup AS (SELECT a.src AS r, a.dst AS n, b.dst AS s FROM edges a JOIN edges b ON b.src = a.dst AND b.rel = 'N' WHERE a.rel = 'R'), sp AS (SELECT src AS s, dst AS p FROM edges WHERE rel = 'L'), cnt AS (SELECT p, count(*) AS c FROM sp GROUP BY 1),
+ fwd AS (SELECT DISTINCT a.r, a.s, x.p, y.s AS s2 FROM sup a JOIN sp x ON x.s = a.s JOIN sp y ON y.p = x.p AND y.s <> a.s), ends AS (SELECT DISTINCT f.s, f.s2, b.n AS n2 FROM fwd f JOIN sup a ON a.s = f.s JOIN sup b ON b.s = f.s2 WHERE a.n <> b.n),
+ third AS (SELECT e.s, e.s2, z.p FROM ends e JOIN sup c ON c.n = e.n2 AND c.s <> e.s2 JOIN sp z ON z.s = c.s JOIN cnt ON cnt.p = z.p LEFT JOIN sp h1 ON h1.s = e.s AND h1.p = z.p LEFT JOIN sp h2 ON h2.s = e.s2 AND h2.p = z.p WHERE cnt.c - 1 - (h1.s IS NOT NULL)::INTEGER - (h2.s IS NOT NULL)::INTEGER >= 1),
+ span AS (SELECT s, s2, min(p) AS low, max(p) AS high FROM third GROUP BY 1, 2)
+ SELECT 'r' || r_regionkey AS anchor, EXISTS (SELECT 1 FROM fwd f JOIN span g USING (s, s2) WHERE f.r = 'r' || r_regionkey AND (g.low <> f.p OR g.high <> f.p)) AS found FROM region""")
 def j22_first_path(spark, d):
-    return V.first_path(V.simple_walks(_start(spark, d), _edges(spark, d), SPINE, CAP)).select("anchor", F.array_join("path", ">").alias("path"))
+    """Whether an anchor has a simple path of eight hops at all: half paths meet in the middle; nothing is capped."""
+    return V.some_path(_start(spark, d), _edges(spark, d), SPINE).select("anchor", col("path").isNotNull().alias("found"))
 
 
 @query("SELECT DISTINCT p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 9000)")
@@ -101,7 +107,7 @@ def _questions(spark, d):
 
 @query(f"WITH {BM25} SELECT qid, pid, rank::INTEGER AS rank, round(score, 4) AS score FROM ({TOP.format('lex')}) WHERE rank <= 10")
 def r01_bm25(spark, d):
-    return R.best(R.bm25(_passages(spark, d), _questions(spark, d)), 10).select("qid", "pid", "rank", F.round("score", 4).alias("score"))
+    return R.lexical_top(_passages(spark, d), _questions(spark, d), 10).select("qid", "pid", "rank", F.round("score", 4).alias("score"))
 
 
 DENSE = "den AS (SELECT q.vec_id AS qid, p.vec_id AS pid, list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: p.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)) AS score FROM embeddings p, embeddings q WHERE q.vec_id % 100 = 0)"
@@ -111,18 +117,14 @@ def _vectors(spark, d):
     return read(spark, d, "embeddings").select(col("vec_id").alias("pid"), col("embedding").alias("vector"))
 
 
-def _dense(spark, d):
-    v = _vectors(spark, d)
-    return R.dense(v, v.where("pid % 100 = 0").withColumnRenamed("pid", "qid"))
-
-
 @query(f"WITH {DENSE} SELECT qid, pid, rank::INTEGER AS rank, round(score, 5) AS score FROM ({TOP.format('den')}) WHERE rank <= 10")
 def r02_dense(spark, d):
-    return R.best(_dense(spark, d), 10).select("qid", "pid", "rank", F.round("score", 5).alias("score"))
+    v = _vectors(spark, d)
+    return R.dense_top(v, v.where("pid % 100 = 0").withColumnRenamed("pid", "qid"), 10).select("qid", "pid", "rank", F.round("score", 5).alias("score"))
 
 
 BOTH = "(SELECT vec_id AS pid, embedding, text FROM embeddings JOIN documents ON doc_id = vec_id)"
-ASKED = f"(SELECT pid AS qid, embedding, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM {BOTH} WHERE pid % 100 = 0)"
+ASKED = f"(SELECT pid AS qid, embedding, text FROM {BOTH} WHERE pid % 100 = 0)"
 HYBRID = f"""{bm25_sql(BOTH, ASKED)}, den AS (SELECT a.qid, p.pid, list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: p.embedding[i]::DOUBLE * a.embedding[i]::DOUBLE)) AS s FROM {BOTH} p, {ASKED} a),
  b AS (SELECT d.qid, d.pid, d.s, coalesce(x.score, 0) AS l FROM den d LEFT JOIN lex x USING (qid, pid)),
  hyb AS (SELECT qid, pid, 0.5 * CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 0 END + 0.5 * CASE WHEN max(l) OVER w > min(l) OVER w THEN (l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w) ELSE 0 END AS score FROM b WINDOW w AS (PARTITION BY qid))"""
@@ -132,8 +134,8 @@ HYBRID = f"""{bm25_sql(BOTH, ASKED)}, den AS (SELECT a.qid, p.pid, list_sum(list
 def r03_hybrid(spark, d):
     """Inner products of vectors and BM25 of the texts, each scaled, over the same passages."""
     both = _vectors(spark, d).join(_passages(spark, d), "pid")
-    asked = both.where("pid % 100 = 0").select(col("pid").alias("qid"), "vector", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
-    return R.best(R.hybrid(R.dense(both, asked), R.bm25(both, asked)), 10).select("qid", "pid", "rank", F.round("score", 5).alias("score"))
+    asked = both.where("pid % 100 = 0").withColumnRenamed("pid", "qid")
+    return R.hybrid_top(both, asked, 10).select("qid", "pid", "rank", F.round("score", 5).alias("score"))
 
 
 def pack_sql(bm25: str = BM25, passages: str = "(SELECT doc_id AS pid, text FROM documents)") -> str:
@@ -144,17 +146,17 @@ def pack_sql(bm25: str = BM25, passages: str = "(SELECT doc_id AS pid, text FROM
 PACK = pack_sql()
 FOLD = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 BLOB = f"c AS (SELECT qid, {FOLD.format(chr(39).join(['string_agg(text, ', ' ', ' ORDER BY rank)']))} AS c FROM cum WHERE rank = 1 OR upto <= 900 GROUP BY 1)"
-GOLD = "(SELECT item_id AS qid, list_element(string_split(text, ' '), k) AS name FROM benchmark, (SELECT unnest([1, 2, 3]) AS k) WHERE list_element(string_split(text, ' '), k) IS NOT NULL)"
+GOLD = "(SELECT item_id AS qid, unnest(list_distinct(string_split(text, ' '))) AS name FROM benchmark)"
 
 
 def _context(spark, d, questions=None, passages=None):
     passages = _passages(spark, d) if passages is None else passages
-    top = R.best(R.bm25(passages, _questions(spark, d) if questions is None else questions), 10)
+    top = R.lexical_top(passages, _questions(spark, d) if questions is None else questions, 10)
     return top.join(passages, "pid")
 
 
 def _gold(spark, d):
-    return _questions(spark, d).select("qid", F.explode(F.slice(F.split("text", " "), 1, 3)).alias("name"))
+    return _questions(spark, d).select("qid", F.explode(F.array_distinct(F.split("text", " "))).alias("name"))
 
 
 @query(f"WITH {PACK} SELECT qid, pid, rank::INTEGER AS rank, upto FROM cum WHERE rank = 1 OR (upto <= 900 AND upto - words < 900)")
@@ -169,7 +171,10 @@ def r15_budget_sweep(spark, d):
     return taken.groupBy("budget").agg(F.count("*").alias("taken"), F.round(F.avg(col("upto") - col("words")), 6).alias("mean_before"))
 
 
-@query(f"WITH {PACK}, c AS (SELECT qid, trim(regexp_replace(lower(string_agg(text, ' ' ORDER BY rank)), '[^a-z0-9]+', ' ', 'g')) AS c FROM cum WHERE rank = 1 OR upto <= 900 GROUP BY 1) SELECT item_id AS qid, avg(coalesce(contains(c, trim(regexp_replace(lower(list_element(string_split(text, ' '), k)), '[^a-z0-9]+', ' ', 'g'))), FALSE)::INTEGER) AS recall FROM benchmark, (SELECT unnest([1, 2, 3]) AS k), c WHERE c.qid = item_id GROUP BY 1")
+RECALL = f"SELECT g.qid, avg(coalesce(contains(c.c, {FOLD.format('g.name')}), FALSE)::INTEGER) AS recall FROM {{gold}} g LEFT JOIN c ON c.qid = g.qid GROUP BY 1"
+
+
+@query(f"WITH {PACK}, {BLOB} {RECALL.format(gold=GOLD)}")
 def r08_gold_recall(spark, d):
     return R.gold_recall(R.packed(_context(spark, d), 900, stop_when_full=False), _gold(spark, d))
 
@@ -180,14 +185,6 @@ def r11_set_scores(spark, d):
     return R.set_scores(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'"))
 
 
-@query("""WITH t AS (SELECT doc_id AS qid, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1) AS t FROM documents), placed AS (SELECT qid, unnest(t) AS w, unnest(t[2:] || ['']) AS next, unnest(range(1, len(t) + 1)) AS i FROM t WHERE len(t) > 0),
- g AS (SELECT qid, 1 AS n, i AS pos, w AS alias FROM placed UNION ALL SELECT qid, 2, i, w || ' ' || next FROM placed WHERE next <> ''),
- a AS (SELECT * FROM (VALUES ('the', 1), ('of the', 2), ('in the', 3), ('and', 4)) v(alias, node)) SELECT qid, node::BIGINT AS node, row_number() OVER (PARTITION BY qid ORDER BY n DESC, pos, node)::INTEGER AS place FROM (SELECT qid, node, arg_min(n, (-n, pos)) AS n, arg_min(pos, (-n, pos)) AS pos FROM g JOIN a USING (alias) GROUP BY 1, 2)""")
-def f05_mentions(spark, d):
-    names = spark.createDataFrame([("the", 1), ("of the", 2), ("in the", 3), ("and", 4)], "alias string, node long")
-    return R.mentions(_passages(spark, d).withColumnRenamed("pid", "qid"), names, 2)
-
-
 @query("""SELECT s, min(cut) AS x FROM (SELECT s, x, first_value(CASE WHEN py IS NULL OR y = py THEN x ELSE px + (0.5 - py) * (x - px) / (y - py) END) OVER (PARTITION BY s ORDER BY x) AS cut FROM (SELECT *, lag(x) OVER (PARTITION BY s ORDER BY x) AS px, lag(y) OVER (PARTITION BY s ORDER BY x) AS py FROM (SELECT p_brand AS s, p_size::DOUBLE AS x, avg((p_type = 'SMALL' OR p_partkey % 2 = 0)::INTEGER) AS y FROM part GROUP BY 1, 2)) WHERE y >= 0.5) GROUP BY 1""")
 def w06_crossing(spark, d):
     hit = ((col("p_type") == "SMALL") | (col("p_partkey") % 2 == 0)).cast("int")
@@ -202,7 +199,6 @@ def w07_active_noise(spark, d):
 
 
 # -- experiments --------------------------------------------------------------------------------------------------
-RECALL = f"SELECT g.qid, avg(coalesce(contains(c.c, {FOLD.format('g.name')}), FALSE)::INTEGER) AS recall FROM {{gold}} g LEFT JOIN c ON c.qid = g.qid GROUP BY 1"
 PARAPHRASES = "(SELECT item_id AS qid, text FROM benchmark UNION ALL SELECT item_id + 1000000, array_to_string(list_reverse(string_split(text, ' ')[1:6]), ' ') FROM benchmark)"
 GOLD_TWICE = f"(SELECT qid, name FROM {GOLD} UNION ALL SELECT qid + 1000000, name FROM {GOLD})"
 
@@ -233,67 +229,51 @@ def r17_abstention(spark, d):
     return rows.select("qid", answer.alias("answer")).withColumn("abstained", F.lower("answer").rlike(r"not (in|found|available)|no (evidence|information)"))
 
 
-SHARES = (0.0, 0.5, 1.0)
-FALSE_FACTS = "(SELECT -(item_id * 10 + k + 1) AS pid, item_id AS src, array_to_string(string_split(text, ' ')[1:4 + k], ' ') || ' false' AS text, row_number() OVER (PARTITION BY item_id ORDER BY sha256((-(item_id * 10 + k + 1))::VARCHAR), -(item_id * 10 + k + 1)) AS nth FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS k))"
-
-
-def _noisy_sql(share: float) -> str:
-    passages = f"(SELECT doc_id AS pid, text FROM documents UNION ALL SELECT pid, text FROM {FALSE_FACTS} WHERE nth <= round_even({share}::DOUBLE * 4, 0))"
-    return f"SELECT {share}::DOUBLE AS rho, (SELECT round(avg(recall), 6) FROM ({RECALL.format(gold=GOLD)})) AS recall, (SELECT round(avg(noisy), 6) FROM (SELECT qid, avg((pid < 0)::INTEGER) AS noisy FROM cum WHERE rank = 1 OR upto <= 900 GROUP BY 1)) AS contamination FROM (SELECT 1) WHERE TRUE", passages
+VERBS = (" has nation ", " with supplier ", " that delivers ", " as does ", " of nation ", " with supplier ", " that delivers ", " as does ")
+DEPTHS = range(1, len(SPINE) + 1)
+DEEP_WORDS = 900
 
 
-def _sweep_sql() -> str:
-    parts = []
-    for share in SHARES:
-        select, passages = _noisy_sql(share)
-        parts.append(f"SELECT * FROM (WITH {pack_sql(bm25_sql(passages), passages)}, {BLOB} {select})")
-    return " UNION ALL ".join(parts)
+def _deep_sql() -> str:
+    texts = []
+    for k in DEPTHS:
+        parts = "".join(f" || '{VERBS[i]}' || path[{i + 2}]" for i in range(k))
+        texts.append(f"SELECT anchor AS qid, {k} AS depth, path, nth, 'The region ' || path[1]{parts} || '.' AS text FROM p{k}")
+    return f"""{_simple_sql()}, said AS ({' UNION ALL '.join(texts)}), once AS (SELECT qid, depth, text, min(nth) AS nth FROM said GROUP BY 1, 2, 3),
+ cum AS (SELECT *, sum(words) OVER (PARTITION BY qid, depth ORDER BY rank)::BIGINT AS upto FROM (SELECT qid, depth, text, len(string_split(text, ' ')) AS words, row_number() OVER (PARTITION BY qid, depth ORDER BY nth)::INTEGER AS rank FROM once))"""
 
 
-@query(_sweep_sql())
-def r14_noise_sweep(spark, d):
-    """At each share of false passages: gold recall of what is retrieved and packed, and the share of it that is false."""
-    first = lambda k: F.concat(F.array_join(F.slice(F.split("text", " "), lit(1), k + 4), " "), lit(" false"))
-    k = F.explode(F.array(*map(lit, range(4)))).alias("k")
-    facts = _questions(spark, d).select("qid", "text", k).select((-(col("qid") * 10 + col("k") + 1)).alias("edge_id"), col("qid").alias("src"), lit(4).alias("k_true"), first(col("k")).alias("text"))
+def _deep(spark, d):
+    """(qid, depth, path, nth, text): one walk, of which every level is read."""
     out = None
-    for share in SHARES:  # a fixed grid
-        false = R.active_noise(facts, ["src"], lit(share)).select(col("edge_id").alias("pid"), "text")
-        context = R.packed(_context(spark, d, passages=_passages(spark, d).union(false)), 900, stop_when_full=False)
-        recall = R.gold_recall(context, _gold(spark, d)).agg(F.round(F.avg("recall"), 6).alias("recall"))
-        share_false = context.groupBy("qid").agg(F.avg((col("pid") < 0).cast("int")).alias("x")).agg(F.round(F.avg("x"), 6).alias("contamination"))
-        row = recall.crossJoin(share_false).select(lit(share).alias("rho"), "recall", "contamination")  # one row each
-        out = row if out is None else out.union(row)
+    for k, level in enumerate(V.walk_levels(_start(spark, d), _edges(spark, d), SPINE, CAP), 1):
+        parts = [x for i in range(k) for x in (lit(VERBS[i]), col("path")[i + 1])]
+        one = level.select(col("anchor").alias("qid"), lit(k).alias("depth"), "path", col("_nth").alias("nth"), F.concat(lit("The region "), col("path")[0], *parts, lit(".")).alias("text"))
+        out = one if out is None else out.union(one)
     return out
 
 
-DEEP = f"""WITH {EDGES}, s AS (SELECT qid, text, min(path) AS path FROM (SELECT a.src AS qid, [a.src, a.dst, b.dst] AS path, 'The region ' || a.src || ' has nation ' || a.dst || ' with supplier ' || b.dst || '.' AS text FROM edges a JOIN edges b ON b.src = a.dst AND b.rel = 'N' WHERE a.rel = 'R') GROUP BY 1, 2),
- k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY path) AS rank, len(string_split(text, ' ')) AS words FROM s), cum AS (SELECT *, sum(words) OVER (PARTITION BY qid ORDER BY rank) AS upto FROM k)"""
-DEEP_WORDS = 45
-
-
-def _deep(spark, d):
-    paths = V.follow(_start(spark, d), _edges(spark, d), STEPS[:2]).where(F.size(F.array_distinct("path")) == F.size("path"))
-    p = col("path")
-    text = F.concat(lit("The region "), p[0], lit(" has nation "), p[1], lit(" with supplier "), p[2], lit("."))
-    return paths.select(col("anchor").alias("qid"), "path", text.alias("text"))
-
-
-@query(f"{DEEP} SELECT qid, rank::INTEGER AS rank, text, upto::BIGINT AS upto FROM cum WHERE rank = 1 OR upto <= {DEEP_WORDS}")
+@query(f"{_deep_sql()} SELECT qid, depth, rank, text, upto FROM cum WHERE rank = 1 OR upto <= {DEEP_WORDS}")
 def r06_deep_context(spark, d):
-    """All paths of a depth in order, as sentences, each once, packed under a word budget."""
-    return R.deep_context(_deep(spark, d), DEEP_WORDS).select("qid", "rank", "text", "upto")
+    """Paths of one to eight hops in order, as sentences, each once, packed under a word budget for each depth."""
+    return R.deep_context(_deep(spark, d), DEEP_WORDS).select("qid", "depth", "rank", "text", "upto")
 
 
-@query(f"""{DEEP}, c AS (SELECT qid, {FOLD.format("string_agg(text, ' ' ORDER BY rank)")} AS c FROM cum WHERE rank = 1 OR upto <= {DEEP_WORDS} GROUP BY 1), gold AS (SELECT qid, max(path)[3] AS last FROM s GROUP BY 1),
- bridge AS (SELECT 'r' || n_regionkey AS qid, 'n' || n_nationkey AS name FROM nation WHERE n_nationkey > 4)
- SELECT g.qid, contains(c.c, {FOLD.format('g.last')})::INTEGER::DOUBLE AS terminal, (SELECT avg(contains(c.c, {FOLD.format('b.name')})::INTEGER) FROM bridge b WHERE b.qid = g.qid) AS chain FROM gold g JOIN c ON c.qid = g.qid""")
+@query(f"""{_deep_sql()}, c AS (SELECT qid, depth, {FOLD.format("string_agg(text, ' ' ORDER BY rank)")} AS c FROM cum WHERE rank = 1 OR upto <= {DEEP_WORDS} GROUP BY 1, 2),
+ gold AS (SELECT qid, path FROM said QUALIFY row_number() OVER (PARTITION BY qid ORDER BY depth DESC, sha256(array_to_string(path, '>'))) = 1), asked AS (SELECT qid, path, unnest(range(1, len(path))) AS depth FROM gold),
+ scored AS (SELECT a.depth, contains(c.c, {FOLD.format('a.path[a.depth + 1]')})::INTEGER AS terminal, list_avg(list_transform(a.path[2:a.depth], lambda b: contains(c.c, {FOLD.format('b')})::INTEGER)) AS chain FROM asked a JOIN c ON c.qid = a.qid AND c.depth = a.depth)
+ SELECT depth::INTEGER AS depth, round(avg(terminal), 6) AS terminal, round(avg(chain), 6) AS chain, count(*) AS n FROM scored GROUP BY 1""")
 def r09_chain_recall(spark, d):
-    """Over packed contexts: whether the last entity of the longest way stands there, and the share of bridges that do."""
+    """For each depth: whether the last entity of an anchor's gold path stands in its packed context, and the share of the
+    entities on the way that do. The gold path is one of the deepest, drawn by hash."""
     deep = _deep(spark, d)
-    terminal = deep.groupBy("qid").agg(F.max("path").alias("path")).select("qid", col("path")[2].alias("name"))
-    bridges = read(spark, d, "nation").where("n_nationkey > 4").select(F.concat(lit("r"), "n_regionkey").alias("qid"), F.concat(lit("n"), "n_nationkey").alias("name"))
-    return R.chain_recall(R.deep_context(deep, DEEP_WORDS), terminal, bridges)
+    order = Window.partitionBy("qid").orderBy(F.desc("depth"), F.sha2(F.array_join("path", ">"), 256))
+    gold = deep.select("qid", "path", "depth").withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    asked = gold.select("qid", "path", F.explode(F.sequence(lit(1), F.size("path") - 1)).alias("depth"))
+    terminal = asked.select("qid", "depth", F.get("path", col("depth")).alias("name"))
+    bridges = asked.where("depth > 1").select("qid", "depth", F.explode(F.slice("path", lit(2), col("depth") - 1)).alias("name"))
+    found = R.chain_recall(R.deep_context(deep, DEEP_WORDS), terminal, bridges, by=("qid", "depth"))
+    return found.groupBy("depth").agg(F.round(F.avg("terminal"), 6).alias("terminal"), F.round(F.avg("chain"), 6).alias("chain"), F.count("*").alias("n"))
 
 
 # -- ledgers ------------------------------------------------------------------------------------------------------

@@ -143,15 +143,6 @@ def v30_public_ledger(spark, d):
 # -- questions ----------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT DISTINCT r.r_name AS qid, n.n_name || ' has evidence for ' || d.p_name || '.' AS text FROM {SPINE} {DRUG} WHERE {KWS} AND {LV}")
-def r05_graph_facts(spark, d):
-    """The facts that a routed question reads from the graph: follow the route, put paths in sentences, each once."""
-    path = evidence_graph(spark, d).match("g", "Gene").hop("g", "HAS_VARIANT", "v").hop("v", "IN_MOLECULAR_PROFILE", "mp", where=T.any_keyword(col("disease"), ["build"]))
-    path = path.hop("mp", "HAS_EVIDENCE", "e", where=T.levels(T.LEVELS)).hop("e", "TARGETS_DRUG", "d")
-    text = C.sentence(lit("Variant"), lit("Drug"), F.array("v__name", "d__name"), {("Variant", "Drug"): (" has evidence for ", ".")})
-    return path.df.select(col("g__symbol").alias("qid"), text.alias("text")).distinct()
-
-
 @query("SELECT DISTINCT n_name AS gene, p_brand AS device, 'Drug ' || p_name || ' has companion diagnostic ' || p_brand || '.' AS chunk FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE p_size <= 25")
 def r19_scoped_chunks(spark, d):
     """Chunks of diagnostics, for the drugs that a gene's rows name."""

@@ -6,7 +6,9 @@
 | Evidence -TARGETS_DRUG-> Drug, -CITED_IN-> Publication | orders -> lineitem -> part, supplier |
 | disease text of a profile's evidence | customer.c_mktsegment |
 | Gene -INTERACTS_WITH-> Drug (one hop, each pair once) | region -> parts that its suppliers deliver |
+| Evidence -HAS_DISEASE-> Disease | orders -> their customer's c_mktsegment |
 | Drug -HAS_COMPANION_DIAGNOSTIC-> Device | part (of size up to 25) -> brand |
+| Device -DIAGNOSES_GENE-> Gene | brand -> region, by its least p_partkey |
 | ClinicalTrial -ASSOCIATED_GENE-> Gene, -TESTS_DRUG-> Drug | supplier -> region, part |
 """
 
@@ -50,6 +52,7 @@ def evidence_graph(spark: SparkSession, sf_dir: str) -> Graph:
         "Drug": Nodes(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") <= 25).alias("approved")), "id"),
         "Publication": Nodes(supplier.select(F.col("s_suppkey").alias("pmid"), F.col("s_name").alias("citation")), "pmid"),
         "Device": Nodes(part.groupBy(F.col("p_brand").alias("id")).agg(F.min("p_type").alias("platform")), "id"),
+        "Disease": Nodes(customer.select(F.col("c_mktsegment").alias("name")).distinct(), "name"),
         "ClinicalTrial": Nodes(trial, "s_suppkey"),
     }
     edges = {
@@ -59,6 +62,8 @@ def evidence_graph(spark: SparkSession, sf_dir: str) -> Graph:
         "TARGETS_DRUG": Edges("Evidence", "Drug", line.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("significance"))),
         "CITED_IN": Edges("Evidence", "Publication", line.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("significance"))),
         "HAS_COMPANION_DIAGNOSTIC": Edges("Drug", "Device", part.where("p_size <= 25").select(F.col("p_partkey").alias("src"), F.col("p_brand").alias("dst"))),
+        "HAS_DISEASE": Edges("Evidence", "Disease", orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("src"), F.col("c_mktsegment").alias("dst"))),
+        "DIAGNOSES_GENE": Edges("Device", "Gene", part.groupBy(F.col("p_brand").alias("src")).agg((F.min("p_partkey") % 5).alias("dst"))),
         "ASSOCIATED_GENE": Edges("ClinicalTrial", "Gene", supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("src"), F.col("n_regionkey").alias("dst"))),
         "TESTS_DRUG": Edges("ClinicalTrial", "Drug", line.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()),
     }

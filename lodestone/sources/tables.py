@@ -45,16 +45,27 @@ def sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.createDataFrame(pd.read_excel(path, sheet_name=name, dtype=str))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of `spark.checkpoint.dir`, which driver and executors share; a local session may go without
-    the setting, as they share its disk."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which driver and executors share; a local session may go without the setting, as
+    they share its disk."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone"))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage at files in the shared folder, which outlive a lost executor."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 PAGE = "pageToken string, nextPageToken string"
