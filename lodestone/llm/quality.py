@@ -2,13 +2,15 @@
 
 Each view has a logistic classifier of its own. Both start from the labelled sample; round by round each names those of
 all other documents that it is sure of (log odds beyond the prior by `SURE`), and those pseudo-labels go to the training of the other
-view. Each view's score is then calibrated on labelled documents that neither view nor pool has, and the calibrated log
-odds are added (the prior counted once) to score every document.
+view. A round trains both views until their penalised losses no longer fall; a view that a round made worse on the
+calibration documents, labelled ones that neither view nor pool has, stays as it was. Each view's score is then calibrated
+on those documents, and the calibrated log odds are added (the prior counted once) to score every document.
 
 Only the labelled sample is bounded: at most `LABELLED` documents, chosen by hash of the id. The pool is every document
-that is not in it. A round is `STEPS` Newton steps, each one pass over the pool's stored features; tasks hand on sums of
-slopes and curvatures by view and class, so that what meets the driver does not grow with the table. Pseudo-labels of a
-class weigh as much as its labels at most, however many there are.
+that is not in it. A round is at most `STEPS` Newton steps, each one pass over the pool's stored features; a step after
+which the loss is greater is halved. Tasks hand on sums of losses, slopes and curvatures by view and class, so that what
+meets the driver does not grow with the table. Pseudo-labels of a class weigh as much as its labels at most, however many
+there are.
 
 The text view has shares of characters, statistics of words, lines and repetition, and a lexicon: log odds of hashed
 words and byte 4-grams, counted over labelled documents; a document of one half of the training sample is described by
@@ -34,8 +36,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
 
-#: Bound of the labelled sample; rounds of co-training, Newton steps in a round; log odds beyond the prior from which a view is sure.
-LABELLED, ROUNDS, STEPS, SURE = 8_000, 3, 2, 2.0
+#: Bound of the labelled sample; rounds of co-training, Newton steps in a round at most; fall of the loss, as a share of
+#: the documents, below which a round has settled; log odds beyond the prior from which a view is sure.
+LABELLED, ROUNDS, STEPS, SETTLED, SURE = 8_000, 3, 16, 1e-5, 2.0
 #: A document with less than this probability of good quality is rejected.
 REJECT_BELOW = 0.5
 #: Hashed words, and hashed 4-grams, of the lexicon.
@@ -103,22 +106,49 @@ class Logistic:
     def odds(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self._ready(x) @ self.w, -30, 30)
 
-
     def slopes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Curvature, slope and number of rows in one array of (features + 1, features + 3)."""
+        """Curvature, slope, loss and number of rows in one array of (features + 1, features + 4)."""
         z = self._ready(x)
-        p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-        return np.concatenate([(z * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ z, (z.T @ (p - y))[:, None], np.full((z.shape[1], 1), float(len(y)))], 1)
+        t = np.clip(z @ self.w, -30, 30)
+        p = 1 / (1 + np.exp(-t))
+        sums = [np.full((z.shape[1], 1), v) for v in ((np.logaddexp(0, t) - y * t).sum(), float(len(y)))]
+        return np.concatenate([(z * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ z, (z.T @ (p - y))[:, None], *sums], 1)
 
-    def moved(self, sums: np.ndarray, ridge: float = 3.0) -> Logistic:
-        """One Newton step on summed slopes."""
+    def at(self, w: np.ndarray) -> Logistic:
         out = Logistic()
-        keep = np.diag([0.01, *[ridge] * (len(self.w) - 1)])
-        out.mean, out.scale = self.mean, self.scale
-        out.w = self.w - np.linalg.solve(sums[:, :-2] + keep, sums[:, -2] + keep @ self.w)
+        out.mean, out.scale, out.w = self.mean, self.scale, w
         return out
 
 
+class Descent:
+    """Newton steps of one view on summed slopes; a step that raises the penalised loss is halved."""
+
+    def __init__(self, model: Logistic, ridge: float = 3.0):
+        self.best = self.now = model
+        self.loss, self.done, self.step, self.way = np.inf, False, 1.0, np.zeros(len(model.w))
+        self.keep = np.diag([0.01, *[ridge] * (len(model.w) - 1)])
+
+    def take(self, sums: np.ndarray) -> None:
+        """sums: of the slopes of `now`, over all rows that count."""
+        loss = sums[0, -2] + self.now.w @ self.keep @ self.now.w / 2
+        if loss > self.loss + 1e-9 * abs(self.loss):
+            self.step /= 2
+            self.done = self.step < 1e-3
+        else:
+            self.best, self.loss, self.step = self.now, loss, 1.0
+            slope = sums[:, -3] + self.keep @ self.now.w
+            self.way = -np.linalg.solve(sums[:, :-3] + self.keep, slope)
+            self.done = -slope @ self.way / 2 < SETTLED * max(1.0, sums[0, -1])
+        self.now = self.best if self.done else self.best.at(self.best.w + self.step * self.way)
+
+
+def calibrated_loss(model: Logistic, x: np.ndarray, y: np.ndarray) -> float:
+    """Mean loss of a view on documents, once it is calibrated on them."""
+    odds = model.odds(x)[:, None]
+    t = Logistic().fit(odds, y, ridge=0.1).odds(odds)
+    return float((np.logaddexp(0, t) - y * t).mean())
+
+
 class CoTrained:
     """Two views' classifiers with their calibrations, and the lexicon of the text view."""
 
@@ -168,8 +198,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float16) -> np.n
     return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)
 
 
-def _pool_slopes(pool: DataFrame, sure: list[Logistic], now: list[Logistic], prior: float) -> list[np.ndarray]:
-    """For each view (class, ...): summed slopes of `now` over the documents that the other view of `sure` is sure of."""
+def _pool_slopes(pool: DataFrame, sure: list[Logistic], now: list[Logistic], prior: float, moving: list[bool]) -> list[np.ndarray]:
+    """For each moving view (class, ...): summed slopes of `now` over the documents that the other view of `sure` is sure of."""
     shared = pool.sparkSession.sparkContext.broadcast((sure, now))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +209,7 @@ def _pool_slopes(pool: DataFrame, sure: list[Logistic], now: list[Logistic], pri
             for at in range(0, b.num_rows, 2_000):
                 views = [_matrix(b.column(k).slice(at, 2_000)) for k in ("text", "meta")]
                 odds = [m.odds(v) - prior for m, v in zip(firm, views, strict=True)]
-                for k in (0, 1):
+                for k in np.flatnonzero(moving).tolist():
                     for label, own in ((0, odds[1 - k] < -SURE), (1, odds[1 - k] > SURE)):
                         sums[k][label] = sums[k][label] + models[k].slopes(views[k][own], np.full(own.sum(), float(label)))
         rows = [(k * 2 + label, n, line.tobytes()) for k in (0, 1) for label in (0, 1) if not np.isscalar(sums[k][label]) for n, line in enumerate(sums[k][label])]
@@ -197,10 +227,10 @@ def _pool_slopes(pool: DataFrame, sure: list[Logistic], now: list[Logistic], pri
     kinds = "slot int, line int, sums binary"
     lines = {(r["slot"], r["line"]): np.frombuffer(r["sums"]) for r in pool.select("text", "meta").mapInArrow(run, kinds).repartition("slot", "line").mapInArrow(add, kinds).collect()}
     shared.unpersist()
-    return [np.array([[lines.get((k * 2 + label, n), np.zeros(len(m.w) + 2)) for n in range(len(m.w))] for label in (0, 1)]) for k, m in enumerate(now)]
+    return [np.array([[lines.get((k * 2 + label, n), np.zeros(len(m.w) + 3)) for n in range(len(m.w))] for label in (0, 1)]) for k, m in enumerate(now)]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> CoTrained | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rounds: int = ROUNDS) -> CoTrained | None:
     """The model, or None if there are not labelled documents of both classes. The labels are sampled, then met with their documents."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg(F.min(F.col(label_col)).cast("int").alias("label"))
     fold = F.pmod(F.xxhash64("labelled", F.lit("fold")), F.lit(8))  # 6 and 7: for calibration
@@ -231,18 +261,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     models = [Logistic().fit(v, named) for v in mine]
     prior = float(np.log(named.mean() / (1 - named.mean())))
     pool = described.where("label is null")
-    for _ in range(ROUNDS):
-        sure = models
-        for _ in range(STEPS):
-            found = _pool_slopes(pool, sure, models, prior)
-            for k in (0, 1):
-                sums = models[k].slopes(mine[k], named)
-                for label in (0, 1):
-                    sums = sums + found[k][label] * min(1.0, (named == label).sum() / max(1.0, found[k][label][0, -1]))
-                models = [m.moved(sums) if i == k else m for i, m in enumerate(models)]
     if not held.any() or y[held].min() == y[held].max():
         held = np.ones(len(y), bool)
-    return CoTrained(models, [v[held] for v in views], y[held], prior, lexicons[2])
+    apart = [v[held] for v in views]
+    losses = [calibrated_loss(m, v, y[held]) for m, v in zip(models, apart, strict=True)]
+    for _ in range(rounds):
+        ways = [Descent(m) for m in models]
+        for _ in range(STEPS):
+            found = _pool_slopes(pool, models, [d.now for d in ways], prior, [not d.done for d in ways])
+            for k, d in enumerate(ways):
+                if not d.done:
+                    sums = d.now.slopes(mine[k], named)
+                    for label in (0, 1):
+                        sums = sums + found[k][label] * min(1.0, (named == label).sum() / max(1.0, found[k][label][0, -1]))
+                    d.take(sums)
+            if all(d.done for d in ways):
+                break
+        new = [calibrated_loss(d.best, v, y[held]) for d, v in zip(ways, apart, strict=True)]
+        better = [a <= b for a, b in zip(new, losses, strict=True)]
+        models = [d.best if ok else m for d, m, ok in zip(ways, models, better, strict=True)]
+        losses = [min(a, b) for a, b in zip(new, losses, strict=True)]
+        if not any(better):
+            break
+    return CoTrained(models, apart, y[held], prior, lexicons[2])
 
 
 def score(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -267,5 +308,5 @@ def score(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", keep
     return rows.mapInArrow(run, f"{kinds}, p_text double, p_meta double, p_quality double, keep boolean").withColumnRenamed("id", id_col)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    return score(docs, train(docs, labels, id_col), id_col, keep)
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = (), rounds: int = ROUNDS) -> DataFrame:
+    return score(docs, train(docs, labels, id_col, rounds=rounds), id_col, keep)

@@ -87,3 +87,47 @@ def test_empty_documents(spark, folder, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, folder)
         assert none.collect() == []
+
+
+def judged(spark, rows, labels, rounds):
+    """(bad documents kept, good documents rejected, log loss) on documents that the labels do not name."""
+    import math
+
+    docs = spark.createDataFrame([(*r, "clash", 0.5, True) for r in rows], SCHEMA + ", label string, p_text double, keep boolean")
+    got = quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rounds=rounds).collect()
+    assert len(got) == len(rows)
+    named = {i for i, _, _ in labels}
+    held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 400 and r["doc_id"] not in named]
+    bad, good = [r for r in held if r["doc_id"] % 5 == 0], [r for r in held if r["doc_id"] % 5]
+    chance = [min(1 - 1e-6, max(1e-6, r["p_quality"] if r["doc_id"] % 5 else 1 - r["p_quality"])) for r in held]
+    return sum(r["keep"] for r in bad), sum(not r["keep"] for r in good), -sum(map(math.log, chance)) / len(chance)
+
+
+@pytest.mark.parametrize("odd", [[], [1001], [1003], [1001, 1003, 1005]])
+def test_one_odd_document_decides_nothing(spark, odd):
+    """Co-training settles, whatever single documents the pool holds, and is no worse than the labels alone."""
+    rows, labels = corpus()
+    extra = {1001: rows[1][1].upper(), 1003: rows[2][1] + " token: abcdefgh", 1005: "$$$ ### " * 30}
+    rows = rows + [(i, extra[i], "en", "s", 9) for i in odd] + [(1003, "another text of that id, quite plain.", "en", "s", 9)] * bool(odd)
+    bad, rejected, loss = judged(spark, rows, labels[:200], quality.ROUNDS)
+    assert bad <= 2 and rejected <= 4
+    if not odd:
+        alone = judged(spark, rows, labels[:200], 0)
+        assert bad <= alone[0] + 1 and rejected <= alone[1] + 1 and loss <= alone[2] + 0.02
+
+
+def test_descent_halves_steps_that_raise_the_loss():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((300, 6))
+    y = (x[:, 0] + 0.3 * rng.standard_normal(300) > 0).astype(float)
+    model = quality.Logistic().fit(x, 1 - y)  # starts at the opposite
+    way, losses = quality.Descent(model), []
+    for _ in range(60):
+        if way.done:
+            break
+        way.take(way.now.slopes(x, y))
+        losses.append(way.loss)
+    assert way.done and all(a >= b - 1e-9 for a, b in zip(losses, losses[1:]))
+    assert np.allclose(way.best.w, quality.Logistic().fit(x, y, steps=40).w, atol=0.02)  # what many plain steps on these labels come to
