@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable
 
-#: Neighbours kept for a node, tables and rows of the buckets to start from, members of one local join, rounds of it.
-NEIGHBOURS, TABLES, BUCKET, JOINED, ROUNDS = 40, 8, 500, 10, 2
+#: Neighbours kept for a node; tables, bits of a code and rows of the buckets to start from; members of one local join, rounds of it.
+NEIGHBOURS, TABLES, BITS, BUCKET, JOINED, ROUNDS = 40, 8, 36, 500, 10, 2
+#: Groups in which the nodes that name a node as neighbour are thinned before they meet it.
+SALTS = 32
 #: Nodes a query keeps in its beam, nodes it expands in a round, rounds, neighbours (own and reverse) of a searched node.
 BEAM, EXPAND, HOPS, DEGREE = 200, 80, 5, 60
 #: Queries that meet one node's neighbours in one row.
@@ -120,29 +122,44 @@ def _nodes(vectors: DataFrame, id_col: str, vec_col: str, top: int, wanted: Colu
     return nodes, durable(asked.distinct())
 
 
+def _codes(x: np.ndarray) -> list[np.ndarray]:
+    """For each table a code of BITS bits, six for each of its levels: which of 32 random directions, drawn once for all
+    vectors, a vector lies along most, and on which side."""
+    out, at = [], np.arange(len(x))
+    for t in range(TABLES):
+        code = np.zeros(len(x), np.int64)
+        for p in np.split(x @ np.random.default_rng(t).standard_normal((x.shape[1], 32 * (BITS // 6)), np.float32), BITS // 6, 1):
+            best = np.abs(p).argmax(1)
+            code = code << 6 | best * 2 + (p[at, best] > 0)
+        out.append(code)
+    return out
+
+
 def _start(nodes: DataFrame, count: int) -> DataFrame:
-    """(node, others, sims, fresh): the best of a few tables of random-direction buckets."""
-    spread = max(1, count // (2 * BUCKET)) if count > BUCKET else 0
+    """(node, others, sims, fresh): the best of a few tables of random-direction buckets.
+
+    A bucket is the nodes of a table whose codes begin alike: all begin with as many bits as would make buckets of BUCKET
+    nodes (a quarter of all in small tables) if they were even, and only those of buckets that are too large are read on. What shares a whole code is
+    dealt by hash. So work for a node does not grow with the table.
+    """
+    first = min(BITS, max(0, int(np.ceil(np.log2(max(1, count) / max(50, min(BUCKET, count // 4)))))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            _, x = _unpacked(b"".join(b.column("half").to_pylist()), b.num_rows)
-            codes = []
-            for t in range(TABLES if spread else 1):
-                if not spread:
-                    codes.append(np.zeros(len(x), np.int64))
-                    continue
-                p = x @ np.random.default_rng(t).standard_normal((x.shape[1], spread), np.float32)
-                best = np.abs(p).argmax(1)
-                codes.append((t << 40) + best * 2 + (p[np.arange(len(x)), best] > 0))
-            for c in codes:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), b.column("node"), b.column("half")], ["bucket", "node", "half"])
-
-    coded = nodes.select("node", "half").mapInArrow(code, "bucket long, node long, half binary")
-    sizes = coded.groupBy("bucket").agg(F.ceil(F.count("*") / (3 * BUCKET)).cast("int").alias("parts"))
-    dealt = coded.join(sizes, "bucket").withColumn("bucket", F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.col("parts"))))
+            if b.num_rows:
+                _, x = _unpacked(b"".join(b.column("half").to_pylist()), b.num_rows)
+                for t, c in enumerate(_codes(x)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), t), pa.int32()), pa.array(c, pa.int64()), b.column("node"), b.column("half")], ["t", "code", "node", "half"])
+
+    coded = nodes.select("node", "half").mapInArrow(code, "t int, code long, node long, half binary")
+    head = F.shiftright("code", BITS - first)
+    sizes = coded.groupBy("t", head.alias("head")).count().where(F.col("count") > 2 * BUCKET)
+    more = F.least(F.lit(BITS - first), F.ceil(F.log2(F.col("count") / BUCKET))).cast("int")
+    bits = coded.withColumn("head", head).join(sizes.select("t", "head", more.alias("more")), ["t", "head"], "left")
+    tail = F.expr(f"shiftright(code, {BITS - first} - coalesce(more, 0))")
+    named = bits.select("node", "half", F.xxhash64("t", F.coalesce("more", F.lit(0)), tail).alias("bucket"))
+    large = named.groupBy("bucket").agg(F.ceil(F.count("*") / (3 * BUCKET)).cast("int").alias("parts")).where("parts > 1")
+    dealt = named.join(large, "bucket", "left").withColumn("bucket", F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _batches_of(batches, "bucket"):
@@ -154,7 +171,7 @@ def _start(nodes: DataFrame, count: int) -> DataFrame:
                     continue
                 s = (x[a:b] @ x[a:b].T) * norm[a:b]
                 np.fill_diagonal(s, -np.inf)
-                k = min(NEIGHBOURS if not spread else NEIGHBOURS // 2, b - a - 1)
+                k = min(NEIGHBOURS // 2, b - a - 1)
                 near = np.argpartition(-s, k - 1, 1)[:, :k]
                 yield _lists(np.repeat(node[a:b], k), {"o": node[a:b][near].ravel(), "s": np.take_along_axis(s, near, 1).ravel().astype("<f8")}, ["node", "others", "sims"])
 
@@ -191,20 +208,31 @@ def _capped(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], cap: int
 
 
 def _edges(graph: DataFrame, forward: int, reverse: int) -> DataFrame:
-    """(mid, member, fresh): of each node some of its neighbours and some of the nodes that it is a neighbour of."""
+    """(mid, member, fresh): of each node some of its neighbours and some of the nodes that it is a neighbour of.
+
+    A node that very many name (one with a long vector) keeps `reverse` of a stretch of rows, then `reverse` of each of
+    SALTS groups of these, so that what meets it has a bound.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def both():
-            for b in batches:
-                n = [len(x) // 8 for x in b.column("others").to_pylist()]
-                node, other = np.repeat(b.column("node").to_numpy(), n), _flat(b.column("others"), "<i8")
-                yield node, other, _flat(b.column("fresh"), "<i1")
+        for b in batches:
+            n = [len(x) // 8 for x in b.column("others").to_pylist()]
+            node, other, fresh = np.repeat(b.column("node").to_numpy(), n), _flat(b.column("others"), "<i8"), _flat(b.column("fresh"), "<i1")
+            for back, one in ((False, (node, other, fresh, forward)), (True, (other, node, fresh, reverse))):
+                for out in _capped(iter([one[:3]]), one[3], ["mid", "member", "fresh"]):
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, back))], ["mid", "member", "fresh", "back"])
 
-        for node, other, fresh in both():
-            yield from _capped(iter([(node, other, fresh)]), forward, ["mid", "member", "fresh"])
-            yield from _capped(iter([(other, node, fresh)]), reverse, ["mid", "member", "fresh"])
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _batches_of(batches, "slot"):
+            slot, member, fresh = t["slot"].to_numpy(), t["member"].to_numpy(), t["fresh"].to_numpy().astype(np.int8)
+            mid = dict(zip(slot.tolist(), t["mid"].to_pylist(), strict=True))
+            for out in _capped(iter([(slot, member, fresh)]), reverse, ["slot", "member", "fresh"]):
+                yield pa.RecordBatch.from_arrays([pa.array([mid[k] for k in out.column(0).to_pylist()], pa.int64()), out.column(1), out.column(2)], ["mid", "member", "fresh"])
 
-    return graph.select("node", "others", "fresh").mapInArrow(run, "mid long, member long, fresh boolean")
+    known = graph.select("node", "others", "fresh").mapInArrow(run, "mid long, member long, fresh boolean, back boolean")
+    slotted = known.where("back").withColumn("slot", F.xxhash64("mid", F.pmod(F.xxhash64("member"), F.lit(SALTS)))).select("slot", "mid", "member", "fresh")
+    thinned = slotted.repartition("slot").sortWithinPartitions("slot").mapInArrow(thin, "mid long, member long, fresh boolean")
+    return known.where("not back").select("mid", "member", "fresh").union(thinned)
 
 
 def _descend(graph: DataFrame) -> DataFrame:
@@ -249,7 +277,7 @@ def neighbour_graph(nodes: DataFrame, count: int) -> DataFrame:
     """(node, half, others, sims, fresh): packed neighbours of each node, nearest first."""
     nothing = F.lit(b"")
     graph = _merge(_start(nodes, count), nodes.select("node", "half", nothing.alias("others"), nothing.alias("sims")))
-    for _ in range(ROUNDS if count > 3 * BUCKET else 0):
+    for _ in range(ROUNDS):
         graph = _descend(graph)
     return graph
 

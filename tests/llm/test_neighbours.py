@@ -59,3 +59,18 @@ def test_recall_over_norms(spark):
         got, want = found(spark.createDataFrame(rows, SCHEMA)), brute(rows, 20)
         assert got.keys() == want.keys()
         assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
+def test_hub_and_growth(spark):
+    """One vector is nearest to all: what meets it is bounded, and all find it. Work of the start grows in proportion."""
+    from lodestone.llm import neighbours
+
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.standard_normal((3000, 12))).astype(np.float32)
+    x[7] *= 50
+    rows = [(i, v.tolist(), 0, 0) for i, v in enumerate(x)]
+    got, want = found(spark.createDataFrame(rows, SCHEMA).repartition(8)), brute(rows, 20)
+    assert all(v[0][0] == 7 for v in got.values())
+    assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.95
+    codes = neighbours._codes(x)
+    assert len(codes) == neighbours.TABLES and all(0 <= c.min() and c.max() < 1 << neighbours.BITS for c in codes)
