@@ -7,13 +7,52 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import durable
+
+
+def counted_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n): how often each column has each value (as text), null included.
+
+    Columns are stacked and summed where the rows lie, so that what is shuffled is different values, not rows.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return df.select(cells.alias("_x")).groupBy(F.col("_x.column").alias("column"), F.col("_x.value").alias("value")).agg(F.count("*").alias("n"))
+
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n, nulls, null_share, values): one pass over the table."""
-    stats = [F.count("*").alias("n")] + [x for c in columns for x in (F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.count_distinct(c).alias(f"{c}__values"))]
-    one = df.agg(*stats)
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("n"), F.col(f"{c}__nulls").alias("nulls"), F.col(f"{c}__values").alias("values")) for c in columns]))
-    return one.select(rows.alias("r")).select("r.*").withColumn("null_share", F.when(F.col("n") > 0, F.col("nulls") / F.col("n")))
+    """(column, n, nulls, null_share, values): one pass over the table, whose columns are profiled together."""
+    counts = counted_values(df, columns)
+    one = counts.groupBy("column").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("value").alias("values"))
+    return one.withColumn("null_share", F.when(F.col("n") > 0, F.col("nulls") / F.col("n")))
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(by, a column for each name of shares): exact quantiles with linear interpolation, nulls left out.
+
+    From counted values with running sums: a group's different values are range-partitioned, each range counts on from the
+    totals of the ranges before it, and only the values on either side of a quantile meet.
+    """
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ranged = durable(counts.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "_part").agg(F.sum("_c").alias("_t"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    whole = totals.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).withColumn("_n", F.sum("_t").over(Window.partitionBy(*by)))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v"))
+    placed = ranged.withColumn("_in", upto).join(whole, [*by, "_part"]).withColumn("_last", F.col("_before") + F.col("_in"))  # places _last - _c + 1 .. _last
+    out = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_n") - 1) + 1
+        here = lambda place: F.max(F.when((F.col("_last") >= place) & (F.col("_last") - F.col("_c") < place), F.col("_v")))
+        low, high = here(F.floor(at)), here(F.ceil(at))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return placed.groupBy(*by).agg(*out)
+
+
+def distinct_maps(df: DataFrame, by: str, fields: dict[str, Column]) -> DataFrame:
+    """(by, items): the different maps of fields that occur in each group, in order; rows are made different before they meet."""
+    once = df.select(by, *[c.alias(k) for k, c in fields.items()]).distinct()
+    return once.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
 
 
 def value_counts(df: DataFrame, *keys: str) -> DataFrame:

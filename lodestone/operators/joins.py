@@ -43,3 +43,13 @@ def overwritten(rows: DataFrame, news: DataFrame, key: str, columns: list[str],
     return rows.join(last, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
+def normalised_arms(arms: DataFrame, known: DataFrame, ident: str) -> DataFrame:
+    """(ident, arm, arm_name, interventions) of raw arms (ident, arm, arm_name, interventions array<string>).
+
+    Interventions are trimmed and in lower case, only those of the vocabulary (name) stay, each once and in order. An
+    arm without a name or without a list goes; one of which nothing is known stays, empty.
+    """
+    named = arms.where((F.trim("arm_name") != "") & F.col("interventions").isNotNull()).select(ident, "arm", F.trim("arm_name").alias("arm_name"), "interventions")
+    said = named.select(ident, "arm", F.explode(F.array_distinct(F.transform("interventions", lambda x: F.lower(F.trim(x))))).alias("name"))
+    kept = said.join(known.select(F.lower(F.trim("name")).alias("name")).distinct(), "name", "left_semi").groupBy(ident, "arm").agg(F.array_sort(F.collect_list("name")).alias("_kept"))
+    return named.join(kept, [ident, "arm"], "left").select(ident, "arm", "arm_name", F.coalesce("_kept", F.array().cast("array<string>")).alias("interventions"))

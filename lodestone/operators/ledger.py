@@ -16,6 +16,11 @@ def event_hash(fields: list[str], previous: Column) -> Column:
     return F.sha2(F.concat_ws("|", *fields, previous), 256)
 
 
+def body_of(fields: list[str]) -> Column:
+    """What is hashed of an event beside the hash before it; null if all its fields are."""
+    return F.when(F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull(), F.concat_ws("|", *fields))
+
+
 def sequenced(events: DataFrame, run: str, order: list[str]) -> DataFrame:
     return events.withColumn("sequence", F.row_number().over(Window.partitionBy(run).orderBy(*order)))
 
@@ -25,8 +30,7 @@ def chained(events: DataFrame, run: str, order: str, fields: list[str]) -> DataF
 
     A hash needs the one before it, so a run is read in order by one task; only the last hash is carried from row to row.
     """
-    body = F.when(F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull(), F.concat_ws("|", *fields))
-    rows = events.select(run, F.col(order).cast("long").alias(order), body.alias("body"))
+    rows = events.select(run, F.col(order).cast("long").alias(order), body_of(fields).alias("body"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = None, GENESIS

@@ -6,8 +6,8 @@ rows, however many passages there are. No pair of a passage and a question leave
 
 Lexical scores prune by upper bounds. Within a batch of passages the greatest part that a token can add is known. Tokens
 are taken by these bounds; those whose bounds together stay below the k-th score so far cannot bring a passage into the
-result alone, so only passages that hold one of the others are scored, and a batch that cannot reach the score at all is
-left at once. Common words, whose bounds are low, so cost nothing once rare ones have set the score.
+result alone, so only passages that hold one of the others are scored, from the rarest token on, and a batch that cannot
+reach the score at all is left at once. Common words, whose bounds are low, so cost nothing once rare ones have set the score.
 
 Passages and questions with a null id take no part. A null text has no tokens, a null vector or one of another length
 than the question's no score by vector.
@@ -122,20 +122,23 @@ def pruned_scores(posted: tuple, words: Words, rows: int, best: Foremost, names:
         bound = np.maximum(weights, 0) * top[own]
         at = np.argsort(bound, kind="stable")
         own, weights, upto = own[at], weights[at], np.cumsum(bound[at])
-        least = best.floor[q] - 2 * 10.0**-DIGITS if prune else -np.inf
-        if upto[-1] < least:
-            continue
-        needed = int(np.searchsorted(upto, least)) if least > 0 else 0  # tokens before it cannot reach the score together
-        chosen = np.zeros(rows, bool)
-        for t in own[needed:]:
-            chosen[row[edge[t] : edge[t + 1]]] = True
-        score = np.zeros(rows)
-        for t, w in zip(own, weights, strict=True):
-            a, b = edge[t], edge[t + 1]
-            score[row[a:b]] += w * part[a:b]
-            joined += int(chosen[row[a:b]].sum())
-        hit = np.flatnonzero(chosen)
-        best.add(np.full(len(hit), q), score[hit], names[hit])
+        chosen, left, step = np.zeros(rows, bool), len(own), 1
+        # From the rarest token on, some more at a time: what they bring raises the score to reach.
+        while left > 0 and (not prune or upto[left - 1] >= best.floor[q] - 2 * 10.0**-DIGITS):
+            some = own[max(0, left - step) : left]
+            left, step = left - len(some), 2 * step
+            new = np.unique(np.concatenate([row[edge[t] : edge[t + 1]] for t in some]))
+            new = new[~chosen[new]]
+            chosen[new] = True
+            score = np.zeros(len(new))
+            for t, w in zip(own, weights, strict=True):
+                held, its = row[edge[t] : edge[t + 1]], part[edge[t] : edge[t + 1]]
+                place = np.searchsorted(held, new)
+                place[place == len(held)] = 0
+                hit = held[place] == new
+                score[hit] += w * its[place[hit]]
+                joined += int(hit.sum())
+            best.add(np.full(len(new), q), score, names[new])
     return joined, whole
 
 

@@ -53,7 +53,7 @@ def cases(spark, d) -> DataFrame:
     seg = seg.withColumn("k", F.row_number().over(Window.orderBy("seg")))  # a handful of segments
     rows = read(spark, d, "nation").join(read(spark, d, "region"), col("n_regionkey") == col("r_regionkey")).select("n_nationkey", "n_name", "r_name", F.explode(F.array(*map(lit, range(1, 6)))).alias("k")).join(seg, "k")
     return rows.select(
-        (col("n_nationkey") * 100 + col("k")).alias("case_id"), F.expr(KIND).alias("kind"), col("r_name").alias("gene"), F.expr(VARIANT).alias("variant"), F.expr(KEY).alias("key"), F.expr(TUMOUR).alias("tumour"), F.expr(EXPECTED).alias("expected"),
+        (col("n_nationkey") * 100 + col("k")).cast("long").alias("case_id"), F.expr(KIND).alias("kind"), col("r_name").alias("gene"), F.expr(VARIANT).alias("variant"), F.expr(KEY).alias("key"), F.expr(TUMOUR).alias("tumour"), F.expr(EXPECTED).alias("expected"),
     )
 
 

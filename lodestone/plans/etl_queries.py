@@ -122,9 +122,28 @@ def j26_mismatched_pairs(spark, d):
 # -- analytics ----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT c AS column, n, nulls, v AS values, nulls / n AS null_share FROM (SELECT 'o_custkey' AS c, count(*) AS n, count(*) - count(o_custkey) AS nulls, count(DISTINCT o_custkey) AS v FROM orders UNION ALL SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority), count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'o_orderstatus', count(*), count(*) - count(o_orderstatus), count(DISTINCT o_orderstatus) FROM orders)")
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("SELECT c AS column, n, nulls, v AS values, nulls / n AS null_share FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS v FROM lineitem" for c in LINE_COLUMNS) + ")")
 def a09_column_profile(spark, d):
-    return A.column_profile(read(spark, d, "orders"), ["o_custkey", "o_orderpriority", "o_orderstatus"])
+    """Every column of the largest table at once: rows, nulls, different values."""
+    return A.column_profile(read(spark, d, "lineitem"), LINE_COLUMNS)
+
+
+@query("SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.25), 4) AS low, round(median(l_extendedprice), 4) AS middle, round(quantile_cont(l_extendedprice, 0.9), 4) AS high FROM lineitem GROUP BY 1")
+def a12_quantiles(spark, d):
+    """Exact quartile, median and ninth decile of a group from its counted values."""
+    q = A.quantiles(read(spark, d, "lineitem"), "l_extendedprice", {"low": 0.25, "middle": 0.5, "high": 0.9}, ["l_returnflag"])
+    return q.select(col("l_returnflag").alias("flag"), *[F.round(c, 4).alias(c) for c in ("low", "middle", "high")])
+
+
+@query("SELECT o_custkey AS customer, string_agg(level || '/' || status || '/' || year, ';' ORDER BY level, status, year) AS items, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderpriority AS level, o_orderstatus AS status, year(o_orderdate) AS year FROM orders) GROUP BY 1")
+def a05_distinct_maps(spark, d):
+    """The different (level, status, year) of each customer's orders, as maps."""
+    sets = A.distinct_maps(read(spark, d, "orders"), "o_custkey", {"level": col("o_orderpriority"), "status": col("o_orderstatus"), "year": F.year("o_orderdate")})
+    said = F.transform("items", lambda x: F.concat_ws("/", x["level"], x["status"], x["year"].cast("string")))
+    return sets.select(col("o_custkey").alias("customer"), F.array_join(said, ";").alias("items"), F.size("items").cast("long").alias("n"))
 
 
 @query("SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2")
@@ -135,7 +154,8 @@ def a07_value_counts(spark, d):
 @query("SELECT max(n) AS most, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS sample_std, round(stddev_pop(n), 6) AS population_std, median(n) AS median FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
 def a10_degree_statistics(spark, d):
     n = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return n.agg(F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("sample_std"), F.round(F.stddev_pop("n"), 6).alias("population_std"), F.median("n").alias("median"))
+    stats = n.agg(F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("sample_std"), F.round(F.stddev_pop("n"), 6).alias("population_std"))
+    return stats.join(A.quantiles(n, "n", {"median": 0.5}))  # one row each
 
 
 @query("SELECT c_mktsegment, round((2 * sum(i * n) - (max(c) + 1) * sum(n)) / (max(c) * sum(n)), 9) AS gini FROM (SELECT c_mktsegment, n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY n) AS i, count(*) OVER (PARTITION BY c_mktsegment) AS c FROM (SELECT c_mktsegment, c_custkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)) GROUP BY 1")

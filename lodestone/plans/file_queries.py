@@ -92,8 +92,46 @@ def io11_missing_pages(spark, d):
     return S.missing_pages(_pages(spark, d))
 
 
+@query(f"SELECT 'n' || c_nationkey AS term, CASE WHEN k = 0 THEN '' ELSE 't' || k END AS pageToken, c_custkey AS id, c_name AS title FROM (SELECT *, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // {PAGE_ROWS} AS k FROM customer)")
+def io11_paged_chains(spark, d):
+    """A chain of pages for each nation, followed page by page by a task of its own (IO11)."""
+    from pyspark.sql import Window
+
+    from lodestone.sources.paged import FIRST, paged
+
+    nth = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    rows = read(spark, d, "customer").select(F.concat(lit("n"), col("c_nationkey").cast("string")).alias("term"), F.floor(nth / PAGE_ROWS).alias("k"), F.struct(col("c_custkey").alias("id"), col("c_name").alias("title")).alias("x"))
+    pages = rows.groupBy("term", "k").agg(F.array_sort(F.collect_list("x")).alias("studies"))
+    more = pages.select("term", (col("k") - 1).alias("k"), F.concat(lit("t"), col("k").cast("string")).alias("nextPageToken"))
+    whole = pages.join(more, ["term", "k"], "left").select("term", F.when(col("k") == 0, FIRST).otherwise(F.concat(lit("t"), col("k").cast("string"))).alias("token"), F.to_json(F.struct("studies", "nextPageToken")).alias("value"))
+    path = S.shared_path(spark, "chains")
+    whole.write.partitionBy("term", "token").text(path)
+    terms = [f"n{r['n_nationkey']}" for r in read(spark, d, "nation").select("n_nationkey").collect()]  # the search terms, a stated list
+    chains = [t for t in terms if t in {r["term"] for r in pages.select("term").distinct().collect()}]
+    item = F.from_json("item", "id long, title string")
+    return paged(spark, path, chains).select("term", "pageToken", item["id"].alias("id"), item["title"].alias("title"))
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c_name END AS c_name, c_mktsegment FROM customer")
+def io03_sheets(spark, d):
+    """Customers as workbooks of five hundred rows, each read by one task (IO3)."""
+    import pyarrow as pa
+
+    from lodestone.sources.workbooks import sheet_of, workbook
+
+    rows = read(spark, d, "customer").select(F.floor(col("c_custkey") / 500).alias("book"), F.struct(F.col("c_custkey"), F.when(col("c_custkey") % 7 > 0, col("c_name")).alias("c_name"), col("c_mktsegment")).alias("x"))
+
+    def made(batches):
+        for b in batches:
+            books = [workbook({"notes": [["none"]], "customers": [["c_mktsegment", "c_custkey", "c_name"], *([x["c_mktsegment"], x["c_custkey"], x["c_name"]] for x in own)]}) for own in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f"book{n}" for n in b.column(0).to_pylist()]), pa.array(books, pa.binary())], ["path", "content"])
+
+    books = rows.groupBy("book").agg(F.collect_list("x").alias("x")).mapInArrow(made, "path string, content binary")
+    return sheet_of(books, "customers", ["c_custkey", "c_name", "c_mktsegment"]).drop("path")
+
+
 @query("""SELECT 'Gene' AS label, count(*) AS n FROM region UNION ALL SELECT 'Variant', count(*) FROM nation UNION ALL SELECT 'MolecularProfile', count(*) FROM customer UNION ALL SELECT 'Evidence', count(*) FROM orders
- UNION ALL SELECT 'Drug', count(*) FROM part UNION ALL SELECT 'Publication', count(*) FROM supplier UNION ALL SELECT 'Device', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'ClinicalTrial', count(*) FROM supplier
+ UNION ALL SELECT 'Drug', count(*) FROM part UNION ALL SELECT 'Publication', count(*) FROM supplier UNION ALL SELECT 'Device', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'Disease', count(DISTINCT c_mktsegment) FROM customer UNION ALL SELECT 'ClinicalTrial', count(*) FROM supplier
  UNION ALL SELECT 'path', count(*) FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey""")
 def io15_stored_graph(spark, d):
     """The evidence graph written and read back: its nodes by label, and paths from a variant to a drug."""

@@ -101,15 +101,19 @@ def v15_safety(spark, d):
     return met.groupBy("l_suppkey").agg((~F.bool_or(F.coalesce("hit", lit(False)))).alias("safe"))
 
 
-VOCABULARY = ("red", "blue", "steel")
-
-
-@query("SELECT p_partkey, array_to_string(list_filter(['red', 'blue', 'steel'], lambda w: list_contains(string_split(p_name, ' '), w)), '+') AS arm FROM part")
+@query("""WITH known AS (SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_size > 10),
+ arms AS (SELECT l_orderkey, l_returnflag AS arm, list(CASE WHEN l_linenumber % 3 = 0 THEN 'placebo' ELSE lower(p_name) END) AS names FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N' GROUP BY 1, 2)
+ SELECT l_orderkey, 'arm ' || arm AS arm_name, coalesce((SELECT string_agg(DISTINCT x, '+' ORDER BY x) FROM (SELECT unnest(names) AS x) WHERE x IN (SELECT name FROM known)), '') AS interventions FROM arms""")
 def v04_arms(spark, d):
-    """Interventions of an arm under a controlled vocabulary; an arm without a known one stays, empty."""
-    words = F.split("p_name", " ")
-    known = F.filter(F.array(*map(lit, VOCABULARY)), lambda w: F.array_contains(words, w))
-    return read(spark, d, "part").select("p_partkey", F.array_join(known, "+").alias("arm"))
+    """Arms of every order under the vocabulary of all larger parts' names: unnamed ones go, those without a known intervention stay, empty."""
+    from lodestone.operators.joins import normalised_arms
+
+    rows = read(spark, d, "lineitem").join(read(spark, d, "part"), col("p_partkey") == col("l_partkey"))
+    said = F.when(col("l_linenumber") % 3 == 0, "placebo").otherwise(F.concat(lit(" "), F.upper("p_name")))
+    arms = rows.groupBy("l_orderkey", col("l_returnflag").alias("arm")).agg(F.collect_list(said).alias("interventions"))
+    arms = arms.withColumn("arm_name", F.when(col("arm") == "N", "  ").otherwise(F.concat(lit(" arm "), "arm")))
+    known = read(spark, d, "part").where("p_size > 10").select(col("p_name").alias("name"))
+    return normalised_arms(arms, known, "l_orderkey").select("l_orderkey", "arm_name", F.array_join("interventions", "+").alias("interventions"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'supported' WHEN o_orderkey % 4 = 1 THEN 'supported' WHEN o_orderkey % 4 = 2 THEN 'blocked' ELSE 'insufficient' END AS status,
@@ -143,14 +147,29 @@ def v30_public_ledger(spark, d):
 # -- questions ----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT DISTINCT n_name AS gene, p_brand AS device, 'Drug ' || p_name || ' has companion diagnostic ' || p_brand || '.' AS chunk FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE p_size <= 25")
+@query("""WITH ev AS (SELECT r_name AS gene, 'Profile ' || c_name || ' has evidence of level ' || o_orderpriority || ' in ' || c_mktsegment || '. Cited in PMID ' || string_agg(DISTINCT l_suppkey::VARCHAR, ', ' ORDER BY l_suppkey::VARCHAR) || '. Drugs: ' || string_agg(DISTINCT p_name, ', ' ORDER BY p_name) || '.' AS chunk
+  FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT' GROUP BY r_name, c_name, c_mktsegment, o_orderpriority, o_orderkey),
+ tr AS (SELECT r_name AS gene, 'Trial NCT' || lpad(s_suppkey::VARCHAR, 8, '0') || ' of ' || r_name || ' tests ' || string_agg(DISTINCT p_name, ', ' ORDER BY p_name) || '.' AS chunk FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey GROUP BY r_name, s_suppkey),
+ said AS (SELECT gene, ' ' || string_agg(DISTINCT trim(regexp_replace(lower(chunk), '[^a-z0-9]+', ' ', 'g')), ' # ') || ' ' AS t FROM (SELECT * FROM ev UNION ALL SELECT * FROM tr) GROUP BY 1),
+ cd AS (SELECT DISTINCT gene, 'Drug ' || p_name || ' has companion diagnostic ' || p_brand || '.' AS chunk FROM said JOIN (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size <= 25) ON contains(t, ' ' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) || ' '))
+ SELECT gene, 'evidence' AS kind, chunk FROM ev UNION ALL SELECT gene, 'trial', chunk FROM tr UNION ALL SELECT gene, 'diagnostic', chunk FROM cd""")
 def r19_scoped_chunks(spark, d):
-    """Chunks of diagnostics, for the drugs that a gene's rows name."""
-    named = read(spark, d, "nation").join(read(spark, d, "supplier"), col("s_nationkey") == col("n_nationkey")).join(read(spark, d, "lineitem"), col("l_suppkey") == col("s_suppkey"))
-    part = read(spark, d, "part").where("p_size <= 25")  # the approved ones have a diagnostic
-    rows = named.select("n_name", "l_partkey").distinct().join(part, col("p_partkey") == col("l_partkey"))
-    chunk = F.concat(lit("Drug "), "p_name", lit(" has companion diagnostic "), "p_brand", lit("."))
-    return rows.select(col("n_name").alias("gene"), col("p_brand").alias("device"), chunk.alias("chunk")).distinct()
+    """The chunks of every gene's index: its evidence, its trials, and diagnostics of the drugs that these chunks name."""
+    from lodestone.operators.linking import folded_words, names_in
+
+    graph = evidence_graph(spark, d)
+    path = graph.match("g", "Gene").hop("g", "HAS_VARIANT", "v").hop("v", "IN_MOLECULAR_PROFILE", "mp").hop("mp", "HAS_EVIDENCE", "e", where=T.levels(T.STRONGEST))
+    rows = path.hop("e", "TARGETS_DRUG", "d").df.groupBy("g__symbol", "mp__name", "mp__disease", "e__id", "e__level").agg(F.array_sort(F.collect_set("d__name")).alias("drugs"))
+    cited = graph.edges["CITED_IN"].table.groupBy(col("src").alias("e__id")).agg(F.array_sort(F.collect_set(col("dst").cast("string"))).alias("pmids"))
+    text = F.concat(lit("Profile "), "mp__name", lit(" has evidence of level "), "e__level", lit(" in "), "mp__disease", lit(". Cited in PMID "), F.array_join("pmids", ", "), lit(". Drugs: "), F.array_join("drugs", ", "), lit("."))
+    evidence = rows.join(cited, "e__id").select(col("g__symbol").alias("gene"), lit("evidence").alias("kind"), text.alias("chunk"))
+    tested = graph.match("t", "ClinicalTrial").hop("t", "ASSOCIATED_GENE", "g").hop("t", "TESTS_DRUG", "d").df.groupBy("g__symbol", "t__nct_id").agg(F.array_sort(F.collect_set("d__name")).alias("drugs"))
+    trials = tested.select(col("g__symbol").alias("gene"), lit("trial").alias("kind"), F.concat(lit("Trial "), "t__nct_id", lit(" of "), "g__symbol", lit(" tests "), F.array_join("drugs", ", "), lit(".")).alias("chunk"))
+    chunks = evidence.union(trials)
+    devices = graph.match("d", "Drug").hop("d", "HAS_COMPANION_DIAGNOSTIC", "x").df.select(col("d__name").alias("alias"), col("x__id").alias("device")).distinct()
+    named = names_in(chunks.select("gene", col("chunk").alias("text")), ["gene"], devices.select("alias").distinct(), 5, folded_words).select("gene", "key").distinct()
+    met = named.join(devices.withColumn("key", F.array_join(folded_words(col("alias")), " ")), "key")
+    return chunks.union(met.select("gene", lit("diagnostic"), F.concat(lit("Drug "), "alias", lit(" has companion diagnostic "), "device", lit(".")).alias("chunk")).distinct())
 
 
 @query("SELECT qid, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0 END, 6) AS score, pid FROM (SELECT s_nationkey AS qid, s_suppkey AS pid, s_acctbal AS score, min(s_acctbal) OVER (PARTITION BY s_nationkey) AS lo, max(s_acctbal) OVER (PARTITION BY s_nationkey) AS hi FROM supplier)")

@@ -302,7 +302,7 @@ def q34_case_validation(spark, d):
 
 
 @query("""SELECT 'Gene' AS label, count(*) AS n FROM region UNION ALL SELECT 'Variant', count(*) FROM nation UNION ALL SELECT 'MolecularProfile', count(*) FROM customer UNION ALL SELECT 'Evidence', count(*) FROM orders
- UNION ALL SELECT 'Drug', count(*) FROM part UNION ALL SELECT 'Publication', count(*) FROM supplier UNION ALL SELECT 'Device', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'ClinicalTrial', count(*) FROM supplier""")
+ UNION ALL SELECT 'Drug', count(*) FROM part UNION ALL SELECT 'Publication', count(*) FROM supplier UNION ALL SELECT 'Device', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'Disease', count(DISTINCT c_mktsegment) FROM customer UNION ALL SELECT 'ClinicalTrial', count(*) FROM supplier""")
 def q35_load_counts(spark, d):
     out = None
     for label, nodes in graph(spark, d).nodes.items():
@@ -353,3 +353,29 @@ def pf19_visible_links(spark, d):
     shown = T.subgraph_nodes(records).where("type in ('Evidence', 'Drug')").select("id")
     links = T.subgraph_links(records).join(shown.withColumnRenamed("id", "source"), "source", "left_semi").join(shown.withColumnRenamed("id", "target"), "target", "left_semi")
     return links.groupBy("type").agg(F.count("*").alias("n"))
+
+
+# -- patterns that repeat a type, or close -------------------------------------------------------------------------
+
+
+@query("""SELECT a.p_name AS one, b.p_name AS other, count(*) AS n FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND NOT (y.l_linenumber = x.l_linenumber AND y.l_partkey = x.l_partkey AND y.l_returnflag = x.l_returnflag) JOIN part a ON a.p_partkey = x.l_partkey JOIN part b ON b.p_partkey = y.l_partkey GROUP BY 1, 2""")
+def s09_drugs_together(spark, d):
+    """Drugs of one evidence: the type occurs twice, and a relationship is not used for both."""
+    path = graph(spark, d).match("a", "Drug").hop("a", "TARGETS_DRUG", "e", back=True).hop("e", "TARGETS_DRUG", "b")
+    return path.df.groupBy(F.col("a__name").alias("one"), F.col("b__name").alias("other")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT a.p_name AS one, b.p_name AS other, count(*) AS n FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey JOIN part a ON a.p_partkey = x.l_partkey JOIN part b ON b.p_partkey = y.l_partkey GROUP BY 1, 2""")
+def s09_drugs_of_two_matches(spark, d):
+    """The same in two matches: the second may use the relationship of the first."""
+    path = graph(spark, d).match("a", "Drug").hop("a", "TARGETS_DRUG", "e", back=True).again().hop("e", "TARGETS_DRUG", "b")
+    return path.df.groupBy(F.col("a__name").alias("one"), F.col("b__name").alias("other")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT r.r_name AS gene, e.o_orderpriority AS level, count(*) AS n FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey JOIN orders e ON e.o_custkey = c.c_custkey
+ JOIN lineitem l ON l.l_orderkey = e.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey AND p.p_size <= 25 WHERE (SELECT min(q.p_partkey) % 5 FROM part q WHERE q.p_brand = p.p_brand) = r.r_regionkey GROUP BY 1, 2""")
+def s09_closed_way(spark, d):
+    """From a gene over its evidence to drugs whose companion test detects the very same gene: the last hop closes."""
+    path = graph(spark, d).match("g", "Gene").hop("g", "HAS_VARIANT", "v").hop("v", "IN_MOLECULAR_PROFILE", "mp").hop("mp", "HAS_EVIDENCE", "e")
+    path = path.hop("e", "TARGETS_DRUG", "d").hop("d", "HAS_COMPANION_DIAGNOSTIC", "x").hop("x", "DIAGNOSES_GENE", "g")
+    return path.df.groupBy(F.col("g__symbol").alias("gene"), F.col("e__level").alias("level")).agg(F.count("*").alias("n"))

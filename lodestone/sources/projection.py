@@ -59,8 +59,8 @@ def evidence_graph(spark: SparkSession, sf_dir: str) -> Graph:
         "HAS_VARIANT": Edges("Gene", "Variant", nation.select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst"))),
         "IN_MOLECULAR_PROFILE": Edges("Variant", "MolecularProfile", customer.select(F.col("c_nationkey").alias("src"), F.col("c_custkey").alias("dst"))),
         "HAS_EVIDENCE": Edges("MolecularProfile", "Evidence", orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))),
-        "TARGETS_DRUG": Edges("Evidence", "Drug", line.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("significance"))),
-        "CITED_IN": Edges("Evidence", "Publication", line.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("significance"))),
+        "TARGETS_DRUG": Edges("Evidence", "Drug", line.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("significance"), F.col("l_linenumber").alias("line"))),
+        "CITED_IN": Edges("Evidence", "Publication", line.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("significance"), F.col("l_linenumber").alias("line"))),
         "HAS_COMPANION_DIAGNOSTIC": Edges("Drug", "Device", part.where("p_size <= 25").select(F.col("p_partkey").alias("src"), F.col("p_brand").alias("dst"))),
         "HAS_DISEASE": Edges("Evidence", "Disease", orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("src"), F.col("c_mktsegment").alias("dst"))),
         "DIAGNOSES_GENE": Edges("Device", "Gene", part.groupBy(F.col("p_brand").alias("src")).agg((F.min("p_partkey") % 5).alias("dst"))),

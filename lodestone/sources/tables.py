@@ -38,13 +38,6 @@ def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str | T.Struc
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
-def sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One sheet of a workbook; it is read on the driver, as workbooks are small and have no distributed reader."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path, sheet_name=name, dtype=str))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`, which driver and executors share; a local session may go without the setting, as
     they share its disk."""

@@ -138,17 +138,6 @@ def test_plans_push_down_and_do_not_cross(spark):
     assert "l_extendedprice" not in plan and "o_totalprice" not in plan
 
 
-def test_noise_facts_of_many_kinds(spark, tmp_path):
-    import duckdb
-    from lodestone.plans import catalog
-
-    spark.createDataFrame([(f"B{i % 40}", f"T{i}") for i in range(400)], "p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
-    got = sorted(tuple(r) for r in catalog.QUERIES["r13_noise_facts"](spark, str(tmp_path)).collect())
-    assert len(got) == 40 and got == sorted(con.sql(catalog.SQL["r13_noise_facts"]).fetchall())
-
-
 def test_landed_pages(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"nextPageToken": "b", "rows": [{"id": 1}, {"id": 2}]}\n{"pageToken": "b", "nextPageToken": "c", "rows": [{"id": 3}]}\n')
     (tmp_path / "again.json").write_text('{"pageToken": "b", "nextPageToken": "c", "rows": [{"id": 3}]}\n{"pageToken": "d", "rows": []}\n')
