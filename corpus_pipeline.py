@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import token_digests
-from lodestone.llm.common import durable, table
+from lodestone.llm.common import durable, released, table
 from lodestone.llm.decontaminate import find_contamination
 from lodestone.llm.ngram_join import similar_documents
 from lodestone.llm.quality import classify
@@ -72,5 +72,6 @@ STAGES = [("quality", quality), ("near duplicates", near_duplicates), ("decontam
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        with released(spark):
+            docs = durable(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
