@@ -33,31 +33,31 @@ from pyspark.sql import functions as F
 from lodestone.llm.html_tree import Page, attributes_of, parse
 
 #: Bounds of the labelled sample: pages, and nodes of a page. Gradient steps and their length; strength of the prior.
-LABELLED, NODES, STEPS, RATE, RIDGE = 200, 2_000, 120, 0.25, 0.02
+LABELLED, NODES, STEPS, RATE, RIDGE = 200, 2_000, 120, 0.25, 0.1
 #: Characters of html that a worker holds as trees at once; one longer page is held by itself.
 TOGETHER = 4_000_000
 #: Groups of tags with the prior weight of a node of the group.
 TAGS = {
-    "article": (2.5, "article main"), "nav": (-4.0, "nav menu"), "header": (-1.5, "header"), "footer": (-4.0, "footer address"), "aside": (-4.0, "aside dialog search"),
-    "form": (-4.0, "form fieldset legend"), "heading": (0.3, "h1 h2 h3 h4 h5 h6 hgroup"), "prose": (0.5, "p blockquote pre figure figcaption dl dt dd"), "list": (0.0, "ul ol li"),
+    "article": (2.5, "article main"), "nav": (-5.0, "nav menu"), "header": (-1.5, "header"), "footer": (-5.0, "footer address"), "aside": (-5.0, "aside dialog search"),
+    "form": (-5.0, "form fieldset legend"), "heading": (0.3, "h1 h2 h3 h4 h5 h6 hgroup"), "prose": (0.5, "p blockquote pre figure figcaption dl dt dd"), "list": (0.0, "ul ol li"),
     "table": (0.0, "table caption thead tbody tfoot tr td th"), "box": (0.0, "div section center details summary"), "root": (0.0, "html body"),
 }
 #: Words of id, class, role and the like that are cues, with the prior weight of a node that has one.
 CUES = {
     "main": (1.5, "article articlebody main content post entry story"),
-    "menu": (-3.5, "nav navbar navigation menu breadcrumb breadcrumbs toolbar topbar pagination pager tabs skip masthead"),
-    "header": (-2.0, "header banner logo"),
-    "footer": (-3.5, "footer foot copyright colophon contentinfo legal"),
-    "side": (-3.5, "sidebar aside side complementary related recommended recommendations trending popular widget widgets share sharing social rail"),
-    "notice": (-3.5, "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall promo toast disclaimer"),
-    "advert": (-4.0, "ad ads adv advert adverts advertisement advertising sponsor sponsored promoted adsense"),
-    "form": (-3.0, "form search login signup signin register"),
-    "comments": (-4.5, "comment comments reply replies respond disqus discussion responses usercomments"),
+    "menu": (-5.0, "nav navbar navigation menu breadcrumb breadcrumbs toolbar topbar pagination pager tabs skip masthead"),
+    "header": (-4.0, "header banner logo"),
+    "footer": (-5.0, "footer foot copyright colophon contentinfo legal"),
+    "side": (-5.0, "sidebar aside side complementary related recommended recommendations trending popular widget widgets share sharing social rail"),
+    "notice": (-5.0, "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall promo toast disclaimer"),
+    "advert": (-5.0, "ad ads adv advert adverts advertisement advertising sponsor sponsored promoted adsense"),
+    "form": (-4.0, "form search login signup signin register"),
+    "comments": (-6.0, "comment comments reviews reply replies respond disqus discussion responses usercomments"),
     "hidden": (-5.0, "hidden"),
 }
-#: Prior of an edge: both content, both not, only the parent content, only the child content. "part": below what is marked
-#: as another part of the page, by its tag or a cue.
-EDGES = {"root": (0.0, 0.5, 0.0, 0.0), "box": (1.0, 1.0, -0.5, -1.0), "article": (1.5, 0.5, -0.5, -1.5), "prose": (2.0, 2.0, -2.0, -2.0), "part": (-1.0, 3.0, 0.0, -4.0), "text": (2.0, 2.0, -2.0, -2.0)}
+#: Prior of an edge: both content, both not, only the parent content, only the child content. "part": anywhere below
+#: what is marked as another part of the page, by its tag or a cue.
+EDGES = {"root": (0.0, 0.5, 0.0, 0.0), "box": (1.0, 1.0, -0.5, -1.0), "article": (1.5, 0.5, -0.5, -1.5), "prose": (2.0, 2.0, -2.0, -2.0), "part": (-2.0, 6.0, 0.0, -8.0), "text": (2.0, 2.0, -2.0, -2.0)}
 _TAG = {t: k for k, (_, tags) in enumerate(TAGS.values()) for t in tags.split()}
 _CUE = {w: k for k, (_, words) in enumerate(CUES.values()) for w in words.split()}
 _EDGE = {name: k for k, name in enumerate(EDGES)}
@@ -80,7 +80,8 @@ def cues_of(raw: str) -> set[int]:
     found = {_CUE[w] for w in words if w in _CUE}
     if "hidden" in named or named.get("aria-hidden") == "true" or _HIDDEN.search(named.get("style", "")):
         found.add(_CUE["hidden"])
-    return found
+    # The header of an entry is where its headline stands.
+    return found - {_CUE["header"]} if _CUE["entry"] in found else found
 
 
 class Forest:
@@ -133,6 +134,15 @@ class Forest:
         x[:, c + 7] = [e in ".!?…。:;\"”»)" and e != "" for e in ends]
         x[:, c + 8] = ["©" in t for page in pages for t in page.text]
         x[self.empty] = 0
+        part = np.isin(group, [_TAG[t] for t in ("nav", "footer", "aside", "form")]) | (x[:, len(TAGS) : c] @ _APART > 0)
+        # What marks the main text does not do so inside another part of the page.
+        under = np.zeros(n, bool)
+        for level in self.levels[1:]:
+            under[level] = under[self.parent[level]] | part[self.parent[level]]
+        marked = under & (group == _TAG["article"])
+        group[marked] = _BOX
+        x[marked, _TAG["article"]], x[marked & ~self.empty, _BOX] = 0, 1
+        x[under, len(TAGS) + _CUE["main"]] = 0
         self.x, self.stretch = x, stretch
         above = group[np.maximum(self.parent, 0)]
         kind = np.full(n, _EDGE["box"])
@@ -140,8 +150,7 @@ class Forest:
         kind[above == _TAG["article"]] = _EDGE["article"]
         kind[np.isin(above, [_TAG[t] for t in ("p", "ul", "table", "h1")])] = _EDGE["prose"]
         kind[stretch] = _EDGE["text"]
-        part = np.isin(group, [_TAG[t] for t in ("nav", "footer", "aside", "form")]) | (x[:, len(TAGS) : c] @ _APART > 0)
-        kind[part[np.maximum(self.parent, 0)] & (self.parent >= 0)] = _EDGE["part"]
+        kind[under] = _EDGE["part"]
         self.kind = kind
 
 

@@ -70,6 +70,9 @@ LAYOUTS = {
     "boxes": '<body><div id="top-nav"><a href="/a">Home</a> <a href="/b">News</a></div><div class="content">{}</div><div class="sidebar"><h3>Related</h3><ul><li><a href=x>More of it</a></li></ul></div><div id="footer">All rights reserved.</div>',
     "main": '<body><header><a href="/">Site</a><form action=/s><input name=q><button>Go</button></form></header><main>{}</main><aside><p>Also read this one here.</p></aside><footer>Contact</footer>',
     "comments": '<body><article>{}<div class="ad-slot">Advert text.</div><form><label>Mail</label><input></form></article><section id="comments"><h2>Comments</h2><article class="comment"><p>I liked it very much, thank you all.</p></article></section>',
+    "teasers": '<body><header class="site-header"><div class="logo">Site</div></header><main><article>{}</article><section class="related"><article class="card"><h4><a>Other</a></h4><p>Its teaser reads like so, a sentence of some length.</p></article></section></main>',
+    "inner": '<body><article>{}<aside><p>Did you know this thing, which is quite long and reads as a sentence?</p></aside><nav class="toc"><a>Part</a></nav><footer>Tags</footer></article>',
+    "named": '<body><div id="page"><div id="header"><p>The best site for news, every day.</p></div><div id="main"><div class="entry-content">{}</div><ol class="comment-list"><li><p>I do not agree with this at all, my friend.</p></li></ol></div></div>',
     "notice": '<body><div class="cookie-banner"><p>We use cookies to make this better for you.</p><button>Accept</button></div><div class="wrap"><div class="post-body">{}</div></div><script>var x="<p>no</p>";</script><style>p{{}}</style><!-- <p>never</p> -->',
 }
 
