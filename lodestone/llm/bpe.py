@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import stored
+
 CHUNK = 16_384
 OVERLAP = 1_024
 #: Rows that a worker encodes or decodes before it hands them on.
@@ -84,13 +86,29 @@ def _encode_rows(df: DataFrame, keep: list[str], path: str, pattern: str, decode
     return df.mapInArrow(run, f"{kinds}, ids array<int>" + ", decoded binary" * decoded)
 
 
+def _cut(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(row, id, k, last, body): overlapping chunks, each text read once from its start to its end.
+
+    The chunks are written down, so that the numbers of the rows are the same for all who read them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                text, one = batch.column(1)[n].as_py(), batch.slice(n, 1)
+                count = -(-len(text) // chunk)
+                for at in range(0, count, ROWS):
+                    ks = range(at, min(count, at + ROWS))
+                    same = pa.array(np.zeros(len(ks), np.int64))
+                    body = pa.array([text[k * chunk : (k + 1) * chunk + overlap] for k in ks], pa.string())
+                    yield pa.RecordBatch.from_arrays([one.column(2).take(same), one.column(0).take(same), pa.array(ks, pa.int32()), pa.array([k == count - 1 for k in ks]), body], ["row", "id", "k", "last", "body"])
+
+    return stored(long.select("id", "text", "row").mapInArrow(run, f"row long, id {long.schema['id'].dataType.simpleString()}, k int, last boolean, body string"))
+
+
 def _chunks(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """(row, id, k, body, head, tail, last): head and tail are the usable boundaries in the overlaps with the chunks before and after."""
-    cut = (
-        long.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / chunk).cast("int") - 1)))
-        .select("row", "id", "k", ((F.col("k") + 1) * chunk >= F.length("text")).alias("last"), F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("body"))
-        .repartition("row", "k")
-    )
+    """(row, id, k, last, body, head, tail): head and tail are the usable boundaries in the overlaps with the chunks before and after."""
+    cut = _cut(long, chunk, overlap).repartition("row", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
