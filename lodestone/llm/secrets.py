@@ -47,6 +47,8 @@ RULES = BASE_RULES + ADDED_RULES
 
 #: Alternatives that a derived query may have, and members of a character class that are spelt out.
 MOST_ALTERNATIVES, MOST_MEMBERS = 24, 5
+#: Characters of the blocks from which a masked text is put together.
+BLOCK = 4_096
 
 
 def _runs(tree) -> list[tuple[str, ...]]:
@@ -122,7 +124,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Running totals of an array<long> that starts from 0: by blocks of about the root of its length, then inside each."""
+    """Running totals of an array<long> that starts from 0: by blocks of about the root of its length, then inside each.
+
+    An array of m entries is copied for about the root of m steps, so that work grows with m to the power 1.5.
+    """
     zero = F.lit(0).cast("long")
 
     def extend(acc: Column, x: Column) -> Column:
@@ -185,17 +190,26 @@ def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def mask_secrets(found: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """found with every span of text_col replaced; overlapping spans are replaced as one."""
+    """found with every span of text_col replaced; overlapping spans are replaced as one.
+
+    The text is cut to blocks of BLOCK characters once; what lies between two spans is joined from the blocks that it touches,
+    so that work grows with the text and its spans, and a text is held twice at most.
+    """
+
+    def between(blocks: Column, low: Column, high: Column) -> Column:
+        first = F.floor(low / BLOCK).cast("int")
+        touched = F.slice(blocks, first + 1, F.ceil(high / BLOCK).cast("int") - first)
+        return F.when(high > low, F.substring(F.array_join(touched, ""), (low - first * BLOCK + 1).cast("int"), (high - low).cast("int"))).otherwise("")
 
-    def masked(chars: Column, reach: Column) -> Column:
+    def masked(blocks: Column, reach: Column) -> Column:
         """reach: how far the spans up to each one go."""
         before = F.concat(F.array(F.lit(0).cast("long")), reach)
-        part = lambda low, high: F.array_join(F.slice(chars, (low + 1).cast("int"), (high - low).cast("int")), "")
-        pieces = F.zip_with("spans", F.slice(before, F.lit(1), F.size(reach)), lambda s, low: F.when(s["start"] >= low, F.concat(part(low, s["start"]), F.lit(mask))).otherwise(""))
-        return F.concat(F.array_join(pieces, ""), part(F.element_at(reach, -1), F.size(chars)))
+        pieces = F.zip_with("spans", F.slice(before, F.lit(1), F.size(reach)), lambda s, low: F.when(s["start"] >= low, F.concat(between(blocks, low, s["start"]), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), between(blocks, F.element_at(reach, -1), F.length(text_col).cast("long")))
 
     reach = _running(F.transform("spans", lambda s: s["end"]), lambda a, x: F.greatest(a, x))
-    whole = _let(F.split(text_col, "", -1), lambda chars: _let(reach, lambda r: masked(chars, r)))
+    cut = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    whole = _let(cut, lambda blocks: _let(reach, lambda r: masked(blocks, r)))
     return found.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(F.col(text_col)))
 
 
