@@ -33,6 +33,8 @@ SALTS = 32
 BEAM, EXPAND, HOPS, DEGREE = 200, 80, 5, 60
 #: Queries that meet one node's neighbours in one row.
 TOGETHER = 500
+#: Visited nodes that a worker unpacks at once.
+VISITED = 200
 _FLUSH = 400_000
 
 
@@ -370,7 +372,7 @@ def _visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _lists(q, {"i": node, "s": sim, "d": flag}, ["q", "ids", "sims", "done"])
         return pa.RecordBatch.from_arrays([out.column(0), pa.nulls(out.num_rows, pa.binary()), *out.columns[1:]], ["q", "half", "ids", "sims", "done"])
 
-    for b in batches:
+    for b in (b.slice(at, VISITED) for b in batches for at in range(0, b.num_rows, VISITED)):
         for near, halves, asks in zip(*(b.column(k).to_pylist() for k in ("near", "halves", "asks")), strict=True):
             ids = np.frombuffer(near, "<i8")
             norm, x = _unpacked(halves, len(ids))
