@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,31 @@ def durable(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """As durable, but as a compressed table of columns: for wide intermediates of which later steps read a part."""
     path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    for block in _RELEASED:
+        block.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables written by `stored` inside each open `released` block.
+_RELEASED: list[list[str]] = []
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables that `stored` writes inside are deleted at the end: for steps whose result is written down by then."""
+    written: list[str] = []
+    _RELEASED.append(written)
+    try:
+        yield
+    finally:
+        _RELEASED.pop()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in written:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def few(df: DataFrame, rows: int) -> DataFrame:
     """df, of at most so many narrow rows, in as many partitions as these need: each partition becomes a file."""
     return df.coalesce(LEAST_FILES + rows // FILE_ROWS)

@@ -11,7 +11,7 @@ from lodestone.llm.common import table
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.ngram_join import similar_documents
 
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents")).drop("component_key")  # a number that differs from run to run
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,49 +97,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lodestone.llm import secrets
-
-    return {"op5_secret_scans": secrets.oracle(), "op12_prefix_trie": PREFIX_TRIE, "op13_hard_negatives": HARD_NEGATIVES}
-
-
-HARD_NEGATIVES = """
-WITH fine AS (
-  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-pairs AS (
-  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
-  FROM fine a JOIN fine c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
-positives AS (
-  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
-  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
-SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
-  vec_id AS negative_id, positive_score, score AS negative_score
-FROM positives JOIN pairs USING (anchor_id)
-WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
-QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
-"""
-
-
-PREFIX_TRIE = """
-WITH own AS (
-  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns,
-    xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda crc, b:
-      list_reduce(range(8), lambda s, i: xor(s >> 1, (s & 1) * 3988292384), xor(crc, b)), 4294967295), 4294967295) % 9 AS h
-  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-rebuilt AS (
-  SELECT a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 5),
-steps AS (SELECT c, len(turns) AS length, unnest(range(len(turns) + 1)) AS depth, turns FROM rebuilt),
-prefixes AS (SELECT c, length, depth, sha256(turns[1:depth]::VARCHAR) AS node, sha256(turns[1:depth - 1]::VARCHAR) AS parent, strlen(turns[depth].text) AS bytes FROM steps),
-nodes AS (
-  SELECT depth, node, min(c) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs, coalesce(any_value(bytes), 0) AS bytes,
-    sha256(coalesce(string_agg(CASE WHEN length = depth THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256
-  FROM prefixes GROUP BY depth, node),
-linked AS (
-  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.parent = n.node) AS n_children
-  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.parent),
-above AS (  -- every node with each node over it, by way of its least conversation
-  SELECT l.n_children, l.n_convs, l.bytes, p.depth, p.node FROM linked l JOIN prefixes p ON p.c = l.conv_id AND p.depth <= l.depth),
-sums AS (SELECT depth, node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM above GROUP BY depth, node)
-SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM linked JOIN sums USING (depth, node)
-"""
+    from lodestone.llm import oracles, secrets
+
+    return oracles.SQL | {"op5_secret_scans": secrets.oracle()}
