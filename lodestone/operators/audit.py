@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from lodestone.operators.containment import contained, fitting
 from lodestone.sources.tables import durable
 
+# Fixed value: how a word of a variant begins that tells the alteration.
+TELLING = r"^(?:[A-Z]\d+[A-Z]?|EX|ITD|DEL|INS|R\d+)"
+
 
 def case_profiles(cases: DataFrame, variants: DataFrame, profiles: DataFrame, fusion_words: Sequence[str]) -> DataFrame:
     """(case_id, profile) of cases (case_id, kind, gene, variant, key).
@@ -29,7 +32,7 @@ def case_profiles(cases: DataFrame, variants: DataFrame, profiles: DataFrame, fu
     own = profiles.select("variant_id", "profile", upper("name").alias("profile_name"))
     # By gene: the better of two words decides, for each case, which of the gene's variants stay.
     words = F.split("variant", r"\s+")
-    telling = F.coalesce(F.get(F.filter(words, lambda w: w.rlike(r"^(?:[A-Z]\d+[A-Z]?|EX|ITD|DEL|INS|R\d+)")), F.lit(0)), F.get(words, F.lit(0)))
+    telling = F.coalesce(F.get(F.filter(words, lambda w: w.rlike(TELLING)), F.lit(0)), F.get(words, F.lit(0)))
     number = F.when(F.size(words) > 1, F.get(F.filter(words, lambda w: w.rlike(r"^\d+$")), F.lit(0)))
     whole = F.col("variant").isin("MUTATION", "AMPLIFICATION")
     by_gene = key.where(~F.col("kind").isin("biomarker", "fusion")).withColumns({"_t": F.when(~whole, telling), "_n": F.when(~whole, number)}).join(names, "gene")

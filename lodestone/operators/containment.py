@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import durable
+from lodestone.sources.tables import durable, if_small
 
 Q = 3
 
@@ -30,11 +30,11 @@ def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
     large = texts.where("text is not null").select("text").distinct()
     grams = large.select("text", F.explode(F.flatten(F.array(*[_grams(F.col("text"), q) for q in range(1, Q + 1)]))).alias("gram"))
     named = small.select("needle", F.explode(_grams(F.col("needle"), F.least(F.length("needle"), F.lit(Q)))).alias("gram"))
-    wanted = named.select("gram").distinct()
+    wanted = if_small(durable(named.select("gram").distinct()))
     counted = grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     # A gram that no text has rules its needle out.
     met = named.join(counted, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_x"))
-    rarest = met.where("_x.n > 0").select("needle", "_x.gram")
+    rarest = if_small(durable(met.where("_x.n > 0").select("needle", "_x.gram")))
     return rarest.join(grams, "gram").where(F.contains("text", F.col("needle"))).select("needle", "text")
 
 

@@ -2,8 +2,8 @@
 
 The trie is a table (tokens so far, whether a name ends here). Places of a text whose token begins some name meet the
 first level; places that go on meet the next one, so that a level is an equi-join on the tokens so far, and few places are
-left after the first. A first token that makes up more than `HOT` of all places is dealt over salts, with its one trie row
-repeated for each.
+left after the first. A trie of few rows is sent to all tasks. Of a larger one a first token that makes up more than `HOT`
+of all places is dealt over salts, with its one trie row repeated for each.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import entity_key
+from lodestone.sources import tables
 from lodestone.sources.tables import durable
 
 #: Share of all places from which a first token is salted (so there are at most its inverse of them), and salts.
@@ -43,19 +44,27 @@ def names_in(texts: DataFrame, ids: list[str], names: DataFrame, longest: int =
     only_longest: of the names that begin at one place the longest. Names and texts are compared by `words`.
     """
     trie = durable(name_trie(names, words, longest))
-    level = lambda d: trie.where(F.col("depth") == d).select(F.col("key").alias("_key"), F.col("ends").alias("_ends"))
+    few = trie.limit(tables.SMALL + 1).count() <= tables.SMALL
+
+    def level(d: int) -> DataFrame:
+        own = trie.where(F.col("depth") == d).select(F.col("key").alias("_key"), F.col("ends").alias("_ends"))
+        return F.broadcast(own) if few else own
+
     cut = texts.select(*ids, words(F.col("text")).alias("_t"))
     size = F.size("_t")
     places = cut.where(size > 0).select(*ids, F.posexplode(F.transform(F.sequence(F.lit(1), size), lambda i: F.slice("_t", i, longest))).alias("at", "_w"))
     places = places.select(*ids, (F.col("at") + 1).alias("at"), "_w", F.get("_w", F.lit(0)).alias("_key"))
     begun = level(1)
-    # One row for each token, summed where the texts are; those that are hot are at most 1 / HOT.
-    counts = durable(cut.select(F.explode("_t").alias("_key")).groupBy("_key").count().join(begun.select("_key"), "_key", "left_semi"))
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = [r["_key"] for r in counts.where(F.col("count") > HOT * total).collect()]
-    salts = F.when(F.col("_key").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
-    salt = F.when(F.col("_key").isin(hot), F.pmod(F.xxhash64("at", *ids), F.lit(SALTS)).cast("int")).otherwise(0) if hot else F.lit(0)
-    now = durable(places.withColumn("_salt", salt).join(begun.withColumn("_salt", F.explode(salts)), ["_key", "_salt"]).drop("_salt"))
+    if few:
+        now = durable(places.join(begun, "_key"))
+    else:
+        # One row for each token, summed where the texts are; those that are hot are at most 1 / HOT.
+        counts = durable(cut.select(F.explode("_t").alias("_key")).groupBy("_key").count().join(begun.select("_key"), "_key", "left_semi"))
+        total = counts.agg(F.sum("count")).first()[0] or 0
+        hot = [r["_key"] for r in counts.where(F.col("count") > HOT * total).collect()]
+        salts = F.when(F.col("_key").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        salt = F.when(F.col("_key").isin(hot), F.pmod(F.xxhash64("at", *ids), F.lit(SALTS)).cast("int")).otherwise(0)
+        now = durable(places.withColumn("_salt", salt).join(begun.withColumn("_salt", F.explode(salts)), ["_key", "_salt"]).drop("_salt"))
     found = None
     for d in range(1, longest + 1):
         if d > 1:

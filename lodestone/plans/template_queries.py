@@ -198,10 +198,20 @@ def q22_chunk_diagnostics(spark, d):
 
 @query(f"SELECT r.r_name AS gene, n.n_name AS variant, count(*) AS paths, count(DISTINCT d.p_partkey) AS drugs, count(DISTINCT p.s_suppkey) AS pmids, count(DISTINCT c.c_mktsegment) AS diseases FROM {SPINE} {DRUG} {PUB} GROUP BY 1, 2")
 def q23_full_paths(spark, d):
-    path = graph(spark, d).match("g", "Gene").hop("g", "HAS_VARIANT", "v").hop("v", "IN_MOLECULAR_PROFILE", "mp").hop("mp", "HAS_EVIDENCE", "e").hop("e", "TARGETS_DRUG", "d").hop("e", "CITED_IN", "p")
-    return path.df.groupBy(F.col("g__symbol").alias("gene"), F.col("v__name").alias("variant")).agg(
-        F.count("*").alias("paths"), F.count_distinct("d__id").alias("drugs"), F.count_distinct("p__pmid").alias("pmids"), F.count_distinct("mp__disease").alias("diseases")
-    )
+    """Ways are counted as products of an evidence's drugs and citations, and distinct ends as different pairs, so that the
+    product of both sides is never made."""
+    g = graph(spark, d)
+    spine = g.match("g", "Gene").hop("g", "HAS_VARIANT", "v").hop("v", "IN_MOLECULAR_PROFILE", "mp").hop("mp", "HAS_EVIDENCE", "e").select(gene="g__symbol", variant="v__name", disease="mp__disease", e="e__id")
+    ends = {"drugs": g.match("e", "Evidence").hop("e", "TARGETS_DRUG", "d").select(e="e__id", end="d__id"), "pmids": g.match("e", "Evidence").hop("e", "CITED_IN", "p").select(e="e__id", end="p__pmid")}
+    whole = spine
+    for name, side in ends.items():
+        whole = whole.join(side.groupBy("e").agg(F.count("*").alias(f"n_{name}")), "e")
+    key = ["gene", "variant"]
+    out = whole.groupBy(*key, "disease").agg(F.sum(F.col("n_drugs") * F.col("n_pmids")).alias("ways")).groupBy(*key).agg(F.sum("ways").alias("paths"), F.count("disease").alias("diseases"))
+    for name, side in ends.items():
+        met = whole.select(*key, "e").join(side, "e").select(*key, "end").distinct()
+        out = out.join(met.groupBy(*key).agg(F.count("end").alias(name)), key)
+    return out.select(*key, "paths", "drugs", "pmids", "diseases")
 
 
 DIRECT = f"(SELECT DISTINCT n_regionkey AS g, l_partkey AS dst FROM {TESTS} t JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"

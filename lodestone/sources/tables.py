@@ -61,6 +61,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows, of a few short columns, up to which a table is sent to all tasks.
+SMALL = 100_000
+
+
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, which is stored, to be broadcast if it has at most so many rows; a larger one is joined by shuffling."""
+    most = SMALL if rows is None else rows
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 PAGE = "pageToken string, nextPageToken string"
 
 

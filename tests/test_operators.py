@@ -10,7 +10,7 @@ import statistics
 import pytest
 from lodestone.operators import analytics, audit, containment, ledger, linking, noise, topk, traversal
 from lodestone.plans.graph import Edges, Graph, Nodes
-from lodestone.sources import paged, workbooks
+from lodestone.sources import paged, tables, workbooks
 from lodestone.streaming import ledger as stream
 from pyspark.sql import functions as F
 
@@ -117,8 +117,10 @@ def test_sweep_is_as_separate_indexes(spark):
 
 
 # -- names in texts -----------------------------------------------------------------------------------------------
-def test_names_in_texts(spark, monkeypatch):
-    monkeypatch.setattr(linking, "HOT", 0.02)  # most first tokens are dealt over salts
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_names_in_texts(spark, monkeypatch, small):
+    monkeypatch.setattr(tables, "SMALL", small)
+    monkeypatch.setattr(linking, "HOT", 0.02)  # where the trie is not sent to all, most first tokens are dealt over salts
     rng = random.Random(8)
     vocabulary = "a b c d e f".split()
     rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 40)))) for i in range(60)] + [(100, None), (101, ""), (102, "a-b; c_d e.f")]
@@ -150,7 +152,9 @@ def test_links_and_refinement(spark):
 
 
 # -- containment --------------------------------------------------------------------------------------------------
-def test_contained(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_contained(spark, monkeypatch, small):
+    monkeypatch.setattr(tables, "SMALL", small)
     rng = random.Random(9)
     word = lambda n: "".join(rng.choices("abc", k=n))
     needles, hay = {word(rng.randint(1, 5)) for _ in range(60)} | {"zz", "", "abcabcabc"}, {word(rng.randint(0, 12)) for _ in range(200)} | {"x", "𝔘é𝔘"}
