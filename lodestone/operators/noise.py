@@ -8,15 +8,18 @@ the first of these are active, so that the noise of a share holds that of all sm
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.retrieval import active_noise  # noqa: F401
-from lodestone.sources.tables import durable
+from lodestone.sources.tables import SMALL, durable, if_small, stored
 
 #: Draws of the first round beside those needed, and how many times as many a round makes as the one before.
-SPARE, GROW = 8, 4
+SPARE, GROW = 3, 4
+#: Sources with more true edges, counted with their copies, do not draw as one row.
+MANY = 100_000
 
 
 def false_edges(truth: DataFrame, most: float) -> DataFrame:
@@ -24,25 +27,59 @@ def false_edges(truth: DataFrame, most: float) -> DataFrame:
     to even), or as many as there are; rank from 0, in the order in which they are drawn.
 
     Draw j of a source is the target at place md5(src|j) modulo the size of the pool of its kind, whose targets are
-    numbered in their order. Rounds go on for those sources that lack some.
+    numbered in their order. A source is one row with the places of its true targets and makes its draws there, so that
+    only what is accepted is shuffled; rounds go on for those sources that lack some. Sources with very many targets draw
+    row by row.
     """
-    truth = durable(truth.distinct())
-    pool = truth.select("rel", "dst").distinct()
-    sizes = pool.groupBy("rel").agg(F.count("*").alias("size"))  # a row for each kind
-    numbered = durable(_numbered(pool))
+    truth = truth.where("src is not null").select("rel", "src", "dst")
+    numbered = stored(_numbered(truth.select("rel", "dst").distinct()))
+    sizes = {r["rel"]: r["size"] for r in numbered.groupBy("rel").agg(F.count("*").alias("size")).collect()}  # a row for each kind
+    heavy, out = stored(truth.groupBy("rel", "src").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("rel", "src")), []
+    if not heavy.isEmpty():
+        out.append(_drawn_in_rows(truth.join(if_small(heavy), ["rel", "src"], "left_semi"), numbered, most))
+        truth = truth.join(if_small(heavy), ["rel", "src"], "left_anti")
+    size = F.coalesce(*[F.when(F.col("rel") == r, F.lit(n)) for r, n in sizes.items()], F.lit(0)).cast("long")
+    left = _by_pool(truth, numbered, sizes, "dst").groupBy("rel", "src").agg(F.collect_set("place").alias("own"))
+    left = left.withColumn("k_true", F.size("own").cast("long")).withColumn("size", size)
+    left = left.withColumn("need", F.least(F.bround(most * F.col("k_true")).cast("long"), F.col("size") - F.col("k_true"))).where("need > 0")
+    high, kept = F.col("need") + F.floor(F.col("need") / 8) + SPARE, None
+    while True:
+        at = lambda j: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "src", j.cast("string"))), 1, 8), 16, 10).cast("long"), F.col("size"))
+        # What is taken away and what comes again goes, in the order of the draws.
+        drawn = left.withColumn("drawn", F.slice(F.array_except(F.transform(F.sequence(F.lit(0).cast("long"), high - 1), at), "own"), F.lit(1), F.col("need").cast("int")))
+        state = stored(drawn.withColumn("own", F.when(F.size("drawn") < F.col("need"), F.col("own"))))
+        done = state.where("own is null").select("rel", "src", "k_true", F.posexplode("drawn").alias("rank", "place"))
+        kept = done if kept is None else kept.union(done)
+        left = state.where("own is not null").drop("drawn")
+        if left.isEmpty():
+            break
+        high = high * GROW
+    return reduce(DataFrame.union, [*out, _by_pool(kept, numbered, sizes, "place").select("rel", "src", "dst", "rank", "k_true")])
+
+
+def _by_pool(rows: DataFrame, numbered: DataFrame, sizes: dict[str, int], key: str) -> DataFrame:
+    """rows (rel, key) with what the pool of their kind (rel, dst, place) has for the key; small pools are sent to all tasks."""
+    few = F.col("rel").isin([r for r, n in sizes.items() if n <= SMALL])
+    return rows.where(few).join(F.broadcast(numbered.where(few)), ["rel", key]).unionByName(rows.where(~few).join(numbered.where(~few), ["rel", key]))
+
+
+def _drawn_in_rows(truth: DataFrame, numbered: DataFrame, most: float) -> DataFrame:
+    """`false_edges` of sources that have too many targets for one row: every draw is a row."""
+    truth = stored(truth.distinct())
+    sizes = numbered.groupBy("rel").agg(F.count("*").alias("size"))
     needs = truth.groupBy("rel", "src").agg(F.count("*").alias("k_true")).join(F.broadcast(sizes), "rel")
-    needs = durable(needs.withColumn("need", F.least(F.bround(most * F.col("k_true")).cast("long"), F.col("size") - F.col("k_true"))).where("need > 0"))
+    needs = stored(needs.withColumn("need", F.least(F.bround(most * F.col("k_true")).cast("long"), F.col("size") - F.col("k_true"))).where("need > 0"))
     low, out = F.lit(0).cast("long"), None
-    high, left = 2 * F.col("need") + SPARE, needs
+    high, left = F.col("need") + F.floor(F.col("need") / 8) + SPARE, needs
     drawn = None
     while True:
         draws = left.select("rel", "src", "size", F.explode(F.sequence(low, high - 1)).alias("j"))
         at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "src", F.col("j").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("size"))
         fresh = draws.select("rel", "src", "j", at.alias("place")).join(numbered, ["rel", "place"]).join(truth, ["rel", "src", "dst"], "left_anti").select("rel", "src", "dst", "j")
         drawn = fresh if drawn is None else drawn.join(left.select("rel", "src"), ["rel", "src"], "left_semi").union(fresh)
-        drawn = durable(drawn.groupBy("rel", "src", "dst").agg(F.min("j").alias("j")))
+        drawn = stored(drawn.groupBy("rel", "src", "dst").agg(F.min("j").alias("j")))
         have = drawn.groupBy("rel", "src").agg(F.count("*").alias("have"))
-        state = durable(left.join(have, ["rel", "src"], "left").withColumn("done", F.coalesce("have", F.lit(0)) >= F.col("need")))
+        state = stored(left.join(have, ["rel", "src"], "left").withColumn("done", F.coalesce("have", F.lit(0)) >= F.col("need")))
         ranked = drawn.join(state.where("done").select("rel", "src", "k_true", "need"), ["rel", "src"])
         ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("rel", "src").orderBy("j")) - 1).where("rank < need").select("rel", "src", "dst", "rank", "k_true")
         out = ranked if out is None else out.union(ranked)
