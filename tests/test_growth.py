@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lodestone.operators import noise
+from lodestone.operators import noise, traversal
 from lodestone.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -32,3 +32,45 @@ def test_sources_draw_alike_as_one_row_and_row_by_row(spark, monkeypatch, many):
 
 def test_schema_triples_are_those_of_the_catalog(spark):
     assert len(against_sql(spark, "j27_schema_triples")) == 9
+
+
+# -- walks --------------------------------------------------------------------------------------------------------
+STEPS = [("x", False), ("y", False), ("x", True), ("y", False)]
+
+
+def all_walks(start, edges, steps):
+    paths = [[s] for s in start]
+    for rel, back in steps:
+        hops = {(d, s) if back else (s, d) for s, r, d, _ in edges if r == rel}
+        paths = [[*p, b] for p in paths for a, b in hops if a == p[-1] and b not in p]
+    return sorted(paths)
+
+
+@pytest.fixture
+def web():
+    hops = [(f"a{i}", "x", f"b{(i * 5 + j) % 7}", False) for i in range(9) for j in range(4)]
+    hops += [(f"b{i}", "y", f"c{(i + j) % 6}", False) for i in range(7) for j in range(3)] + [(f"c{i}", "x", f"a{i}", False) for i in range(6)]
+    # x backwards from c: only the last nodes have any, so that the first paths are dead ends.
+    return hops + [("d1", "x", "c5", False), ("d1", "y", "e1", False), ("d2", "x", "c5", False), ("d2", "y", "e0", False)]
+
+
+@pytest.mark.parametrize("most", [1, 3, 1_000])
+def test_least_path_is_found_behind_dead_ends(spark, web, most):
+    edges, start = spark.createDataFrame(web, "src string, rel string, dst string, noise boolean"), spark.createDataFrame([(f"a{i}", f"a{i}") for i in range(10)], "anchor string, node string")
+    got = {r["anchor"]: r["path"] for r in traversal.least_path(start, edges, STEPS, most, 4).collect()}
+    whole = all_walks([f"a{i}" for i in range(10)], web, STEPS)
+    assert got == {f"a{i}": next((p for p in whole if p[0] == f"a{i}"), None) for i in range(10)}
+    assert any(got.values()) and not all(got.values())
+
+
+@pytest.mark.parametrize("most", [1, 5, 20])
+def test_walks_stop_at_the_first_paths_of_a_level(spark, web, most):
+    edges, start = spark.createDataFrame(web, "src string, rel string, dst string, noise boolean"), spark.createDataFrame([(f"a{i}", f"a{i}") for i in range(9)], "anchor string, node string")
+    for k, level in enumerate(traversal.walk_levels(start, edges, STEPS[:2], most), 1):
+        whole = all_walks([f"a{i}" for i in range(9)], web, STEPS[:k])
+        if k == 1 or most >= 4:  # the cut of the first level leaves out none that the second would keep
+            assert sorted(r["path"] for r in level.collect()) == sorted(p for i in range(9) for p in [p for p in whole if p[0] == f"a{i}"][:most])
+
+
+def test_first_path_of_every_anchor(spark):
+    assert len(against_sql(spark, "j22_first_path")) == 5
