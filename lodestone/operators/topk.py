@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.sources.tables import durable
+from lodestone.sources.tables import durable, stored
 
 #: Public defaults of the lexical score.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -60,6 +60,15 @@ class Foremost:
         full = np.arange(len(at)) - np.searchsorted(slot[at], slot[at]) == self.most - 1
         self.floor[slot[at][full]] = close[at][full]
 
+    def foremost_of(self, scores: np.ndarray, fit: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, column) of the scores (a line for each slot) that may be among the first: none that `most` others of its
+        line are above, so that few of a batch are handed on, even while nothing is held yet."""
+        close = np.where(fit, np.round(scores, DIGITS), -np.inf)
+        least = self.floor
+        if close.shape[1] > self.most:
+            least = np.fmax(least, -np.partition(-close, self.most - 1, axis=1)[:, self.most - 1])
+        return np.nonzero((close >= least[:, None]) & fit)
+
 
 @dataclass
 class Words:
@@ -157,7 +166,11 @@ def weights(passages: DataFrame, questions: DataFrame) -> tuple[DataFrame, float
     A token of a question counts as often as it occurs. A token that is in over half of the passages has a negative
     inverse frequency; it counts EPSILON times the mean of all tokens' instead.
     """
-    cut = passages.select(tokens(F.col("text")).alias("t"))
+    return _weights(passages.select(tokens(F.col("text")).alias("t")), questions)
+
+
+def _weights(cut: DataFrame, questions: DataFrame) -> tuple[DataFrame, float]:
+    """`weights` of passages that are tokenised already (t)."""
     size = cut.agg(F.count("*").alias("n"), F.count("t").alias("texts"), F.sum(F.when(F.col("t").isNotNull(), F.size("t"))).alias("total")).first()
     if not size["texts"]:
         return questions.sparkSession.createDataFrame([], f"qid {questions.schema['qid'].dataType.simpleString()}, token string, weight double"), 1.0
@@ -270,7 +283,7 @@ def dense_top(passages: DataFrame, questions: DataFrame, k: int) -> DataFrame:
             kind = b.column(0).type
             x, fine = matrix(b.column("vector"), block.vectors.shape[1])
             scores = block.vectors @ x.T
-            q, row = np.nonzero((scores >= found.floor[:, None] - 10.0**-DIGITS) & fine)
+            q, row = found.foremost_of(scores, fine)
             found.add(q, scores[q, row], names_of(b.column(0))[row])
         yield _found(found, block.qid, kind)
 
@@ -285,8 +298,10 @@ def hybrid_top(passages: DataFrame, questions: DataFrame, k: int, weight: float
     The least and greatest scores of a question are gathered in a first pass, one row for each task and question; the second
     pass scores again, scales and keeps the k best.
     """
-    weighted, mean_length = weights(passages, questions)
-    rows = passages.where("pid is not null").select("pid", tokens(F.col("text")).alias("t"), "vector")
+    # Every block of questions reads the passages twice: they are tokenised and put together once.
+    held = stored(passages.select("pid", tokens(F.col("text")).alias("t"), "vector"))
+    weighted, mean_length = _weights(held.select("t"), questions)
+    rows = held.where("pid is not null")
 
     def both(block: Asked, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, fine = matrix(b.column("vector"), block.vectors.shape[1])
@@ -306,7 +321,7 @@ def hybrid_top(passages: DataFrame, questions: DataFrame, k: int, weight: float
             kind = b.column(0).type
             d, lex, fine = both(block, b)
             scores = weight * _scaled(d, d_low, d_high) + (1 - weight) * _scaled(lex, l_low, l_high)
-            q, row = np.nonzero(scores >= found.floor[:, None] - 10.0**-DIGITS)
+            q, row = found.foremost_of(scores)
             found.add(q, scores[q, row], names_of(b.column(0))[fine][row])
         yield _found(found, block.qid, kind)
 
@@ -388,7 +403,7 @@ def sweep_top(passages: DataFrame, questions: DataFrame, k: int, shares: list[fl
                 mixed = weight * _scaled(d, d_low, d_high) + (1 - weight) * _scaled(lex[:, both], l_low, l_high)
                 shared = lexical_scores(postings(b.column("t"), blocks[i].words), _ones(blocks[i].words), b.num_rows)[:, there] > 0
                 for best_of, s, fit, own in zip(found[i], (lex, d, mixed), (shared, True, True), (names[there], names[there][both], names[there][both]), strict=True):
-                    q, row = np.nonzero((s >= best_of.floor[:, None] - 10.0**-DIGITS) & fit)
+                    q, row = best_of.foremost_of(s, fit)
                     best_of.add(q, s[q, row], own[row])
         for share, of_share in zip(shares, found, strict=True):
             for system, best_of in zip(SYSTEMS, of_share, strict=True):
