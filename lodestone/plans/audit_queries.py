@@ -11,6 +11,7 @@ from lodestone.operators import audit as A
 from lodestone.operators.containment import fitting
 from lodestone.plans.registry import query
 from lodestone.sources.projection import read
+from lodestone.sources.tables import if_small, stored
 
 col, lit = F.col, F.lit
 
@@ -88,9 +89,13 @@ def v18_coverage_audit(spark, d):
     variants = nation.join(region, col("n_regionkey") == col("r_regionkey")).select(col("r_name").alias("gene"), col("n_nationkey").alias("variant_id"), col("n_name").alias("name"))
     profiles = customer.select(col("c_nationkey").alias("variant_id"), col("c_custkey").alias("profile"), col("c_name").alias("name"))
     asked = cases(spark, d)
-    found = A.case_profiles(asked, variants, profiles, FUSION_WORDS)
-    rows = found.join(customer.select(col("c_custkey").alias("profile"), col("c_mktsegment").alias("disease")), "profile").join(read(spark, d, "orders").where("o_orderstatus = 'F'"), col("o_custkey") == col("profile"))
+    # Profiles of the same cases are one set: their evidence is made distinct once for the set, then given to its cases.
+    found = A.case_profiles(asked, variants, profiles, FUSION_WORDS).groupBy("profile").agg(F.array_sort(F.collect_set("case_id")).alias("case_ids"))
+    found = stored(found)
+    sets = stored(found.select("case_ids").distinct().withColumn("set_id", F.monotonically_increasing_id()))
+    rows = found.join(if_small(sets), "case_ids").select("profile", "set_id").join(customer.select(col("c_custkey").alias("profile"), col("c_mktsegment").alias("disease")), "profile").join(read(spark, d, "orders").where("o_orderstatus = 'F'"), col("o_custkey") == col("profile"))
     rows = rows.join(read(spark, d, "lineitem").where("l_returnflag = 'A'"), col("l_orderkey") == col("o_orderkey")).join(read(spark, d, "part"), col("p_partkey") == col("l_partkey"))
     source = F.when(col("o_orderkey") % 2 == 0, "A").otherwise("B")
-    evidence = rows.select("case_id", source.alias("source"), col("o_orderpriority").alias("level"), "disease", col("p_name").alias("drug")).distinct()
-    return A.audited(asked, evidence, SYNONYMS)
+    evidence = stored(rows.select("set_id", source.alias("source"), col("o_orderpriority").alias("level"), "disease", col("p_name").alias("drug")).distinct())
+    evidence = evidence.join(sets, "set_id").select(F.explode("case_ids").alias("case_id"), "source", "level", "disease", "drug")
+    return A.audited(asked, stored(evidence.distinct()), SYNONYMS)
