@@ -16,7 +16,7 @@ from lodestone.plans.question_queries import EDGE_SQL, FOLD, NAMES_SQL
 from lodestone.plans.registry import query
 from lodestone.plans.retrieval_queries import bm25_sql
 from lodestone.sources.projection import evidence_graph, read
-from lodestone.sources.tables import durable
+from lodestone.sources.tables import stored
 
 col, lit = F.col, F.lit
 
@@ -58,7 +58,7 @@ _LEAF = {"GENE_TO_DRUG": "Drug", "GENE_TO_DISEASE": "Disease", "GENE_TO_TRIALDRU
 def _graph_sweep(spark, d) -> DataFrame:
     """(system, rho, qid, recall, noisy) of questions (gene, route)."""
     graph = evidence_graph(spark, d)
-    noise = durable(_noise(spark, d).withColumn("level", N.level_of(col("rank"), col("k_true"), SHARES)).where("level is not null"))
+    noise = stored(_noise(spark, d).withColumn("level", N.level_of(col("rank"), col("k_true"), SHARES)).where("level is not null"))
     rels = {rel for steps in SWEPT.values() for rel, _ in steps}
     true = {r: graph.edges[r].table.select(col("src").cast("string").alias("src"), col("dst").cast("string").alias("dst"), lit(0.0).alias("level")) for r in rels}
     edges = {r: t.union(noise.where(col("rel") == r).select("src", "dst", "level")) for r, t in true.items()}
@@ -71,11 +71,11 @@ def _graph_sweep(spark, d) -> DataFrame:
         named = ends.join(names, "node").groupBy("start", "name").agg(F.min("level").alias("level"))
         text = F.format_string(C.FACTS["Gene", _LEAF[route], steps[-1][0]], "alias", "name")
         out.append(named.join(genes.select(col("node").alias("start"), "alias"), "start").select(F.concat(lit(f"{route}/"), "start").alias("qid"), "name", "level", text.alias("text")))
-    facts = durable(reduce(DataFrame.union, out))
+    facts = stored(reduce(DataFrame.union, out))
     shown = facts.withColumn("rho", F.explode(F.array(*map(lit, SHARES)))).where("level <= rho")
     # At every share the facts of a question in the order of their texts, under the budget.
     ranked = shown.withColumn("rank", F.row_number().over(_order("rho", "qid")))
-    context = durable(R.packed(ranked, BUDGET, stop_when_full=False, by=("rho", "qid")))
+    context = stored(R.packed(ranked, BUDGET, stop_when_full=False, by=("rho", "qid")))
     gold = facts.where("level = 0").select("qid", "name").withColumn("rho", F.explode(F.array(*map(lit, SHARES))))
     recall = R.gold_recall(context, gold, by=("rho", "qid"))
     noisy = context.groupBy("rho", "qid").agg(F.avg((col("level") > 0).cast("int")).alias("noisy"))
@@ -151,10 +151,10 @@ def _passage_sql(share: float) -> str:
 
 
 def _passage_sweep(spark, d) -> DataFrame:
-    asked, passages = _asked(spark, d), durable(_passages(spark, d))
+    asked, passages = stored(_asked(spark, d)), stored(_passages(spark, d))
     top = topk.sweep_top(passages, asked, TOP, SHARES)
     by = ("system", "share", "qid")
-    context = durable(R.packed(top.join(passages.select("pid", "text"), "pid"), BUDGET, stop_when_full=False, by=by))
+    context = stored(R.packed(top.join(passages.select("pid", "text"), "pid"), BUDGET, stop_when_full=False, by=by))
     gold = asked.select("qid", F.explode(F.array_distinct(F.split("text", " "))).alias("name"))
     asked_of = context.select(*by).distinct()
     recall = R.gold_recall(context, asked_of.join(gold, "qid"), by=by)
