@@ -1,9 +1,10 @@
 """What must not grow faster than the tables: draws of noise, walks, answers, audits and retrieval."""
 
 import duckdb
+import numpy as np
 import pytest
 
-from lodestone.operators import noise, traversal
+from lodestone.operators import noise, topk, traversal
 from lodestone.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -74,3 +75,16 @@ def test_walks_stop_at_the_first_paths_of_a_level(spark, web, most):
 
 def test_first_path_of_every_anchor(spark):
     assert len(against_sql(spark, "j22_first_path")) == 5
+
+
+# -- top-k --------------------------------------------------------------------------------------------------------
+def test_a_batch_hands_on_only_what_may_be_among_the_first():
+    scores = np.random.default_rng(1).normal(size=(50, 4_000))
+    scores[3, 10:20], scores[4] = 9.0, np.nan
+    found, fit = topk.Foremost(50, 5), np.arange(4_000) % 3 > 0
+    q, row = found.foremost_of(scores, fit)
+    assert len(q) <= 50 * 5 + 10 and 4 not in q and fit[row].all()
+    found.add(q, scores[q, row], row)
+    want = [sorted(np.flatnonzero(fit), key=lambda i, s=s: (-np.round(s[i], topk.DIGITS), i))[:5] for s in scores]
+    slot, _, name, _ = found.held
+    assert all(name[slot == i].tolist() == want[i] for i in range(50) if i != 4)
