@@ -29,6 +29,12 @@ class Edges:
     source: str
     target: str
     table: DataFrame  # columns src, dst and any properties
+    repeated: DataFrame | None = None  # the same, some more than once, where the table had to be made distinct
+
+    @property
+    def rows(self) -> DataFrame:
+        """For what only asks whether there is a relationship."""
+        return self.table if self.repeated is None else self.repeated
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from lodestone.operators import retrieval as R
 from lodestone.operators import routes as G
 from lodestone.plans.registry import query
 from lodestone.sources.projection import evidence_graph, read
-from lodestone.sources.tables import durable
+from lodestone.sources.tables import durable, stored
 
 col, lit = F.col, F.lit
 
@@ -45,7 +45,8 @@ def questions(spark, d) -> DataFrame:
             else:
                 rows, names, anchor = region, ("r_name",), F.concat(lit("Gene:"), col("r_regionkey").cast("string"))
             out.append(rows.select(F.concat(lit(f"{route}/{k}/"), anchor).alias("qid"), F.format_string(wording, *names).alias("text"), lit(route).alias("true_route"), anchor.alias("anchor")))
-    return reduce(DataFrame.union, out)
+    # Cut here, as filters would be pushed through the distinct and read the words of every part.
+    return durable(reduce(DataFrame.union, out))
 
 
 def _asked_sql() -> str:
@@ -84,27 +85,27 @@ REFINED_SQL = f"""firsts AS (SELECT l.qid, arg_min(l.node, l.place) AS gene, any
 LINKS_SQL = f"{_asked_sql()}, {NAMES_SQL}, {MENTIONS_SQL}"
 
 
-def linked(spark, d) -> DataFrame:
-    return K.mentions(questions(spark, d), G.names_of(evidence_graph(spark, d), LABELS))
+def linked(spark, d, asked: DataFrame) -> DataFrame:
+    return K.mentions(asked, G.names_of(evidence_graph(spark, d), LABELS))
 
 
-def refined(spark, d) -> DataFrame:
+def refined(spark, d, asked: DataFrame) -> DataFrame:
     region, nation = read(spark, d, "region"), read(spark, d, "nation")
     variants = nation.join(region.select("r_regionkey", "r_name"), col("n_regionkey") == col("r_regionkey"))
     variants = variants.select(F.concat(lit("Gene:"), col("r_regionkey").cast("string")).alias("gene"), col("r_name").alias("gene_name"), F.concat(lit("Variant:"), col("n_nationkey").cast("string")).alias("node"), col("n_name").alias("name"))
-    return K.refined(questions(spark, d), durable(linked(spark, d)), variants, C.VARIANT_WORDS)
+    return K.refined(asked, stored(linked(spark, d, asked)), variants, C.VARIANT_WORDS)
 
 
 @query(f"WITH {LINKS_SQL} SELECT qid, node, label, place FROM linked")
 def f05_mentions(spark, d):
     """Names of the graph that stand in questions, of one to three words, longer ones first."""
-    return linked(spark, d).select("qid", "node", "label", "place")
+    return linked(spark, d, questions(spark, d)).select("qid", "node", "label", "place")
 
 
 @query(f"WITH {LINKS_SQL}, {REFINED_SQL} SELECT * FROM refined")
 def f06_refined(spark, d):
     """Links of questions about variants: the first gene and its variants that are named after it."""
-    return refined(spark, d)
+    return refined(spark, d, questions(spark, d))
 
 
 @query(f"WITH {_asked_sql()} SELECT qid, true_route, (SELECT {ROUTE_SQL} FROM (SELECT lower(text) AS t)) AS route FROM asked")
@@ -186,8 +187,9 @@ GRAPH_SQL = f"{LINKS_SQL}, {REFINED_SQL}, {_facts_sql()}"
 
 
 def graph_context(spark, d, budget: int = 900) -> DataFrame:
-    asked = questions(spark, d).select("qid", C.keyword_route(col("text")).alias("route"))
-    return G.graph_facts(evidence_graph(spark, d), asked, durable(refined(spark, d)), budget)
+    asked = questions(spark, d)
+    routed = asked.select("qid", C.keyword_route(col("text")).alias("route"))
+    return G.graph_facts(evidence_graph(spark, d), routed, refined(spark, d, asked), budget)
 
 
 @query(f"WITH {GRAPH_SQL} SELECT qid, rank, text, upto FROM cum WHERE rank = 1 OR upto <= 900")
@@ -204,8 +206,10 @@ def answer_sets(spark, d, chains: dict, label: str = "Gene") -> DataFrame:
     """(start, chain, name): what each chain reaches from every node of a label, by distinct name."""
     graph = evidence_graph(spark, d)
     starts = G.names_of(graph, [label]).select(col("node").alias("start"))
-    names = G.names_of(graph, [*LABELS]).select("node", col("alias").alias("name"))
-    return reduce(DataFrame.union, [G.reached(graph, starts, label, steps).join(names, "node").select("start", lit(k).alias("chain"), "name").distinct() for k, steps in chains.items()])
+    number = G.numbered(graph, [(label, steps) for steps in chains.values()])
+    asked = F.array(*[F.struct(lit(k).alias("chain"), lit(number[label, steps]).alias("tail")) for k, steps in chains.items()])
+    ends = G.answers(graph, starts, number).withColumn("_c", F.explode(F.filter(asked, lambda x: x["tail"] == col("tail"))))
+    return ends.select("start", "_c.chain", "name")
 
 
 SETS_SQL = " UNION ALL ".join(f"SELECT start, '{k}' AS chain, name FROM {reach_sql('(SELECT node AS start FROM names WHERE label = chr(71) || chr(101) || chr(110) || chr(101))', steps)}" for k, steps in TEMPLATES.items()).replace("chr(71) || chr(101) || chr(110) || chr(101)", "'Gene'")

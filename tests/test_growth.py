@@ -4,8 +4,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from lodestone.operators import noise, topk, traversal
-from lodestone.plans import catalog
+from lodestone.functions.cases import ROUTES
+from lodestone.operators import noise, routes, topk, traversal
+from lodestone.plans import catalog, question_queries
+from lodestone.plans.graph import Edges, Graph, Nodes
+from lodestone.sources.projection import evidence_graph
 
 DATA = "/root/testdata/sf0.001"
 
@@ -88,3 +91,44 @@ def test_a_batch_hands_on_only_what_may_be_among_the_first():
     want = [sorted(np.flatnonzero(fit), key=lambda i, s=s: (-np.round(s[i], topk.DIGITS), i))[:5] for s in scores]
     slot, _, name, _ = found.held
     assert all(name[slot == i].tolist() == want[i] for i in range(50) if i != 4)
+
+
+# -- routes -------------------------------------------------------------------------------------------------------
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chains_share_their_walks(spark):
+    """Seven chains read the lines twice: once by order and once by supplier."""
+    ways = [(label, steps) for route in ROUTES if route != routes.BRIDGE for label, steps, _ in routes.chains(route)]
+    graph = evidence_graph(spark, DATA)
+    starts = routes.names_of(graph, ["Gene", "Variant", "Drug"]).select(routes.F.col("node").alias("start"))
+    assert sum("Relation" in line and "l_partkey" in line for line in plan_of(routes.answers(graph, starts, ways)).splitlines()) == 2
+    assert len(against_sql(spark, "r05_graph_facts")) > 1_000 and len(against_sql(spark, "r12_question_sets")) > 10 and against_sql(spark, "r16_router_ablation")
+
+
+def test_chains_that_share_a_walk_keep_their_own_starts(spark):
+    frame = lambda rows: spark.createDataFrame([(str(a), str(b)) for a, b in rows], "src string, dst string")
+    hops = {"AB": [(0, 0), (0, 1), (1, 1), (1, 1), (2, 3)], "BC": [(0, 5), (1, 5), (1, 6), (4, 7)], "TARGETS_DRUG": [(5, 1), (5, 2), (6, 2), (7, 3), (5, 1)], "DE": [(1, 8), (2, 8), (3, 9)]}
+    node = lambda keys: Nodes(spark.createDataFrame([(str(k), f"n{k % 2}") for k in keys], "id string, name string"), "id")
+    graph = Graph({"A": node(range(3)), "B": node(range(5)), "C": node(range(5, 8)), "Drug": node(range(1, 4)), "E": node((8, 9))}, {k: Edges(*("Drug" if x == "D" else x for x in ("CD" if k == "TARGETS_DRUG" else k)), frame(v)) for k, v in hops.items()})
+    steps = [(k, ">") for k in hops]
+    ways = [("A", tuple(steps)), ("A", tuple(steps[:3])), ("B", tuple(steps[1:3])), ("A", tuple(steps[:1])), ("E", (("DE", "<"),))]
+    number = routes.numbered(graph, ways)
+    assert number[ways[1]] == number[ways[2]] and len(set(number.values())) == 4
+    starts = [("A", 0), ("A", 1), ("A", 2), ("B", 1), ("B", 4), ("B", 1), ("E", 9)]
+    got = {tuple(r) for r in routes.answers(graph, spark.createDataFrame([(f"{a}:{k}",) for a, k in starts], "start string"), ways).collect()}
+    for label, chain in ways:
+        for a, k in starts:
+            if a == label:
+                at = {k}
+                for rel, way in chain:
+                    at = {y for x, y in (hops[rel] if way == ">" else [(b, c) for c, b in hops[rel]]) if x in at}
+                want = {f"n{x % 2}" if routes.leaf_of(graph, label, chain) == "Drug" else str(x) for x in at}
+                assert {name for start, tail, name in got if start == f"{label}:{k}" and tail == number[label, chain]} == want
+    with pytest.raises(ValueError, match="two ways"):
+        routes.numbered(graph, [("A", tuple(steps[:2])), ("A", (steps[0], steps[0][:1] + ("<",), *steps[:2]))])
+
+
+def test_questions_are_made_once(spark):
+    assert "Relation" not in plan_of(question_queries.questions(spark, DATA).where("qid > 'D'"))
