@@ -196,22 +196,33 @@ def q22_chunk_diagnostics(spark, d):
     return graph(spark, d).match("d", "Drug").hop("d", "HAS_COMPANION_DIAGNOSTIC", "cd").select(drug="d__name", device="cd__id", platform="cd__platform")
 
 
+#: Lines that a task of full paths takes at most, about.
+LINES = 500_000
+
+
 @query(f"SELECT r.r_name AS gene, n.n_name AS variant, count(*) AS paths, count(DISTINCT d.p_partkey) AS drugs, count(DISTINCT p.s_suppkey) AS pmids, count(DISTINCT c.c_mktsegment) AS diseases FROM {SPINE} {DRUG} {PUB} GROUP BY 1, 2")
 def q23_full_paths(spark, d):
     """Ways are counted as products of an evidence's drugs and citations, and distinct ends as different pairs, so that the
-    product of both sides is never made."""
+    product of both sides is never made. Drugs and citations are dealt by evidence once, for their numbers and for their
+    ends, to more tasks if there are more of them."""
     g = graph(spark, d)
-    spine = g.match("g", "Gene").hop("g", "HAS_VARIANT", "v").hop("v", "IN_MOLECULAR_PROFILE", "mp").hop("mp", "HAS_EVIDENCE", "e").select(gene="g__symbol", variant="v__name", disease="mp__disease", e="e__id")
-    ends = {"drugs": g.match("e", "Evidence").hop("e", "TARGETS_DRUG", "d").select(e="e__id", end="d__id"), "pmids": g.match("e", "Evidence").hop("e", "CITED_IN", "p").select(e="e__id", end="p__pmid")}
-    whole = spine
-    for name, side in ends.items():
-        whole = whole.join(side.groupBy("e").agg(F.count("*").alias(f"n_{name}")), "e")
+    tasks = g.edges["TARGETS_DRUG"].table.count() // LINES
+    few = tasks <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df, *by: df.repartition(*by) if few else df.repartition(tasks, *by)
     key = ["gene", "variant"]
-    out = whole.groupBy(*key, "disease").agg(F.sum(F.col("n_drugs") * F.col("n_pmids")).alias("ways")).groupBy(*key).agg(F.sum("ways").alias("paths"), F.count("disease").alias("diseases"))
-    for name, side in ends.items():
-        met = whole.select(*key, "e").join(side, "e").select(*key, "end").distinct()
-        out = out.join(met.groupBy(*key).agg(F.count("end").alias(name)), key)
-    return out.select(*key, "paths", "drugs", "pmids", "diseases")
+    spine = g.match("g", "Gene").hop("g", "HAS_VARIANT", "v").hop("v", "IN_MOLECULAR_PROFILE", "mp").hop("mp", "HAS_EVIDENCE", "e").select(gene="g__symbol", variant="v__name", disease="mp__disease", e="e__id")
+    sides = []
+    for rel, drug in (("TARGETS_DRUG", True), ("CITED_IN", False)):
+        node = g.nodes[g.edges[rel].target]
+        edge = g.edges[rel].table.select(F.col("src").alias("e"), F.col("dst").alias("end"))
+        sides.append(edge.join(node.table.select(F.col(node.key).alias("end")), "end").select("e", "end", F.lit(drug).alias("drug")))
+    ends = dealt(sides[0].union(sides[1]), "e")
+    sums = ends.groupBy("e").agg((F.count_if("drug") * F.count_if(~F.col("drug"))).alias("ways")).where("ways > 0")
+    whole = spine.join(sums, "e")
+    ways = whole.groupBy(*key, "disease").agg(F.sum("ways").alias("ways"))
+    met = dealt(whole.select(*key, "e").join(ends, "e").select(*key, "drug", "end"), *key, "drug", "end").distinct()
+    both = ways.withColumn("drug", F.lit(None).cast("boolean")).unionByName(met.select(*key, "drug"), allowMissingColumns=True)
+    return both.groupBy(*key).agg(F.sum("ways").alias("paths"), F.count_if("drug").alias("drugs"), F.count_if(~F.col("drug")).alias("pmids"), F.count("disease").alias("diseases"))
 
 
 DIRECT = f"(SELECT DISTINCT n_regionkey AS g, l_partkey AS dst FROM {TESTS} t JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"

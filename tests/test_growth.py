@@ -1,12 +1,14 @@
 """What must not grow faster than the tables: draws of noise, walks, answers, audits and retrieval."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
 
 from lodestone.functions.cases import ROUTES
 from lodestone.operators import noise, routes, topk, traversal
-from lodestone.plans import catalog, question_queries
+from lodestone.plans import catalog, question_queries, template_queries
 from lodestone.plans.graph import Edges, Graph, Nodes
 from lodestone.sources.projection import evidence_graph
 
@@ -132,3 +134,13 @@ def test_chains_that_share_a_walk_keep_their_own_starts(spark):
 
 def test_questions_are_made_once(spark):
     assert "Relation" not in plan_of(question_queries.questions(spark, DATA).where("qid > 'D'"))
+
+
+# -- full paths ---------------------------------------------------------------------------------------------------
+def test_full_paths_are_dealt_to_more_tasks_as_lines_grow(spark, monkeypatch):
+    monkeypatch.setattr(template_queries, "LINES", 100)
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    plan = catalog.QUERIES["q23_full_paths"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    for by in (r"e#\d+L", r"gene#\d+, variant#\d+, drug#\d+, end#\d+L"):
+        assert set(re.findall(rf"hashpartitioning\({by}, (\d+)\)", plan)) == {str(lines // 100)}
+    assert len(against_sql(spark, "q23_full_paths")) == 25
