@@ -90,17 +90,26 @@ class Asked:
     vectors: np.ndarray | None = None
 
 
-def postings(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, row, part) of tokenised texts, sorted by token: part is what the token adds for a weight of one."""
+def counted(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, row, times, size) of tokenised texts, sorted by token: how often the row, of that size, has the token."""
     sizes = np.diff(texts.offsets.to_numpy()) if texts.null_count == 0 else np.array([len(x) if x is not None else 0 for x in texts.to_pylist()])
-    found = pc.index_in(texts.flatten(), words.vocabulary)
+    found = pc.index_in(texts.flatten(), vocabulary)
     row = np.repeat(np.arange(len(sizes)), sizes)
     seen = found.is_valid().to_numpy(zero_copy_only=False)
     token = found.filter(pa.array(seen)).to_numpy().astype(np.int64)
     pair, tf = np.unique(token * len(sizes) + row[seen], return_counts=True)
     token, row = pair // max(1, len(sizes)), pair % max(1, len(sizes))
-    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / words.mean_length))
-    return token, row, part
+    return token, row, tf, sizes[row]
+
+
+def parted(count: tuple, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, row, part) of counted texts: part is what the token adds for a weight of one."""
+    token, row, tf, size = count
+    return token, row, tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / words.mean_length))
+
+
+def postings(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return parted(counted(texts, words.vocabulary), words)
 
 
 def lexical_scores(posted: tuple, words: Words, rows: int) -> np.ndarray:
@@ -193,7 +202,7 @@ def _blocks(questions: DataFrame, weighted: DataFrame | None, mean_length: float
         n *= 2
     held = durable(weighted) if weighted is not None else None
     for b in range(n):
-        mine = rows.where(block == b).toArrow().combine_chunks()
+        mine = rows.where(block == b).toArrow().sort_by("qid").combine_chunks()  # as blocks of several shares go together
         if not mine.num_rows:
             continue
         asked = Asked(mine["qid"].chunk(0))
@@ -344,8 +353,12 @@ def weights_by_share(passages: DataFrame, questions: DataFrame, shares: list[flo
 
     Document frequencies, lengths and numbers of passages of a share are those of the levels up to it, added up.
     """
+    return _weights_by_share(passages.select("level", tokens(F.col("text")).alias("t")), questions, shares)
+
+
+def _weights_by_share(cut: DataFrame, questions: DataFrame, shares: list[float]) -> list[tuple[DataFrame, float]]:
+    """`weights_by_share` of passages that are tokenised already (t, level)."""
     level = F.col("level")
-    cut = passages.select("level", tokens(F.col("text")).alias("t"))
     sizes = cut.groupBy("level").agg(F.count("*").alias("n"), F.count("t").alias("texts"), F.sum(F.when(F.col("t").isNotNull(), F.size("t"))).alias("total")).collect()  # a row for each level
     counted = cut.select("level", F.explode(F.array_distinct("t")).alias("token")).groupBy("token", "level").agg(F.count("*").alias("n"))
     upto = [F.sum(F.when(level <= s, F.col("n")).otherwise(0)).alias(f"df{i}") for i, s in enumerate(shares)]
@@ -365,26 +378,30 @@ def sweep_top(passages: DataFrame, questions: DataFrame, k: int, shares: list[fl
     """(system, share, qid, pid, score, rank): the k best passages (pid, text, vector, level) for questions (qid, text, vector) by
     the systems "lexical", "vector" and "hybrid", at each share of the passages: those whose level is up to it.
 
-    Texts are read and cut in two passes for all shares and systems together: one for the bounds that scale the scores,
-    one that scores.
+    Texts are cut once. Two passes over their tokens, which are looked up and counted once in each, serve all shares and
+    systems together: one for the bounds that scale the scores, one that scores.
     """
-    rows = passages.where("pid is not null").select("pid", tokens(F.col("text")).alias("t"), "vector", F.col("level").cast("double").alias("level"))
-    weighted = weights_by_share(passages, questions, shares)
+    held = stored(passages.select("pid", tokens(F.col("text")).alias("t"), "vector", F.col("level").cast("double").alias("level")))
+    rows = held.where("pid is not null")
+    weighted = _weights_by_share(held.select("level", "t"), questions, shares)
     qid, pid = (df.schema[c].dataType.simpleString() for df, c in ((questions, "qid"), (passages, "pid")))
 
-    def scores(blocks: list[Asked], b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def scores(blocks: list[Asked], near: np.ndarray, fine: np.ndarray, count: tuple, b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each share the scores by vector and by words of the passages that take part, and which these are."""
-        x, fine = matrix(b.column("vector"), blocks[0].vectors.shape[1])
-        near, level = blocks[0].vectors @ x.T, b.column("level").to_numpy(zero_copy_only=False)
+        level = b.column("level").to_numpy(zero_copy_only=False)
         for block, share in zip(blocks, shares, strict=True):
             there = level <= share
-            yield near[:, fine & there], lexical_scores(postings(b.column("t"), block.words), block.words, b.num_rows)[:, there], there
+            yield near[:, fine & there], lexical_scores(parted(count, block.words), block.words, b.num_rows)[:, there], there
+
+    def met(blocks: list[Asked], b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, tuple]:
+        x, fine = matrix(b.column("vector"), blocks[0].vectors.shape[1])
+        return blocks[0].vectors @ x.T, fine, counted(b.column("t"), blocks[0].words.vocabulary)
 
     def bounds(blocks: list[Asked], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = np.full((len(shares), 2, len(blocks[0].qid)), np.inf), np.full((len(shares), 2, len(blocks[0].qid)), -np.inf)
         for b in _pieces(batches, len(blocks[0].qid)):
-            _, fine = matrix(b.column("vector"), blocks[0].vectors.shape[1])
-            for i, (d, lex, there) in enumerate(scores(blocks, b)):
+            near, fine, count = met(blocks, b)
+            for i, (d, lex, there) in enumerate(scores(blocks, near, fine, count, b)):
                 for j, s in enumerate((d, lex[:, fine[there]])):
                     low[i, j], high[i, j] = np.minimum(low[i, j], s.min(1, initial=np.inf)), np.maximum(high[i, j], s.max(1, initial=-np.inf))
         for i in range(len(shares)):
@@ -396,13 +413,14 @@ def sweep_top(passages: DataFrame, questions: DataFrame, k: int, shares: list[fl
         found = [[Foremost(n, k) for _ in SYSTEMS] for _ in shares]
         for b in _pieces(batches, n):
             kind, names = b.column(0).type, names_of(b.column(0))
-            _, fine = matrix(b.column("vector"), blocks[0].vectors.shape[1])
-            for i, (d, lex, there) in enumerate(scores(blocks, b)):
+            near, fine, count = met(blocks, b)
+            # A token of a passage is known at every share at which the passage takes part.
+            shares_one = _sharing(count, blocks, b.num_rows)
+            for i, (d, lex, there) in enumerate(scores(blocks, near, fine, count, b)):
                 both = fine[there]
                 d_low, d_high, l_low, l_high = edges[i]
                 mixed = weight * _scaled(d, d_low, d_high) + (1 - weight) * _scaled(lex[:, both], l_low, l_high)
-                shared = lexical_scores(postings(b.column("t"), blocks[i].words), _ones(blocks[i].words), b.num_rows)[:, there] > 0
-                for best_of, s, fit, own in zip(found[i], (lex, d, mixed), (shared, True, True), (names[there], names[there][both], names[there][both]), strict=True):
+                for best_of, s, fit, own in zip(found[i], (lex, d, mixed), (shares_one[:, there], True, True), (names[there], names[there][both], names[there][both]), strict=True):
                     q, row = best_of.foremost_of(s, fit)
                     best_of.add(q, s[q, row], own[row])
         for share, of_share in zip(shares, found, strict=True):
@@ -411,15 +429,15 @@ def sweep_top(passages: DataFrame, questions: DataFrame, k: int, shares: list[fl
                 yield pa.RecordBatch.from_arrays([pa.array([system] * out.num_rows, pa.string()), pa.array(np.full(out.num_rows, share)), *out.columns], ["system", "share", "qid", "pid", "score"])
 
     def items() -> Iterator[tuple[list[Asked], np.ndarray]]:
-        for blocks in zip(*[_blocks(questions.select("qid", "vector"), w, m) for w, m in weighted], strict=True):
-            met = _scored(rows, iter([list(blocks)]), bounds, f"qid {qid}, i int, " + ", ".join(f"{n} double" for n in NAMES))
-            t = met.groupBy("i", "qid").agg(*[(F.min if n.endswith("low") else F.max)(n).alias(n) for n in NAMES]).toArrow()
+        for blocks in map(_together, zip(*[_blocks(questions.select("qid", "vector"), w, m) for w, m in weighted], strict=True)):
+            edge = _scored(rows, iter([blocks]), bounds, f"qid {qid}, i int, " + ", ".join(f"{n} double" for n in NAMES))
+            t = edge.groupBy("i", "qid").agg(*[(F.min if n.endswith("low") else F.max)(n).alias(n) for n in NAMES]).toArrow()
             edges = []
             for i in range(len(shares)):
                 own = t.filter(pc.equal(t["i"], i)).combine_chunks()
                 at = pc.index_in(blocks[0].qid, own["qid"].combine_chunks()).to_numpy()
                 edges.append(np.stack([own[n].to_numpy()[at] for n in NAMES]))
-            yield list(blocks), np.stack(edges)
+            yield blocks, np.stack(edges)
 
     kinds = f"system string, share double, qid {qid}, pid {pid}, score double"
     return best(_or_none(_scored(rows, items(), task, kinds), passages, kinds), k, ("system", "share", "qid"))
@@ -434,6 +452,21 @@ def _scaled(s: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.divide(s - low[:, None], span, out=np.zeros_like(s), where=span > 0)
 
 
-def _ones(words: Words) -> Words:
-    """The same tokens with a weight of one: a score above 0 says that some token is shared."""
-    return Words(words.vocabulary, words.tokens, [np.ones(len(w)) for w in words.weights], words.mean_length)
+def _together(blocks: tuple[Asked, ...]) -> list[Asked]:
+    """The same questions at several shares, with one vocabulary."""
+    vocabulary = pc.unique(pa.concat_arrays([b.words.vocabulary for b in blocks]))
+    for b in blocks:
+        at = pc.index_in(b.words.vocabulary, vocabulary).to_numpy()
+        b.words = Words(vocabulary, [at[t].astype(np.int64) for t in b.words.tokens], b.words.weights, b.words.mean_length)
+    return list(blocks)
+
+
+def _sharing(count: tuple, blocks: list[Asked], rows: int) -> np.ndarray:
+    """Whether a question (line) and a row share a token that is known at some share."""
+    token, row, _, _ = count
+    edge = np.searchsorted(token, np.arange(len(blocks[0].words.vocabulary) + 1))
+    out = np.zeros((len(blocks[0].qid), rows), bool)
+    for line, *own in zip(out, *[b.words.tokens for b in blocks], strict=True):
+        for t in np.unique(np.concatenate(own)):
+            line[row[edge[t] : edge[t + 1]]] = True
+    return out

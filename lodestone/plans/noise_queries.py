@@ -26,8 +26,9 @@ KINDS = ("TARGETS_DRUG", "HAS_DISEASE", "DIAGNOSES_GENE", "TESTS_DRUG")
 BUDGET = 900
 
 
-def _truth(graph) -> DataFrame:
-    return reduce(DataFrame.union, [graph.edges[k].table.select(lit(k).alias("rel"), col("src").cast("string").alias("src"), col("dst").cast("string").alias("dst")).distinct() for k in KINDS])
+def _truth(graph, kinds=KINDS) -> DataFrame:
+    """(rel, src, dst) of the kinds' edges, some more than once."""
+    return reduce(DataFrame.union, [graph.edges[k].rows.select(lit(k).alias("rel"), col("src").cast("string").alias("src"), col("dst").cast("string").alias("dst")) for k in kinds])
 
 
 TRUTH_SQL = "truth AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{k}' AS rel, src, dst FROM {EDGE_SQL[k]}" for k in KINDS) + ")"
@@ -55,22 +56,41 @@ SWEPT = {k: C.ROUTES[k][1] for k in ("GENE_TO_DRUG", "GENE_TO_DISEASE", "GENE_TO
 _LEAF = {"GENE_TO_DRUG": "Drug", "GENE_TO_DISEASE": "Disease", "GENE_TO_TRIALDRUG": "Drug"}
 
 
+def _true_ends(graph, genes: DataFrame, ways: dict[str, str]) -> DataFrame:
+    """(rel, start, name, level): names that routes, by their last relationship, lead to over true edges."""
+    chains = {rel: ("Gene", SWEPT[route]) for rel, route in ways.items()}
+    number = G.numbered(graph, chains.values())
+    kind = F.coalesce(*[F.when(col("tail") == number[chain], lit(rel)) for rel, chain in chains.items()])
+    found = G.answers(graph, genes.select(col("node").alias("start")), chains.values()).withColumnRenamed("start", "node")
+    return found.join(genes.select("node", "start"), "node").select(kind.alias("rel"), "start", "name", lit(0.0).alias("level"))
+
+
+def _noisy_ends(graph, starts: DataFrame, ways: dict[str, str], names: DataFrame) -> DataFrame:
+    """`_true_ends` of starts (rel, start, node) over true and false edges, with the least share at which there is a way."""
+    heads = {rel: SWEPT[route][:-1] for rel, route in ways.items()}
+    true = {r: graph.edges[r].table.select(col("src").cast("string").alias("src"), col("dst").cast("string").alias("dst"), lit(0.0).alias("level")) for r in {rel for head in heads.values() for rel, _ in head}}
+    fronts = {rel: N.reached_by_share(starts.where(col("rel") == rel).select("start", F.substring_index("node", ":", -1).alias("node")), head, true) for rel, head in heads.items()}
+    return N.named_by_share(fronts, _truth(graph, tuple(ways)), names, SHARES)
+
+
 def _graph_sweep(spark, d) -> DataFrame:
     """(system, rho, qid, recall, noisy) of questions (gene, route)."""
     graph = evidence_graph(spark, d)
-    noise = stored(_noise(spark, d).withColumn("level", N.level_of(col("rank"), col("k_true"), SHARES)).where("level is not null"))
-    rels = {rel for steps in SWEPT.values() for rel, _ in steps}
-    true = {r: graph.edges[r].table.select(col("src").cast("string").alias("src"), col("dst").cast("string").alias("dst"), lit(0.0).alias("level")) for r in rels}
-    edges = {r: t.union(noise.where(col("rel") == r).select("src", "dst", "level")) for r, t in true.items()}
-    genes = G.names_of(graph, ["Gene"])
-    starts = genes.select(col("node").alias("start"), F.substring_index("node", ":", -1).alias("node"))
-    names = G.names_of(graph, ["Drug", "Disease"]).select("node", col("alias").alias("name"))
+    # Only the last relationship of a route has false edges, and no two routes share it.
+    ways = {steps[-1][0]: route for route, steps in SWEPT.items()}
+    genes = stored(G.names_of(graph, ["Gene"]).withColumn("start", F.monotonically_increasing_id()))
+    names = reduce(DataFrame.union, [G.names_of(graph, [_LEAF[route]]).select(lit(rel).alias("rel"), F.substring_index("node", ":", -1).alias("dst"), col("alias").alias("name")) for rel, route in ways.items()])
+    ends = stored(_true_ends(graph, genes, ways))
+    # What true edges reach is there at every share: only starts that lack some name by them can gain one by false edges.
+    open_starts = stored(N.lacking(genes.select("start", "node"), ends, names))
+    kinds = sorted(r["rel"] for r in open_starts.select("rel").distinct().collect())  # a row for each kind
+    if kinds:
+        ends = stored(ends.union(_noisy_ends(graph, open_starts, {rel: ways[rel] for rel in kinds}, names)).groupBy("rel", "start", "name").agg(F.min("level").alias("level")))
     out = []
-    for route, steps in SWEPT.items():
-        ends = N.reached_by_share(starts, steps, edges).withColumn("node", F.concat(lit(f"{_LEAF[route]}:"), "node"))
-        named = ends.join(names, "node").groupBy("start", "name").agg(F.min("level").alias("level"))
-        text = F.format_string(C.FACTS["Gene", _LEAF[route], steps[-1][0]], "alias", "name")
-        out.append(named.join(genes.select(col("node").alias("start"), "alias"), "start").select(F.concat(lit(f"{route}/"), "start").alias("qid"), "name", "level", text.alias("text")))
+    for rel, route in ways.items():
+        text = F.format_string(C.FACTS["Gene", _LEAF[route], rel], "alias", "name")
+        named = ends.where(col("rel") == rel).join(genes.select("start", "node", "alias"), "start")
+        out.append(named.select(F.concat(lit(f"{route}/"), "node").alias("qid"), "name", "level", text.alias("text")))
     facts = stored(reduce(DataFrame.union, out))
     shown = facts.withColumn("rho", F.explode(F.array(*map(lit, SHARES)))).where("level <= rho")
     # At every share the facts of a question in the order of their texts, under the budget.

@@ -1,5 +1,9 @@
 """What must not grow faster than the tables: draws of noise, walks, answers, audits and retrieval."""
 
+import hashlib
+import itertools
+import os
+import random
 import re
 
 import duckdb
@@ -8,7 +12,7 @@ import pytest
 
 from lodestone.functions.cases import ROUTES
 from lodestone.operators import noise, routes, topk, traversal
-from lodestone.plans import catalog, question_queries, template_queries
+from lodestone.plans import catalog, noise_queries, question_queries, template_queries
 from lodestone.plans.graph import Edges, Graph, Nodes
 from lodestone.sources.projection import evidence_graph
 
@@ -36,6 +40,74 @@ def test_sources_draw_alike_as_one_row_and_row_by_row(spark, monkeypatch, many):
     assert sorted(map(tuple, noise.false_edges(frame, 1.0).collect())) == want and len(want) > 100
 
 
+def levels_of_ends(truth, fronts, names, shares):
+    """(rel, start, name) -> the least share at which it is reached, by drawing one target after the other."""
+    pool, out = {r: sorted({d for k, _, d in truth if k == r}) for r, _, _ in truth}, {}
+    for rel, front in fronts.items():
+        for start, node, level in front:
+            own, targets, drawn = {d for r, s, d in truth if (r, s) == (rel, node)}, pool[rel], []
+            need = min(round(max(shares) * len(own)), len(targets) - len(own))
+            for j in itertools.count():
+                if len(drawn) == need:
+                    break
+                d = targets[int(hashlib.md5(f"{node}|{j}".encode()).hexdigest()[:8], 16) % len(targets)]
+                if d not in own and d not in drawn:
+                    drawn.append(d)
+            ends = [(d, 0.0) for d in own] + [(d, next((s for s in sorted(shares) if n < round(s * len(own))), None)) for n, d in enumerate(drawn)]
+            for d, at in ends:
+                key = (rel, start, names.get((rel, d)))
+                if at is not None and key[2]:
+                    out[key] = min(out.get(key, 9.0), max(at, level))
+    return out
+
+
+@pytest.mark.parametrize(("many", "rows"), [(100_000, 10_000), (100_000, 7), (6, 7), (0, 50)])
+def test_names_by_share_are_those_of_single_draws(spark, monkeypatch, many, rows):
+    rng = random.Random(21)
+    truth = {("a", f"s{rng.randrange(25)}", f"t{rng.randrange(60):02}") for _ in range(150)} | {("b", f"s{i}", f"d{i % 5}") for i in range(40)} | {("c", "s1", f"t{k}") for k in range(9)}
+    fronts = {r: sorted({(rng.randrange(4), f"s{rng.randrange(30)}", rng.choice([0.0, 0.0, 0.5])) for _ in range(30)} | {(7, "none", 0.0)}) for r in "abc"}
+    fronts = {r: [(a, n, min(x for b, m, x in f if (a, n) == (b, m))) for a, n in sorted({f[:2] for f in f})] for r, f in fronts.items()}
+    names = {(r, d): f"{r}{i % 40}" for i, (r, d) in enumerate(sorted({(r, d) for r, _, d in truth})) if i % 9}
+    frame = lambda rows, of: spark.createDataFrame(sorted(rows), of)
+    monkeypatch.setattr(noise, "MANY", many)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = noise.named_by_share({r: frame(f, "start long, node string, level double") for r, f in fronts.items()}, frame(list(truth) * 2, "rel string, src string, dst string"), frame([(*k, v) for k, v in names.items()], "rel string, dst string, name string"), [0.0, 0.25, 0.5, 1.0]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = levels_of_ends(truth, fronts, names, [0.0, 0.25, 0.5, 1.0])
+    assert {(r["rel"], r["start"], r["name"]): r["level"] for r in got} == want and len(got) == len(want) and len(set(want.values())) == 4
+
+
+def test_starts_that_reach_every_name_need_no_noise(spark, monkeypatch):
+    reached = spark.createDataFrame([("a", 1, "x"), ("a", 1, None), ("a", 2, "x"), ("b", 1, "z"), ("b", 2, "z")], "rel string, start long, name string")
+    names = spark.createDataFrame([("a", "t1", "x"), ("a", "t2", "x"), ("a", "t3", None), ("b", "t1", "z")], "rel string, dst string, name string")
+    starts = spark.createDataFrame([(1, "n1"), (2, "n2"), (3, "n3")], "start long, node string")
+    assert sorted(map(tuple, noise.lacking(starts, reached, names).collect())) == [("a", 2, "n2"), ("a", 3, "n3"), ("b", 3, "n3")]
+
+    def fails(*_):
+        raise AssertionError("true edges reach all names of these tables")
+
+    monkeypatch.setattr(noise, "false_edges", fails)
+    monkeypatch.setattr(noise, "named_by_share", fails)
+    assert noise_queries._graph_sweep(spark, DATA).count() == 60
+
+
+def test_graph_under_noise_where_names_are_lacking(spark, tmp_path):
+    """Parts of different names, and one line in twelve."""
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        t = f.removesuffix(".parquet")
+        rows = {"part": "SELECT * REPLACE (p_name || ' ' || p_partkey AS p_name) FROM", "lineitem": "SELECT * EXCLUDE k FROM (SELECT *, l_orderkey % 12 AS k FROM"}.get(t, "SELECT * FROM") + f" '{DATA}/{f}'" + (") WHERE k = 0" if t == "lineitem" else "")
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/{f}'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{f}'")
+    plain = lambda rows: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    want = plain(con.execute(f"WITH {noise_queries._graph_sql()} SELECT rho, recall, noisy FROM gsys").fetchall())
+    assert plain(noise_queries._graph_sweep(spark, str(tmp_path)).select("rho", "recall", "noisy").collect()) == want
+    assert any(noisy > 0 for _, _, noisy in want)
+
+
 def test_schema_triples_are_those_of_the_catalog(spark):
     assert len(against_sql(spark, "j27_schema_triples")) == 9
 
